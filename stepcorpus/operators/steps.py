@@ -37,23 +37,23 @@ def locate_steps(instruction: Column) -> Column:
     """T9 + T10 + T11 in nested form: ``array<struct<step_no, header,
     char_start, token_idx, token_idx_templated, label>>``.  Null or empty
     text gives an empty array; ``char_start`` is the first occurrence of the
-    header anywhere in the text (a repeated header shares it)."""
+    header anywhere in the text (a repeated header shares it).  Headers and
+    match texts are zipped first so that the per-step lambda only reads its
+    own element and the instruction."""
     pattern = F.lit(S.STEP_PATTERN_JAVA)
-    headers = F.regexp_extract_all(instruction, pattern, 1)
-    contents = F.regexp_extract_all(instruction, pattern, 0)
     text = F.coalesce(instruction, F.lit(""))
+    found = F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("h"),
+                         F.regexp_extract_all(text, pattern, 0).alias("c"))
 
-    def one(h: Column, i: Column) -> Column:
-        cs = F.instr(text, h) - 1
-        content = F.get(contents, i)
+    def one(z: Column, i: Column) -> Column:
+        cs = F.instr(text, z["h"]) - 1
         return F.struct(
-            i.alias("step_no"), h.alias("header"), cs.alias("char_start"),
+            i.alias("step_no"), z["h"].alias("header"), cs.alias("char_start"),
             step_token_index(text, cs).alias("token_idx"),
             step_token_index_templated(text, cs).alias("token_idx_templated"),
-            step_label(content).alias("label"))
+            step_label(z["c"]).alias("label"))
 
-    steps = F.transform(F.coalesce(headers, F.array().cast("array<string>")), one)
-    return steps
+    return F.transform(found, one)
 
 
 def explode_steps(df: DataFrame, instruction: str = "instruction", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -101,36 +101,44 @@ def assistant_spans(ids: Column, assistant: Column, end: Column) -> tuple[Column
 
     Returns ``(spans array<struct<start,end>>, unclosed boolean)``; an
     ``assistant`` token with no later end token makes the row unclosed (the
-    scripts fall back to a default sample).  Linear in the row length.
+    scripts fall back to a default sample).
+
+    Linear in the row length: the segment bounds are zipped before any lambda
+    runs, so no lambda refers to a per-row array other than ``ids`` (Catalyst
+    would otherwise inline and re-evaluate it once per element).
     """
     n = F.size(ids)
     ends = F.filter(T.index_range(n), lambda i: F.get(ids, i) == end)
-    n_ends = F.size(ends)
-
-    def seg_start(k: Column) -> Column:
-        return F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1) + 1)
-
-    def seg_stop(k: Column) -> Column:  # exclusive; the end token itself
-        return F.when(k < n_ends, F.get(ends, k)).otherwise(n)
-
-    def first_assistant(k: Column) -> Column:  # absolute position or -1
-        st = seg_start(k)
-        p = F.array_position(F.slice(ids, st + 1, F.greatest(seg_stop(k) - st, F.lit(0))), assistant)
-        return F.when(p > 0, st + p - 1).otherwise(F.lit(-1))
-
-    segs = F.transform(F.sequence(F.lit(0), n_ends),
-                       lambda k: F.struct(first_assistant(k).alias("a"), k.alias("k")))
-    spans = F.transform(
-        F.filter(segs, lambda s: (s["a"] >= 0) & (s["k"] < n_ends)),
-        lambda s: F.struct((s["a"] + 1).alias("start"), (F.get(ends, s["k"]) + 1).alias("end")))
-    unclosed = F.get(segs, n_ends)["a"] >= 0
+    starts = F.concat(F.array(F.lit(0)), F.transform(ends, lambda e: e + 1))
+    stops = F.concat(ends, F.array(n))
+    closed = F.concat(F.array_repeat(F.lit(True), F.size(ends)), F.array(F.lit(False)))
+    segs = F.arrays_zip(starts.alias("lo"), stops.alias("hi"), closed.alias("closed"))
+
+    def first_assistant(z: Column) -> Column:
+        p = F.array_position(F.slice(ids, z["lo"] + 1, F.greatest(z["hi"] - z["lo"], F.lit(0))), assistant)
+        return F.struct(F.when(p > 0, z["lo"] + p - 1).otherwise(F.lit(-1)).alias("a"),
+                        z["hi"].alias("hi"), z["closed"].alias("closed"))
+
+    found = F.transform(segs, first_assistant)
+    spans = F.transform(F.filter(found, lambda s: (s["a"] >= 0) & s["closed"]),
+                        lambda s: F.struct((s["a"] + 1).alias("start"), (s["hi"] + 1).alias("end")))
+    unclosed = F.element_at(found, -1)["a"] >= 0
     return spans, unclosed
 
 
 def span_mask_labels(ids: Column, spans: Column, pad: Column) -> Column:
-    """Pad everywhere, the input id inside any span."""
-    return F.transform(ids, lambda t, i: F.when(
-        F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"])), t).otherwise(pad))
+    """Pad everywhere, the input id inside any span.  Spans must be
+    sorted and disjoint (T5's are); the labels are built piece by piece
+    (pad gap, copied span) so the cost is linear in the row length."""
+    n = F.size(ids)
+    prev_end = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"].cast("int")))
+    ext = F.concat(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"),
+                                                           s["end"].cast("int").alias("end"))),
+                   F.array(F.struct(n.alias("start"), n.alias("end"))))
+    pieces = F.transform(F.arrays_zip(prev_end.alias("p"), ext.alias("s")), lambda z: F.concat(
+        F.array_repeat(pad, F.greatest(z["s"]["start"] - z["p"], F.lit(0))),
+        F.slice(ids, z["s"]["start"] + 1, F.greatest(z["s"]["end"] - z["s"]["start"], F.lit(0)))))
+    return F.flatten(pieces)
 
 
 # --------------------------------------------------------------------- T12

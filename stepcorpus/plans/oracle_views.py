@@ -93,3 +93,53 @@ def with_views(names: list[str], body: str, extra: list[tuple[str, str]] | None
     if not ctes:
         return body.strip()
     return "with " + ",\n".join(ctes) + "\n" + body.strip()
+
+
+def vocab_sql(occurrences: str) -> str:
+    """Vocabulary CTE body over a query yielding one ``token`` per occurrence."""
+    k = len(S.SPECIAL_TOKENS)
+    specials = ", ".join(f"({q(t)}, {i})" for i, t in enumerate(S.SPECIAL_TOKENS))
+    in_list = ", ".join(q(t) for t in S.SPECIAL_TOKENS)
+    return f"""
+select token, token_id, n from (
+  select s.token, cast(s.token_id as bigint) as token_id, coalesce(c.n, 0) as n
+  from (values {specials}) s(token, token_id)
+  left join (select token, count(*) as n from ({occurrences}) group by token) c using (token)
+  union all
+  select token, cast({k - 1} + row_number() over (order by n desc, token) as bigint) as token_id, n
+  from (select token, count(*) as n from ({occurrences}) where token not in ({in_list}) group by token))"""
+
+
+def tokens_of(text_sql: str) -> str:
+    return f"regexp_extract_all({text_sql}, {TOKEN_RE}, 0)"
+
+
+def _stage1_sql() -> str:
+    from stepcorpus.plans.registry import sql_join
+    sys_user = sql_text(f"{S.IM_START}system\n{S.SYSTEM_STAGE1}{S.IM_END}\n{S.IM_START}user\n")
+    gen = sql_text(f"{S.IM_END}\n{S.IM_START}assistant\n")
+    pads = q(S.IMAGE_PAD * S.IMAGE_PAD_NUM)
+    fb_q = (f"{S.IM_START}system\n{S.SYSTEM_STAGE1}{S.IM_END}\n{S.IM_START}user\n"
+            f"{S.FALLBACK_STAGE1_USER}{S.IM_END}\n{S.IM_START}assistant\n").replace(S.IMAGE_TAG, S.IMAGE_PAD * S.IMAGE_PAD_NUM)
+    fb_a = S.FALLBACK_STAGE1_ANSWER + S.EOS_TOKEN
+    path = sql_join(q(STAGE_IMAGE_ROOT), "c.image")
+    return f"""
+select conv_id, err as error_reason, err is not null as is_fallback,
+  list_concat(q_tok, a_tok) as tokens, cast(len(q_tok) as integer) as n_prompt
+from (
+  select conv_id, err,
+    case when err is null then {tokens_of(f"replace({sys_user} || question || {gen}, '<image>', {pads})")}
+         else {tokens_of(sql_text(fb_q))} end as q_tok,
+    case when err is null then {tokens_of(f"answer || {q(S.EOS_TOKEN)}")}
+         else {tokens_of(sql_text(fb_a))} end as a_tok
+  from (
+    select *, case when image is null then 'no_image' when n_turns < 2 then 'too_few_turns'
+      when question is null or answer is null then 'null_text' when image_missing then 'image_missing' end as err
+    from (
+      select c.conv_id, c.image, c.conversations[1]['value'] as question, c.conversations[2]['value'] as answer,
+        coalesce(len(c.conversations), 0) as n_turns, m.path is null as image_missing
+      from conv_nested c left join manifest m on m.path = {path})))"""
+
+
+STAGE_IMAGE_ROOT = f"{IMAGE_BASE}/data_images"
+VIEWS["stage1_tokens"] = (["conv_nested", "manifest"], _stage1_sql())
