@@ -143,3 +143,62 @@ from (
 
 STAGE_IMAGE_ROOT = f"{IMAGE_BASE}/data_images"
 VIEWS["stage1_tokens"] = (["conv_nested", "manifest"], _stage1_sql())
+
+
+def _stage2_sql() -> tuple[str, str, str]:
+    from stepcorpus.plans.registry import sql_join
+    pads = q(S.IMAGE_PAD * S.IMAGE_PAD_NUM)
+    text = (f"{sql_text(f'{S.IM_START}system{chr(10)}{S.SYSTEM_STAGE2}{S.IM_END}{chr(10)}{S.IM_START}user{chr(10)}')}"
+            f" || question || {sql_text(f'{S.IM_END}{chr(10)}{S.IM_START}assistant{chr(10)}')} || answer"
+            f" || {sql_text(S.IM_END + chr(10))}")
+    fb_q = (f"{S.IM_START}system\n{S.SYSTEM_STAGE2}{S.IM_END}\n{S.IM_START}user\n"
+            f"{S.FALLBACK_STAGE2_USER}{S.IM_END}\n").replace(S.IMAGE_TAG, S.IMAGE_PAD * S.IMAGE_PAD_NUM)
+    fb = tokens_of(sql_text(fb_q + S.FALLBACK_STAGE2_ANSWER + S.EOS_TOKEN))
+    n_fb_q = f"len({tokens_of(sql_text(fb_q))})"
+    pad = q(S.PAD_TOKEN)
+    path = sql_join(q(STAGE_IMAGE_ROOT), "c.image")
+    err = f"""
+select t.conv_id, t.toks, case when t.image is null then 'no_image' when t.h is null then 'no_human_turn'
+    when t.b is null then 'no_assistant_turn' when t.question is null or t.answer is null then 'null_text'
+    when coalesce(u.unclosed, false) then 'unclosed_span' when t.image_missing then 'image_missing' end as err
+from s2_text t left join (select conv_id, bool_or(a is not null and e is null) as unclosed from s2_grp group by conv_id) u
+  using (conv_id)"""
+    base = f"""
+select c.conv_id, c.image, c.h, c.b, c.h['value'] as question, c.b['value'] as answer, m.path is null as image_missing
+from (select conv_id, image, list_filter(conversations, lambda x: x['from'] = 'human')[1] as h,
+        list_filter(conversations, lambda x: x['from'] in ('gpt', 'assistant'))[1] as b from conv_nested) c
+left join manifest m on m.path = {path}"""
+    full = f"""
+select s.conv_id, s.pos, s.tok,
+  case when g.a is not null and g.e is not null and s.pos > g.a then s.tok else {pad} end as label_tok
+from s2_seg s join s2_grp g using (conv_id, seg) join stage2_err e using (conv_id) where e.err is null
+union all
+select conv_id, unnest(range(len({fb}))) as pos, unnest({fb}) as tok,
+  unnest(list_transform(range(len({fb})), lambda i: case when i < {n_fb_q} then {pad} else ({fb})[i + 1] end)) as label_tok
+from stage2_err where err is not null"""
+    return base, err, full
+
+
+def _add_stage2_views() -> None:
+    base, err, full = _stage2_sql()
+    VIEWS["s2_base"] = (["conv_nested", "manifest"], base)
+    VIEWS["s2_text"] = (["s2_base"], f"""
+select *, regexp_extract_all(replace({sql_text(f'{S.IM_START}system{chr(10)}{S.SYSTEM_STAGE2}{S.IM_END}{chr(10)}{S.IM_START}user{chr(10)}')}
+  || question || {sql_text(f'{S.IM_END}{chr(10)}{S.IM_START}assistant{chr(10)}')} || answer || {sql_text(S.IM_END + chr(10))},
+  '<image>', {q(S.IMAGE_PAD * S.IMAGE_PAD_NUM)}), {TOKEN_RE}, 0) as toks from s2_base""")
+    VIEWS["s2_seg"] = (["s2_text"], f"""
+select conv_id, pos, tok, coalesce(sum(case when tok = {q(S.IM_END)} then 1 else 0 end)
+  over (partition by conv_id order by pos rows between unbounded preceding and 1 preceding), 0) as seg
+from (select conv_id, unnest(range(len(toks))) as pos, unnest(toks) as tok from s2_text)""")
+    VIEWS["s2_grp"] = (["s2_seg"], f"""
+select conv_id, seg, min(pos) filter (where tok = {q(S.ROLE_ASSISTANT)}) as a,
+  max(pos) filter (where tok = {q(S.IM_END)}) as e from s2_seg group by conv_id, seg""")
+    VIEWS["stage2_err"] = (["s2_text", "s2_grp"], err)
+    VIEWS["stage2_full"] = (["s2_seg", "s2_grp", "stage2_err"], full)
+    VIEWS["stage2_long"] = (["stage2_full"], """
+select conv_id, pos, tok as input_tok, label_next as label_tok from (
+  select *, lead(label_tok) over (partition by conv_id order by pos) as label_next,
+    count(*) over (partition by conv_id) as n from stage2_full) where pos < n - 1""")
+
+
+_add_stage2_views()

@@ -89,9 +89,11 @@ def stage2_tokens(conv: DataFrame, image_root: str = "", manifest: DataFrame | N
     df = _image_check(df, T.join_path_lit(image_root, F.col("image")), manifest)
     text = T.expand_image_tag(T.render_chat([("system", S.SYSTEM_STAGE2), ("user", F.col("question")),
                                              ("assistant", F.col("answer"))], False), n_pads)
-    toks = T.tokenize(text)
-    spans, unclosed = K.assistant_spans(toks, F.lit(S.ROLE_ASSISTANT), F.lit(S.IM_END))
-    df = df.withColumns({"_toks": toks, "_spans": spans, "_unclosed": unclosed})
+    # Tokens first, as their own column: the span lambdas then read the
+    # column instead of re-running the tokenizer per element.
+    df = df.withColumn("_toks", T.tokenize(text))
+    spans, unclosed = K.assistant_spans(F.col("_toks"), F.lit(S.ROLE_ASSISTANT), F.lit(S.IM_END))
+    df = df.withColumns({"_spans": spans, "_unclosed": unclosed})
     err = F.coalesce(F.when(F.col("image").isNull(), F.lit("no_image")), F.col("pair_error"),
                      F.when(F.col("_unclosed"), F.lit("unclosed_span")),
                      F.when(F.col("image_missing"), F.lit("image_missing")))
