@@ -95,6 +95,19 @@ def with_views(names: list[str], body: str, extra: list[tuple[str, str]] | None
     return "with " + ",\n".join(ctes) + "\n" + body.strip()
 
 
+def _sql_join(left: str, part: str) -> str:
+    from stepcorpus.plans.registry import sql_join
+    return sql_join(left, part)
+
+
+def resolve_sql(url: str, base: str) -> str:
+    images = _sql_join(q(base), q(S.PATH_IMAGES_DIR))
+    rest = f"substr({url}, {len(S.PATH_PREFIX_DATASET) + 1})"
+    return (f"(case when starts_with({url}, {q(S.PATH_PREFIX_DATASET)}) then {_sql_join(images, rest)} "
+            f"when not starts_with({url}, {q(S.PATH_PREFIX_IMAGES)}) then {_sql_join(images, url)} "
+            f"else {_sql_join(q(base), url)} end)")
+
+
 def vocab_sql(occurrences: str) -> str:
     """Vocabulary CTE body over a query yielding one ``token`` per occurrence."""
     k = len(S.SPECIAL_TOKENS)
@@ -202,3 +215,33 @@ select conv_id, pos, tok as input_tok, label_next as label_tok from (
 
 
 _add_stage2_views()
+
+
+def _add_stage3_views() -> None:
+    from stepcorpus.operators.prompts import stage3_prompt_prefix
+    resolved = resolve_sql("image_url", IMAGE_BASE)
+    VIEWS["stage3_valid"] = (["step_records_full", "manifest"], f"""
+select conv_id, image_url, instruction, {resolved} as full_image_path from step_records_full
+where coalesce(image_url, '') <> '' and {resolved} in (select path from manifest)""")
+    prompt = (f"{sql_text(stage3_prompt_prefix())} || coalesce(instruction, 'None') || "
+              f"{sql_text(f'{S.IM_END}{chr(10)}{S.IM_START}assistant{chr(10)}')}")
+    VIEWS["stage3_tokens"] = (["stage3_valid"], f"""
+select conv_id, instruction, {tokens_of(prompt)} as tokens from stage3_valid""")
+    VIEWS["stage3_vocab"] = (["stage3_tokens"], vocab_sql("select unnest(tokens) as token from stage3_tokens"))
+    VIEWS["stage3_ids"] = (["stage3_tokens", "stage3_vocab"], """
+select l.conv_id, l.pos, v.token_id from (select conv_id, unnest(range(len(tokens))) as pos, unnest(tokens) as token
+  from stage3_tokens) l join stage3_vocab v using (token)""")
+    VIEWS["stage3_split"] = (["stage3_valid"], """
+select conv_id, case when row_number() over (order by md5('42:' || conv_id), conv_id)
+    <= floor(count(*) over () * cast(0.05 as double)) then 'validation' else 'train' end as split
+from stage3_valid""")
+    VIEWS["stage3_batches"] = (["stage3_split", "stage3_tokens"], """
+select epoch, cast((rk - 1) // 4 as bigint) as batch_id, cast((rk - 1) % 4 as integer) as slot, conv_id, n,
+  max(n) over (partition by epoch, (rk - 1) // 4) as max_len
+from (select e.epoch, s.conv_id, len(t.tokens) as n,
+        row_number() over (partition by e.epoch order by md5('42:' || e.epoch || ':' || s.conv_id), s.conv_id) as rk
+      from stage3_split s join stage3_tokens t using (conv_id) cross join (select unnest(range(2)) as epoch) e
+      where s.split = 'train')""")
+
+
+_add_stage3_views()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stepcorpus import settings as S
 from stepcorpus.operators import prompts as P
 from stepcorpus.plans import views as V
-from stepcorpus.plans.oracle_views import q, sql_text, with_views
+from stepcorpus.plans.oracle_views import q, resolve_sql, sql_text, with_views
 from stepcorpus.plans.registry import query, sql_join
 
 _PAIR_ERR_SQL = ("case when len(conversations) < 2 then 'too_few_turns' "
@@ -39,14 +39,6 @@ def p2(spark, d):
             .select("conv_id", "question", "answer", F.coalesce("pair_error", F.lit("ok")).alias("pair_error")))
 
 
-def resolve_sql(url: str, base: str) -> str:
-    images = sql_join(q(base), q(S.PATH_IMAGES_DIR))
-    rest = f"substr({url}, {len(S.PATH_PREFIX_DATASET) + 1})"
-    return (f"(case when starts_with({url}, {q(S.PATH_PREFIX_DATASET)}) then {sql_join(images, rest)} "
-            f"when not starts_with({url}, {q(S.PATH_PREFIX_IMAGES)}) then {sql_join(images, url)} "
-            f"else {sql_join(q(base), url)} end)")
-
-
 @query("p3_resolve_image_path", with_views(["step_records"], f"""
 select conv_id, image_url, {resolve_sql('image_url', V.IMAGE_BASE)} as full_image_path from step_records"""))
 def p3(spark, d):

@@ -9,8 +9,7 @@ from stepcorpus.functions import text as T
 from stepcorpus.operators import validity as VA
 from stepcorpus.plans import stages as G
 from stepcorpus.plans import views as V
-from stepcorpus.plans.oracle_views import STAGE_IMAGE_ROOT, q, with_views
-from stepcorpus.plans.prompt_queries import resolve_sql
+from stepcorpus.plans.oracle_views import STAGE_IMAGE_ROOT, q, resolve_sql, with_views
 from stepcorpus.plans.registry import query, sql_join
 from stepcorpus.sources.tables import table
 
