@@ -12,7 +12,9 @@ from stepcorpus.plans import views as V
 from stepcorpus.plans.oracle_views import STAGE_IMAGE_ROOT, q, vocab_sql, with_views
 from stepcorpus.plans.registry import query
 
-PAD_ID = F.lit(0).cast("bigint")  # id of the pad token (first special)
+def pad_id():
+    """Id of the pad token (the first special token)."""
+    return F.lit(0).cast("bigint")
 
 
 def _long(df, key: str):
@@ -26,7 +28,7 @@ def stage1_samples(spark, d):
     s = G.stage1_tokens(V.conv_nested(spark, d), STAGE_IMAGE_ROOT, V.manifest(spark, d))
     vocab = K.build_vocab(s, "tokens")
     enc = G.encode_stage(s, vocab)
-    return G.stage1_labels(enc, "ids", PAD_ID)
+    return G.stage1_labels(enc, "ids", pad_id())
 
 
 @query("stage1_samples", with_views(["stage1_tokens"], """
@@ -47,7 +49,7 @@ def stage2_samples(spark, d, sf_conv=None):
                         STAGE_IMAGE_ROOT, V.manifest(spark, d))
     vocab = K.build_vocab(s, "tokens")
     enc = G.encode_stage(s, vocab)
-    return G.stage2_labels(enc, "ids", PAD_ID)
+    return G.stage2_labels(enc, "ids", pad_id())
 
 
 @query("stage2_samples", with_views(["stage2_long", "stage2_full"], """
@@ -65,7 +67,7 @@ def stage2_summary(spark, d):
     return s.select("conv_id", F.coalesce("error_reason", F.lit("ok")).alias("error_reason"),
                     F.col("is_fallback").cast("int").alias("is_fallback"),
                     F.size("input").cast("bigint").alias("n_input"),
-                    F.size(F.filter("labels", lambda t: t != PAD_ID)).cast("bigint").alias("n_supervised"))
+                    F.size(F.filter("labels", lambda t: t != pad_id())).cast("bigint").alias("n_supervised"))
 
 
 @query("stage2_summary", with_views(["stage2_long", "stage2_err"], f"""

@@ -24,7 +24,6 @@ from stepcorpus.operators import prompts as P
 from stepcorpus.operators import tokens as K
 from stepcorpus.operators.steps import locate_steps
 
-EMPTY_STR_ARRAY = F.array().cast("array<string>")
 
 
 def _lit_tokens(text: str) -> Column:
