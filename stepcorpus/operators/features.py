@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from stepcorpus.functions.arrays import explode_rows
 
 
 def vec_sum(v: Column) -> Column:
@@ -37,7 +38,7 @@ def pad_ordinals(arrays: DataFrame, key: str, tokens: str, pad: Column) -> DataF
     n = F.size(tokens)
     pos = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
                    lambda i: F.get(F.col(tokens), i) == pad)
-    return arrays.select(key, F.posexplode(pos).alias("k", "pos"))
+    return explode_rows(arrays, pos, [key], "k", "pos")
 
 
 def scatter_features(pads: DataFrame, features: DataFrame, key: str, feat_key: str = "image_id",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stepcorpus import settings as S
 from stepcorpus.functions import text as T
 from stepcorpus.operators.prompts import stage3_prompt_prefix
+from stepcorpus.functions.arrays import explode_rows
 
 
 def step_label(content: Column) -> Column:
@@ -58,5 +59,5 @@ def locate_steps(instruction: Column) -> Column:
 
 def explode_steps(df: DataFrame, instruction: str = "instruction", keep: tuple[str, ...] = ()) -> DataFrame:
     """T9 in long form: one row per located step."""
-    return (df.select(*keep, F.explode(locate_steps(F.col(instruction))).alias("s"))
+    return (explode_rows(df, locate_steps(F.col(instruction)), list(keep), value="s")
             .select(*keep, "s.*"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stepcorpus import settings as S
 from stepcorpus.functions import text as T
 from stepcorpus.functions.ranking import with_global_rank
+from stepcorpus.functions.arrays import explode_rows
 
 # ----------------------------------------------------------------- T1 / T2
 
@@ -33,7 +34,7 @@ def build_vocab(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     fixed order; every other token follows by falling count, then by its
     UTF-8 bytes (Spark and DuckDB compare strings the same way)."""
     spark = df.sparkSession
-    counts = (df.select(F.explode(tokens).alias("token"))
+    counts = (explode_rows(df, tokens, value="token")
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     k = len(S.SPECIAL_TOKENS)
     ranked = with_global_rank(counts.filter(~F.col("token").isin(*S.SPECIAL_TOKENS)),
@@ -48,7 +49,7 @@ def encode(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str = "i
     """Token strings -> ids, keeping order.  The vocabulary join is left
     to AQE, which broadcasts it when its materialised size is small and
     shuffles otherwise."""
-    exploded = df.select(key, F.posexplode(tokens).alias("pos", "token"))
+    exploded = explode_rows(df, tokens, [key], "pos", "token")
     ids = (exploded.join(vocab.select("token", "token_id"), "token", "left")
            .groupBy(key)
            .agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_enc")))
@@ -59,7 +60,7 @@ def encode(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str = "i
 
 def decode(df: DataFrame, ids: str, vocab: DataFrame, key: str, out: str = "text") -> DataFrame:
     """Ids -> text by joining the vocabulary and concatenating in order."""
-    exploded = df.select(key, F.posexplode(ids).alias("pos", "token_id"))
+    exploded = explode_rows(df, ids, [key], "pos", "token_id")
     toks = (exploded.join(vocab.select("token", "token_id"), "token_id", "left")
             .groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_dec")))

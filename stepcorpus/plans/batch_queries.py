@@ -14,6 +14,7 @@ from stepcorpus.plans.oracle_views import TOKEN_RE, q, with_views
 from stepcorpus.plans.registry import query
 from stepcorpus.plans.token_queries import _SEGMENTS
 from stepcorpus.sources.tables import table
+from stepcorpus.functions.arrays import explode_rows
 
 BATCH = S.STAGE3.batch_size
 EPOCHS = S.STAGE3.epochs
@@ -64,7 +65,7 @@ def b3(spark, d):
     s = B.assign_batches(s, "sample_id", 4, 1, 42)
     s = B.pad_to_batch_max(s, {"input": F.lit(S.PAD_TOKEN), "labels": F.lit(S.PAD_TOKEN)}, "input")
     z = F.arrays_zip(F.col("input").alias("i"), F.col("labels").alias("l"))
-    return (s.select("epoch", "batch_id", "slot", "sample_id", F.posexplode(z).alias("pos", "z"))
+    return (explode_rows(s, z, ["epoch", "batch_id", "slot", "sample_id"], "pos", "z")
             .select("epoch", "batch_id", "slot", "sample_id", F.col("pos").cast("bigint").alias("pos"),
                     F.col("z.i").alias("input_tok"), F.col("z.l").alias("label_tok")))
 
@@ -93,7 +94,7 @@ def b4(spark, d):
     """Stage-3 train batches: ids padded with the pad id, labels with -100, mask."""
     s = stage3_batches(spark, d)
     z = F.arrays_zip(F.col("ids").alias("i"), F.col("labels").alias("l"), F.col("attention_mask").alias("m"))
-    return (s.select("epoch", "batch_id", "slot", "conv_id", F.posexplode(z).alias("pos", "z"))
+    return (explode_rows(s, z, ["epoch", "batch_id", "slot", "conv_id"], "pos", "z")
             .select("epoch", "batch_id", "slot", "conv_id", F.col("pos").cast("bigint").alias("pos"),
                     F.col("z.i").alias("input_id"), F.col("z.l").alias("label"), F.col("z.m").alias("attention_mask")))
 
@@ -111,7 +112,7 @@ from stage3_batches b join (
 def b4_steps(spark, d):
     """The ragged step lists (step index, label) that travel with each batch row."""
     s = stage3_batches(spark, d)
-    return (s.select("epoch", "batch_id", "slot", "conv_id", F.explode("steps").alias("s"))
+    return (explode_rows(s, "steps", ["epoch", "batch_id", "slot", "conv_id"], value="s")
             .select("epoch", "batch_id", "slot", "conv_id", "s.step_no", "s.token_idx", "s.label"))
 
 

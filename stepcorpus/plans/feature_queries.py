@@ -13,6 +13,7 @@ from stepcorpus.operators.prompts import stage3_prompt_prefix
 from stepcorpus.plans.oracle_views import STEP_RE, TOKEN_RE, q, sql_text, vocab_sql, with_views
 from stepcorpus.plans.registry import query
 from stepcorpus.sources.tables import table
+from stepcorpus.functions.arrays import explode_rows
 
 R = 3  # patches per regrouped vector
 D_IN, D_HID, D_OUT = 3 * 64, 32, 16
@@ -33,7 +34,7 @@ def _encoded_tokens(spark, d):
     arr = V.token_arrays(spark, d)
     vocab = K.build_vocab(arr, "toks")
     enc = K.encode(arr, "toks", vocab, "sample_id", "ids")
-    return enc.select("sample_id", F.posexplode("ids").alias("pos", "token_id"))
+    return explode_rows(enc, "ids", ["sample_id"], "pos", "token_id")
 
 
 _TOKEN_IDS = ("ids", """
@@ -124,7 +125,7 @@ select image_id, cast(unnest(range(len(pooled))) as integer) as j, unnest(pooled
 def j5(spark, d):
     """[first patch, mean, max] per image, one row per output dimension."""
     p = J.pool_patches(V.patches(spark, d))
-    return p.select("image_id", F.posexplode("pooled").alias("j", "v"))
+    return explode_rows(p, "pooled", ["image_id"], "j", "v")
 
 
 def _w_sql(name: str, rows: int, cols: int, rule: tuple[float, float], a: str, b: str) -> tuple[str, str]:
@@ -155,7 +156,7 @@ def j6(spark, d):
     g = J.regroup_patches(V.patches(spark, d), R).filter(F.col("status") == "ok")
     w1, b1, w2, b2 = _weights()
     p = J.project(g.select("image_id", "group_idx", "vector"), "vector", w1, b1, w2, b2, "silu")
-    return (p.select("image_id", "group_idx", F.posexplode("projected").alias("o", "y"))
+    return (explode_rows(p, "projected", ["image_id", "group_idx"], "o", "y")
             .select("image_id", "group_idx", F.col("o").cast("bigint").alias("o"), "y"))
 
 
@@ -174,9 +175,9 @@ def j7(spark, d):
     toks = G.stage3_tokens(valid)
     vocab = K.build_vocab(toks, "tokens")
     enc = G.encode_stage(toks, vocab)
-    hidden = J.lookup_embeddings(enc.select("conv_id", F.posexplode("ids").alias("pos", "token_id")),
+    hidden = J.lookup_embeddings(explode_rows(enc, "ids", ["conv_id"], "pos", "token_id"),
                                  table(spark, d, "embeddings"))
-    steps = toks.select("conv_id", F.explode("steps").alias("s")).select(
+    steps = explode_rows(toks, "steps", ["conv_id"], value="s").select(
         "conv_id", "s.step_no", F.col("s.token_idx_templated").alias("pos"))
     out = steps.join(hidden, ["conv_id", "pos"])
     return out.select("conv_id", "step_no", F.col("pos").cast("bigint").alias("pos"), "token_id",

@@ -17,6 +17,7 @@ from stepcorpus.plans.oracle_views import with_views
 from stepcorpus.session import scratch_dir
 from stepcorpus.sources import files as SRC
 from stepcorpus.sources.tables import table
+from stepcorpus.functions.arrays import explode_rows
 
 
 @query("s1_read_conversations", """
@@ -31,7 +32,7 @@ def s1(spark, d):
     SRC.write_conversations(V.conv_nested(spark, d), path, "conv_id", rows_per_file=1000)
     schema = T.StructType([T.StructField("conv_id", T.LongType())] + SRC.CONVERSATION_SCHEMA.fields)
     back = SRC.read_conversations(spark, path, schema)
-    return (back.select("conv_id", "image", F.posexplode("conversations").alias("turn", "m"))
+    return (explode_rows(back, "conversations", ["conv_id", "image"], "turn", "m")
             .select("conv_id", "image", "turn", F.col("m.from").alias("from"), F.col("m.value").alias("value")))
 
 

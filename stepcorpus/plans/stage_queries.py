@@ -11,6 +11,7 @@ from stepcorpus.plans import stages as G
 from stepcorpus.plans import views as V
 from stepcorpus.plans.oracle_views import STAGE_IMAGE_ROOT, q, vocab_sql, with_views
 from stepcorpus.plans.registry import query
+from stepcorpus.functions.arrays import explode_rows
 
 def pad_id():
     """Id of the pad token (the first special token)."""
@@ -19,7 +20,7 @@ def pad_id():
 
 def _long(df, key: str):
     z = F.arrays_zip(F.col("input").alias("i"), F.col("labels").alias("l"))
-    return (df.select(key, F.posexplode(z).alias("pos", "z"))
+    return (explode_rows(df, z, [key], "pos", "z")
             .select(key, F.col("pos").cast("bigint").alias("pos"), F.col("z.i").alias("input_id"),
                     F.col("z.l").alias("label")))
 

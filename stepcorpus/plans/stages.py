@@ -25,7 +25,6 @@ from stepcorpus.operators import tokens as K
 from stepcorpus.operators.steps import locate_steps
 
 
-
 def _lit_tokens(text: str) -> Column:
     return T.tokenize(F.lit(text))
 

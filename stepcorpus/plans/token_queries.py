@@ -12,6 +12,7 @@ from stepcorpus.plans import views as V
 from stepcorpus.plans.oracle_views import STAGE_IMAGE_ROOT, TOKEN_RE, q, vocab_sql, with_views
 from stepcorpus.plans.registry import query
 from stepcorpus.sources.tables import table
+from stepcorpus.functions.arrays import explode_rows
 
 _DOC_TOKENS = f"select unnest(regexp_extract_all(text, {TOKEN_RE}, 0)) as token from documents"
 
@@ -31,7 +32,7 @@ def t1_encode(spark, d):
     arr = V.token_arrays(spark, d)
     vocab = K.build_vocab(arr, "toks")
     enc = K.encode(arr, "toks", vocab, "sample_id", "ids")
-    return (enc.select("sample_id", F.posexplode("ids").alias("pos", "token_id"))
+    return (explode_rows(enc, "ids", ["sample_id"], "pos", "token_id")
             .select("sample_id", F.col("pos").cast("bigint").alias("pos"), "token_id"))
 
 
@@ -55,7 +56,7 @@ select conv_id, unnest(range(len(tokens))) as pos, unnest(tokens) as tok from st
 def t3(spark, d):
     """Stage-1 ``q + a`` token sequence (fallback rows hold the fallback sample)."""
     s = _stage1(spark, d)
-    return (s.select("conv_id", F.posexplode("tokens").alias("pos", "tok"))
+    return (explode_rows(s, "tokens", ["conv_id"], "pos", "tok")
             .select("conv_id", F.col("pos").cast("bigint").alias("pos"), "tok"))
 
 
@@ -68,7 +69,7 @@ def t4(spark, d):
     """Stage-1 labels: pad over the prompt, the answer after it."""
     s = _stage1(spark, d)
     lab = G.prefix_labels(F.col("tokens"), F.col("n_prompt"), F.lit(S.PAD_TOKEN))
-    return (s.select("conv_id", F.posexplode(lab).alias("pos", "label_tok"))
+    return (explode_rows(s, lab, ["conv_id"], "pos", "label_tok")
             .select("conv_id", F.col("pos").cast("bigint").alias("pos"), "label_tok"))
 
 
@@ -82,7 +83,7 @@ def t8(spark, d):
     """Stage-1 pairs after the shift: ids[:-1] against labels[1:]."""
     s = G.stage1_labels(_stage1(spark, d), "tokens", F.lit(S.PAD_TOKEN))
     z = F.arrays_zip(F.col("input").alias("i"), F.col("labels").alias("l"))
-    return (s.select("conv_id", F.posexplode(z).alias("pos", "z"))
+    return (explode_rows(s, z, ["conv_id"], "pos", "z")
             .select("conv_id", F.col("pos").cast("bigint").alias("pos"),
                     F.col("z.i").alias("input_tok"), F.col("z.l").alias("label_tok")))
 
@@ -102,7 +103,7 @@ def t5(spark, d):
     """Half-open assistant spans per chat sample."""
     arr = V.token_arrays(spark, d)
     spans, _ = K.assistant_spans(F.col("toks"), F.lit(S.ROLE_ASSISTANT), F.lit(S.IM_END))
-    return (arr.select("sample_id", F.explode(spans).alias("s"))
+    return (explode_rows(arr, spans, ["sample_id"], value="s")
             .select("sample_id", F.col("s.start").cast("bigint").alias("span_start"),
                     F.col("s.end").cast("bigint").alias("span_end")))
 
@@ -117,5 +118,5 @@ def t6(spark, d):
     arr = V.token_arrays(spark, d)
     spans, _ = K.assistant_spans(F.col("toks"), F.lit(S.ROLE_ASSISTANT), F.lit(S.IM_END))
     lab = K.span_mask_labels(F.col("toks"), spans, F.lit(S.PAD_TOKEN))
-    return (arr.select("sample_id", F.posexplode(lab).alias("pos", "label_tok"))
+    return (explode_rows(arr, lab, ["sample_id"], "pos", "label_tok")
             .select("sample_id", F.col("pos").cast("bigint").alias("pos"), "label_tok"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stepcorpus import settings as S
 from stepcorpus.sources.tables import table
+from stepcorpus.functions.arrays import explode_rows
 
 IMAGE_BASE = "BASE"  # image store root used by the stage-3 views
 PADS_PER_SAMPLE = 3  # image pads per sample in the ``tokens`` view
@@ -97,7 +98,7 @@ def token_arrays(spark: SparkSession, d: str) -> DataFrame:
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """Long form ``(sample_id, pos, tok)``."""
     return (token_arrays(spark, d)
-            .select("sample_id", F.posexplode("toks").alias("pos", "tok")))
+            .transform(lambda a: explode_rows(a, "toks", ["sample_id"], "pos", "tok")))
 
 
 def patches(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +120,7 @@ def step_features(spark: SparkSession, d: str) -> DataFrame:
 def scores(spark: SparkSession, d: str) -> DataFrame:
     """``grp, item, score``: one score per embedding element."""
     e = table(spark, d, "embeddings")
-    return (e.select(F.col("vec_id").alias("grp"), F.posexplode("embedding").alias("item", "x"))
+    return (explode_rows(e, "embedding", [F.col("vec_id").alias("grp")], "item", "x")
             .select("grp", F.col("item").cast("bigint").alias("item"), F.col("x").cast("double").alias("score")))
 
 
