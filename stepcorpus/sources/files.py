@@ -67,20 +67,27 @@ def conversations_to_parquet(spark: SparkSession, src: str, dst: str) -> None:
 
 # ------------------------------------------------------------------------ S2
 
-def _strict_reason(line: str | None) -> str | None:
+def _strict_check(line: str | None) -> tuple[str | None, list[str] | None]:
     if line is None or not line.strip():
-        return "blank"
+        return "blank", None
     try:
         obj = json.loads(line)
     except ValueError:
-        return "parse_error"
-    return None if isinstance(obj, dict) else "not_object"
+        return "parse_error", None
+    if not isinstance(obj, dict):
+        return "not_object", None
+    return None, list(obj.keys())
 
 
-@F.pandas_udf(T.StringType())
-def strict_json_reason(lines: pd.Series) -> pd.Series:
-    """Null for a line Python's ``json`` accepts as one object, else why not."""
-    return lines.map(_strict_reason)
+@F.pandas_udf(T.StructType([T.StructField("reason", T.StringType()),
+                            T.StructField("keys", T.ArrayType(T.StringType()))]))
+def strict_json_check(lines: pd.Series) -> pd.DataFrame:
+    """Python's own ``json`` verdict per line: null ``reason`` for one JSON
+    object (then ``keys`` are its keys), else why the line is rejected.
+    Spark's parser alone accepts trailing text and rejects NaN, so the
+    strict check stays in Python; it runs once per line in Arrow batches."""
+    out = [_strict_check(v) for v in lines]
+    return pd.DataFrame({"reason": [r for r, _ in out], "keys": [k for _, k in out]})
 
 
 def read_step_jsonl(spark: SparkSession, path: str, schema: T.StructType = STEP_RECORD_SCHEMA,
@@ -94,14 +101,14 @@ def read_step_jsonl(spark: SparkSession, path: str, schema: T.StructType = STEP_
     before any validity check, like ``max_samples``.
     """
     raw = with_file_order(spark.read.text(path))
-    checked = raw.withColumn("_reason", strict_json_reason(F.col("value")))
-    quarantine = checked.filter(F.col("_reason").isNotNull()).select(
-        F.substring("value", 1, QUARANTINE_CHARS).alias("head"), F.col("_reason").alias("reason"), "_file")
-    ok = checked.filter(F.col("_reason").isNull())
+    checked = raw.withColumn("_chk", strict_json_check(F.col("value")))
+    quarantine = checked.filter(F.col("_chk.reason").isNotNull()).select(
+        F.substring("value", 1, QUARANTINE_CHARS).alias("head"), F.col("_chk.reason").alias("reason"), "_file")
+    ok = checked.filter(F.col("_chk.reason").isNull())
     parsed = ok.select(
         "_file", "_block", "_mid",
         F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("_r"),
-        F.array_contains(F.json_object_keys("value"), F.lit("instruction")).alias("instruction_present"))
+        F.array_contains(F.col("_chk.keys"), F.lit("instruction")).alias("instruction_present"))
     good = parsed.select(*[F.col("_r")[f.name].alias(f.name) for f in schema.fields], "instruction_present",
                          "_file", "_block", "_mid")
     if first_n:

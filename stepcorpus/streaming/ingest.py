@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stepcorpus.plans import stages as G
 from stepcorpus.session import scratch_dir
-from stepcorpus.sources.files import QUARANTINE_CHARS, STEP_RECORD_SCHEMA, strict_json_reason
+from stepcorpus.sources.files import QUARANTINE_CHARS, STEP_RECORD_SCHEMA, strict_json_check
 
 
 def step_record_stream(spark: SparkSession, src_dir: str, manifest: DataFrame, base: str,
@@ -28,7 +28,7 @@ def step_record_stream(spark: SparkSession, src_dir: str, manifest: DataFrame, b
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.load(src_dir).withColumn("_file", F.col("_metadata.file_path"))
-    checked = raw.withColumn("_reason", strict_json_reason(F.col("value")))
+    checked = raw.withColumn("_reason", strict_json_check(F.col("value"))["reason"])
     quarantine = checked.filter(F.col("_reason").isNotNull()).select(
         "_file", F.substring("value", 1, QUARANTINE_CHARS).alias("head"), F.col("_reason").alias("reason"))
     parsed = checked.filter(F.col("_reason").isNull()).select(
