@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from stepcorpus.functions.arrays import explode_rows
 
@@ -68,16 +68,19 @@ def regroup_patches(patches: DataFrame, r: int = 3, key: str = "image_id", idx:
                     vector: str = "embedding") -> DataFrame:
     """Concatenate every r consecutive patch vectors of an image.  An
     image whose patch count is not a multiple of r cannot be reshaped; its
-    rows come back with ``status = 'not_divisible'`` instead of failing."""
-    w = Window.partitionBy(key)
-    counted = patches.withColumn("_n", F.count(F.lit(1)).over(w))
-    grouped = (counted.groupBy(key, F.floor(F.col(idx) / F.lit(r)).cast("int").alias("group_idx"))
-               .agg(F.first("_n").alias("_n"),
+    rows come back with ``status = 'not_divisible'`` instead of failing.
+
+    Rows are grouped by (image, group) first, so even an image with a third
+    of all patches is spread over many tasks; the per-image patch count is a
+    partial aggregate over those groups, joined back on the image."""
+    grouped = (patches.groupBy(key, F.floor(F.col(idx) / F.lit(r)).cast("int").alias("group_idx"))
+               .agg(F.count(F.lit(1)).alias("_c"),
                     F.array_sort(F.collect_list(F.struct(idx, vector))).alias("_g")))
-    return grouped.select(
-        key, "group_idx",
-        F.when(F.col("_n") % r == 0, F.lit("ok")).otherwise(F.lit("not_divisible")).alias("status"),
-        F.when(F.col("_n") % r == 0, F.flatten(F.transform("_g", lambda s: s[vector]))).alias("vector"))
+    per_image = grouped.groupBy(key).agg(F.sum("_c").alias("_n"))
+    ok = F.col("_n") % r == 0
+    return grouped.join(per_image, key).select(
+        key, "group_idx", F.when(ok, F.lit("ok")).otherwise(F.lit("not_divisible")).alias("status"),
+        F.when(ok, F.flatten(F.transform("_g", lambda s: s[vector]))).alias("vector"))
 
 
 def pool_patches(patches: DataFrame, key: str = "image_id", idx: str = "patch_idx",

@@ -164,14 +164,24 @@ def retained_checkpoints(metrics: DataFrame, keep: int, run: str = "run_id", ste
                          loss: str = "eval_loss") -> DataFrame:
     """After rotation with ``keep`` saves and best-model tracking, the
     best checkpoint survives plus the newest ``keep - 1`` others; with
-    ``keep = 1`` a best that is not the newest keeps the newest too."""
+    ``keep = 1`` a best that is not the newest keeps the newest too.
+
+    The newest others come from ``keep - 1`` rounds of ``max(step)`` below the
+    previous round (partial aggregates, one small row per run), never from a
+    window that would put a whole run into one task."""
     best = best_checkpoint(metrics, run, step, loss)
-    j = metrics.join(best, run)
-    others = j.filter(F.col(step) != F.col("best_step"))
-    ranked = others.withColumn("_r", F.row_number().over(Window.partitionBy(run).orderBy(F.col(step).desc())))
-    if keep == 1:
-        kept = ranked.filter((F.col("_r") == 1) & (F.col(step) > F.col("best_step")))
-    else:
-        kept = ranked.filter(F.col("_r") <= keep - 1)
+    others = metrics.join(best.select(run, "best_step"), run).filter(F.col(step) != F.col("best_step"))
+    rounds = 1 if keep == 1 else keep - 1
+    kept, below = [], None
+    for _ in range(rounds):
+        cand = others if below is None else others.join(below, run).filter(F.col(step) < F.col("_below"))
+        newest = cand.groupBy(run).agg(F.max(step).alias("_below"), F.first("best_step").alias("best_step"))
+        kept.append(newest)
+        below = newest.select(run, "_below")
+    out = None
+    for k in kept:
+        rows = k if keep != 1 else k.filter(F.col("_below") > F.col("best_step"))
+        rows = rows.select(run, F.col("_below").alias(step), F.lit(0).alias("is_best"))
+        out = rows if out is None else out.unionByName(rows)
     best_rows = best.select(run, F.col("best_step").alias(step), F.lit(1).alias("is_best"))
-    return kept.select(run, step, F.lit(0).alias("is_best")).unionByName(best_rows)
+    return out.unionByName(best_rows)

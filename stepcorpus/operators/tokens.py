@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stepcorpus import settings as S
 from stepcorpus.functions import text as T
 from stepcorpus.functions.ranking import with_global_rank
+from stepcorpus.session import materialize
 from stepcorpus.functions.arrays import explode_rows
 
 # ----------------------------------------------------------------- T1 / T2
@@ -29,28 +30,67 @@ def specials_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "token string, token_id bigint")
 
 
+def special_ids() -> dict[str, int]:
+    """Fixed ids of the special tokens (their position in ``SPECIAL_TOKENS``)."""
+    return {t: i for i, t in enumerate(S.SPECIAL_TOKENS)}
+
+
 def build_vocab(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``(token, token_id, n)``.  Special tokens take ids 0..k-1 in their
     fixed order; every other token follows by falling count, then by its
-    UTF-8 bytes (Spark and DuckDB compare strings the same way)."""
+    UTF-8 bytes (Spark and DuckDB compare strings the same way).
+
+    The corpus is read once: token counts (partial aggregation absorbs the
+    Zipf-hot tokens) are checkpointed, the ranking runs on that small table,
+    and the finished vocabulary is checkpointed so every encode/decode that
+    uses it sees the same ids without recomputing it."""
     spark = df.sparkSession
-    counts = (explode_rows(df, tokens, value="token")
-              .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    counts = materialize(explode_rows(df, tokens, value="token")
+                         .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     k = len(S.SPECIAL_TOKENS)
     ranked = with_global_rank(counts.filter(~F.col("token").isin(*S.SPECIAL_TOKENS)),
                               [F.col("n").desc(), F.col("token").asc()], "rank")
     words = ranked.select("token", (F.col("rank") + F.lit(k - 1)).alias("token_id"), "n")
     specials = (specials_table(spark).join(counts, "token", "left")
                 .select("token", "token_id", F.coalesce("n", F.lit(0)).alias("n")))
-    return specials.unionByName(words)
-
-
-def encode(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str = "input_ids") -> DataFrame:
+    return materialize(specials.unionByName(words))
+
+
+def _hot_case(col: Column, hot: dict) -> Column | None:
+    out = None
+    for a, b in hot.items():
+        out = (F.when(col == F.lit(a), F.lit(b)) if out is None else out.when(col == F.lit(a), F.lit(b)))
+    return out
+
+
+def _join_lookup(exploded: DataFrame, value: str, vocab: DataFrame, src: str, dst: str,
+                 hot: dict | None) -> DataFrame:
+    """Left-join ``exploded[value]`` to ``vocab[src] -> vocab[dst]``.  Values in
+    ``hot`` (e.g. the image-pad token, a third of all positions) are
+    resolved in the row; their join key is spread by position so no single
+    task receives them, and it never matches a vocabulary entry."""
+    lookup = vocab.select(F.col(src).cast("string").alias("_key"), F.col(dst).alias("_val"))
+    if not hot:
+        key = F.col(value).cast("string")
+        fixed = F.lit(None)
+    else:
+        is_hot = F.col(value).isin(*hot.keys())
+        key = F.when(is_hot, F.concat(F.lit("\u0000#"), F.col("pos").cast("string"))).otherwise(
+            F.col(value).cast("string"))
+        fixed = _hot_case(F.col(value), hot)
+    j = exploded.withColumn("_key", key).join(lookup, "_key", "left")
+    return j.withColumn(dst, F.coalesce(fixed.cast(vocab.schema[dst].dataType), F.col("_val"))).drop("_key", "_val")
+
+
+def encode(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str = "input_ids",
+           hot: dict[str, int] | None = None) -> DataFrame:
     """Token strings -> ids, keeping order.  The vocabulary join is left
     to AQE, which broadcasts it when its materialised size is small and
-    shuffles otherwise."""
+    shuffles (splitting skewed partitions) otherwise; ``hot`` tokens with
+    known ids skip the join (default: the special tokens)."""
+    hot = special_ids() if hot is None else hot
     exploded = explode_rows(df, tokens, [key], "pos", "token")
-    ids = (exploded.join(vocab.select("token", "token_id"), "token", "left")
+    ids = (_join_lookup(exploded, "token", vocab, "token", "token_id", hot)
            .groupBy(key)
            .agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_enc")))
     ids = ids.select(key, F.transform("_enc", lambda s: s["token_id"]).alias(out))
@@ -58,10 +98,12 @@ def encode(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str = "i
         out, F.coalesce(F.col(out), F.array().cast("array<bigint>")))
 
 
-def decode(df: DataFrame, ids: str, vocab: DataFrame, key: str, out: str = "text") -> DataFrame:
+def decode(df: DataFrame, ids: str, vocab: DataFrame, key: str, out: str = "text",
+           hot: dict[int, str] | None = None) -> DataFrame:
     """Ids -> text by joining the vocabulary and concatenating in order."""
+    hot = {v: k for k, v in special_ids().items()} if hot is None else hot
     exploded = explode_rows(df, ids, [key], "pos", "token_id")
-    toks = (exploded.join(vocab.select("token", "token_id"), "token_id", "left")
+    toks = (_join_lookup(exploded, "token_id", vocab, "token_id", "token", hot)
             .groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_dec")))
     toks = toks.select(key, F.array_join(F.transform("_dec", lambda s: s["token"]), "").alias(out))

@@ -12,6 +12,7 @@ from stepcorpus.plans import stages as G
 from stepcorpus.plans import views as V
 from stepcorpus.plans.oracle_views import TOKEN_RE, q, with_views
 from stepcorpus.plans.registry import query
+from stepcorpus.session import materialize
 from stepcorpus.plans.token_queries import _SEGMENTS
 from stepcorpus.sources.tables import table
 from stepcorpus.functions.arrays import explode_rows
@@ -73,9 +74,9 @@ def b3(spark, d):
 def stage3_batches(spark, d):
     """Stage 3: valid records -> prompt tokens -> ids -> split -> train batches, padded."""
     valid = G.stage3_valid(V.step_records_full(spark, d), V.manifest(spark, d), V.IMAGE_BASE)
-    toks = G.stage3_tokens(valid)
+    toks = materialize(G.stage3_tokens(valid))
     vocab = K.build_vocab(toks, "tokens")
-    enc = G.encode_stage(toks, vocab).withColumn("labels", K.clone_labels(F.col("ids")))
+    enc = materialize(G.encode_stage(toks, vocab).withColumn("labels", K.clone_labels(F.col("ids"))))
     train = B.exact_split(enc, "conv_id", S.STAGE3.val_fraction, S.STAGE3.seed).filter(F.col("split") == "train")
     batches = B.assign_batches(train, "conv_id", BATCH, EPOCHS, S.STAGE3.seed)
     return B.pad_batch_steps(batches, "ids", "labels", F.lit(0).cast("bigint"),

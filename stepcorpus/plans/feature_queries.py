@@ -12,6 +12,7 @@ from stepcorpus.plans import views as V
 from stepcorpus.operators.prompts import stage3_prompt_prefix
 from stepcorpus.plans.oracle_views import STEP_RE, TOKEN_RE, q, sql_text, vocab_sql, with_views
 from stepcorpus.plans.registry import query
+from stepcorpus.session import materialize
 from stepcorpus.sources.tables import table
 from stepcorpus.functions.arrays import explode_rows
 
@@ -31,7 +32,7 @@ def _sum_sql(lst: str) -> str:
 
 
 def _encoded_tokens(spark, d):
-    arr = V.token_arrays(spark, d)
+    arr = materialize(V.token_arrays(spark, d))
     vocab = K.build_vocab(arr, "toks")
     enc = K.encode(arr, "toks", vocab, "sample_id", "ids")
     return explode_rows(enc, "ids", ["sample_id"], "pos", "token_id")
@@ -172,7 +173,7 @@ left join embeddings e on e.vec_id = i.token_id"""))
 def j7(spark, d):
     """Hidden vector (here: the codebook vector) at each step's position in the prompt."""
     valid = G.stage3_valid(V.step_records_full(spark, d), V.manifest(spark, d), V.IMAGE_BASE)
-    toks = G.stage3_tokens(valid)
+    toks = materialize(G.stage3_tokens(valid))
     vocab = K.build_vocab(toks, "tokens")
     enc = G.encode_stage(toks, vocab)
     hidden = J.lookup_embeddings(explode_rows(enc, "ids", ["conv_id"], "pos", "token_id"),

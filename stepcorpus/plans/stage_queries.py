@@ -11,6 +11,7 @@ from stepcorpus.plans import stages as G
 from stepcorpus.plans import views as V
 from stepcorpus.plans.oracle_views import STAGE_IMAGE_ROOT, q, vocab_sql, with_views
 from stepcorpus.plans.registry import query
+from stepcorpus.session import materialize
 from stepcorpus.functions.arrays import explode_rows
 
 def pad_id():
@@ -26,7 +27,7 @@ def _long(df, key: str):
 
 
 def stage1_samples(spark, d):
-    s = G.stage1_tokens(V.conv_nested(spark, d), STAGE_IMAGE_ROOT, V.manifest(spark, d))
+    s = materialize(G.stage1_tokens(V.conv_nested(spark, d), STAGE_IMAGE_ROOT, V.manifest(spark, d)))
     vocab = K.build_vocab(s, "tokens")
     enc = G.encode_stage(s, vocab)
     return G.stage1_labels(enc, "ids", pad_id())
@@ -46,8 +47,8 @@ def q_stage1(spark, d):
 
 
 def stage2_samples(spark, d, sf_conv=None):
-    s = G.stage2_tokens(sf_conv if sf_conv is not None else V.conv_nested(spark, d),
-                        STAGE_IMAGE_ROOT, V.manifest(spark, d))
+    s = materialize(G.stage2_tokens(sf_conv if sf_conv is not None else V.conv_nested(spark, d),
+                                    STAGE_IMAGE_ROOT, V.manifest(spark, d)))
     vocab = K.build_vocab(s, "tokens")
     enc = G.encode_stage(s, vocab)
     return G.stage2_labels(enc, "ids", pad_id())

@@ -11,6 +11,7 @@ from stepcorpus.plans import stages as G
 from stepcorpus.plans import views as V
 from stepcorpus.plans.oracle_views import STAGE_IMAGE_ROOT, TOKEN_RE, q, vocab_sql, with_views
 from stepcorpus.plans.registry import query
+from stepcorpus.session import materialize
 from stepcorpus.sources.tables import table
 from stepcorpus.functions.arrays import explode_rows
 
@@ -29,7 +30,7 @@ select t.sample_id, t.pos, v.token_id from tokens t join vocab v on v.token = t.
                                [("vocab", vocab_sql("select tok as token from tokens"))]))
 def t1_encode(spark, d):
     """Token strings of the chat samples -> ids, in order (long form)."""
-    arr = V.token_arrays(spark, d)
+    arr = materialize(V.token_arrays(spark, d))
     vocab = K.build_vocab(arr, "toks")
     enc = K.encode(arr, "toks", vocab, "sample_id", "ids")
     return (explode_rows(enc, "ids", ["sample_id"], "pos", "token_id")
@@ -40,9 +41,9 @@ def t1_encode(spark, d):
        f"{TOKEN_RE}, 0)) as bigint) as n_tokens from documents")
 def t2_decode(spark, d):
     """documents -> tokens -> ids -> text again; equal to the input (lossless)."""
-    docs = table(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
+    docs = materialize(table(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens")))
     vocab = K.build_vocab(docs, "tokens")
-    enc = K.encode(docs, "tokens", vocab, "doc_id", "ids")
+    enc = materialize(K.encode(docs, "tokens", vocab, "doc_id", "ids"))
     dec = K.decode(enc, "ids", vocab, "doc_id", "text_out")
     return dec.select("doc_id", "text_out", F.size("ids").cast("bigint").alias("n_tokens"))
 

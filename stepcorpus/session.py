@@ -58,3 +58,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Eagerly checkpoint ``df`` into the shared checkpoint folder and return
+    the checkpointed DataFrame: later branches read it instead of
+    recomputing its lineage, and a lost executor does not send the job back
+    to the source."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
