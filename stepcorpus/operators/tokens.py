@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stepcorpus import settings as S
 from stepcorpus.functions import text as T
 from stepcorpus.functions.ranking import with_global_rank
-from stepcorpus.session import materialize
+from stepcorpus.session import broadcast_if_small, materialize
 from stepcorpus.functions.arrays import explode_rows
 
 # ----------------------------------------------------------------- T1 / T2
@@ -69,7 +69,7 @@ def _join_lookup(exploded: DataFrame, value: str, vocab: DataFrame, src: str, ds
     ``hot`` (e.g. the image-pad token, a third of all positions) are
     resolved in the row; their join key is spread by position so no single
     task receives them, and it never matches a vocabulary entry."""
-    lookup = vocab.select(F.col(src).cast("string").alias("_key"), F.col(dst).alias("_val"))
+    lookup, _ = broadcast_if_small(vocab.select(F.col(src).cast("string").alias("_key"), F.col(dst).alias("_val")))
     if not hot:
         key = F.col(value).cast("string")
         fixed = F.lit(None)
@@ -84,10 +84,10 @@ def _join_lookup(exploded: DataFrame, value: str, vocab: DataFrame, src: str, ds
 
 def encode(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str = "input_ids",
            hot: dict[str, int] | None = None) -> DataFrame:
-    """Token strings -> ids, keeping order.  The vocabulary join is left
-    to AQE, which broadcasts it when its materialised size is small and
-    shuffles (splitting skewed partitions) otherwise; ``hot`` tokens with
-    known ids skip the join (default: the special tokens)."""
+    """Token strings -> ids, keeping order.  The vocabulary is broadcast
+    when its counted size is within ``BROADCAST_MAX_ROWS`` and shuffle-joined
+    otherwise (AQE splits skewed partitions); ``hot`` tokens with known ids
+    skip the join (default: the special tokens)."""
     hot = special_ids() if hot is None else hot
     exploded = explode_rows(df, tokens, [key], "pos", "token")
     ids = (_join_lookup(exploded, "token", vocab, "token", "token_id", hot)

@@ -60,10 +60,27 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df):
-    """Eagerly checkpoint ``df`` into the shared checkpoint folder and return
-    the checkpointed DataFrame: later branches read it instead of
-    recomputing its lineage, and a lost executor does not send the job back
-    to the source."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "materialized"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return a DataFrame that reads it back.  Later branches read the table
+    instead of recomputing its lineage (a reliable RDD checkpoint would
+    compute an unpersisted input twice), and a lost executor does not send
+    the job back to the source."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+# A lookup side is broadcast only when its counted rows are at most this
+# (a tokenizer vocabulary is ~1e5-1e6 rows; 4M rows of short strings stays
+# well inside executor memory).  Larger sides use a shuffle join.
+BROADCAST_MAX_ROWS = 4_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Mark ``df`` for broadcast after checking its size; otherwise leave the
+    join to a shuffle (with AQE splitting skewed partitions).  Meant for
+    materialized tables, where ``count()`` reads file footers only."""
+    from pyspark.sql import functions as F
+    n = df.count()
+    return (F.broadcast(df), n) if n <= max_rows else (df, n)
