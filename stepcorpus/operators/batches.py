@@ -30,7 +30,7 @@ def assign_batches(df: DataFrame, key: str, batch_size: int, epochs: int = 1, se
     """B2: for every epoch a fresh seeded order, cut into consecutive batches
     of ``batch_size`` (the last one may be short).  Adds ``epoch``,
     ``batch_id`` (within the epoch) and ``slot``."""
-    per_epoch = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    per_epoch = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(epochs - 1).cast("bigint"))))
     keyed = per_epoch.withColumn("_h", seeded_key(seed, F.col("epoch"), F.col(key)))
     ranked = with_global_rank(keyed, [F.col("epoch"), F.col("_h"), F.col(key)], "_rank", total_col="_n")
     r = F.col("_rank") - 1 - F.col("epoch") * (F.col("_n") / F.lit(epochs)).cast("bigint")

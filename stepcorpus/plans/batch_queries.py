@@ -52,7 +52,7 @@ b as (select sample_id, n, cast((rk - 1) // 4 as bigint) as batch_id, cast((rk -
         max(n) over (partition by (rk - 1) // 4) as max_len
       from (select sample_id, n, row_number() over (order by md5('42:0:' || sample_id), sample_id) as rk
             from (select distinct sample_id, n from shifted)))
-select 0 as epoch, b.batch_id, b.slot, b.sample_id, p.pos,
+select cast(0 as bigint) as epoch, b.batch_id, b.slot, b.sample_id, p.pos,
   coalesce(s.tok, {q(S.PAD_TOKEN)}) as input_tok, coalesce(s.lab, {q(S.PAD_TOKEN)}) as label_tok
 from b cross join lateral (select unnest(range(b.max_len)) as pos) p
 left join shifted s on s.sample_id = b.sample_id and s.pos = p.pos and s.pos < s.n"""))
@@ -118,7 +118,7 @@ def b4_steps(spark, d):
 
 
 @query("t12_attention_mask", with_views(["stage3_batches", "stage3_ids"], f"""
-select epoch, batch_id, slot, conv_id, count(*) as n_positions, sum(attention_mask) as n_attended
+select epoch, batch_id, slot, conv_id, count(*) as n_positions, cast(sum(attention_mask) as bigint) as n_attended
 from ({_B4_LONG}) group by epoch, batch_id, slot, conv_id"""))
 def t12(spark, d):
     """Attention mask after padding: positions and attended positions per batch row."""
@@ -138,7 +138,7 @@ with b as (select doc_id, epoch, (rk - 1) // {BATCH} as batch_id, len(regexp_ext
 e as (select epoch, ceil((max(batch_id) + 1) / {SCHED['accum']}) as spe from b group by epoch),
 s as (select cast(b.epoch * e.spe + b.batch_id // {SCHED['accum']} + 1 as bigint) as global_step, b.* from b join e using (epoch))
 select global_step, count(distinct (epoch, batch_id)) as n_micro_batches, count(*) as n_rows,
-  sum(n_tok) as n_tokens, cast(global_step % {SCHED['log_steps']} = 0 as integer) as is_log,
+  cast(sum(n_tok) as bigint) as n_tokens, cast(global_step % {SCHED['log_steps']} = 0 as integer) as is_log,
   cast(global_step % {SCHED['save_steps']} = 0 as integer) as is_save,
   cast(global_step % {SCHED['eval_steps']} = 0 as integer) as is_eval
 from s group by global_step""")

@@ -45,7 +45,7 @@ _VOCAB = ("vocab", vocab_sql("select tok as token from tokens"))
 
 @query("j1_lookup_embeddings", with_views(["tokens"], f"""
 select i.sample_id, i.pos, i.token_id, cast(e.vec_id is not null as integer) as has_vector,
-  coalesce({_sum_sql('e.embedding')}, 0.0) as v_sum
+  round(coalesce({_sum_sql('e.embedding')}, 0.0), 6) as v_sum
 from ids i left join embeddings e on e.vec_id = i.token_id""", [_VOCAB, _TOKEN_IDS]))
 def j1(spark, d):
     """Chat-sample token ids -> codebook vectors (embeddings table keyed by id)."""
@@ -53,7 +53,7 @@ def j1(spark, d):
     out = J.lookup_embeddings(toks, table(spark, d, "embeddings"))
     return out.select("sample_id", F.col("pos").cast("bigint").alias("pos"), "token_id",
                       F.col("vector").isNotNull().cast("int").alias("has_vector"),
-                      F.coalesce(J.vec_sum(F.col("vector")), F.lit(0.0)).alias("v_sum"))
+                      F.round(F.coalesce(J.vec_sum(F.col("vector")), F.lit(0.0)), 6).alias("v_sum"))
 
 
 _PADS = ("pads", f"""
@@ -63,7 +63,7 @@ select sample_id, cast(row_number() over (partition by sample_id order by pos) -
 
 @query("j2_scatter_features", with_views(["tokens", "patches"], f"""
 select p.sample_id, p.pos, p.k, coalesce(f.patch_idx, -1) as patch_idx,
-  coalesce({_sum_sql('f.embedding')}, 0.0) as v_sum
+  round(coalesce({_sum_sql('f.embedding')}, 0.0), 6) as v_sum
 from pads p left join patches f on f.image_id = p.sample_id and f.patch_idx = p.k""", [_PADS]))
 def j2(spark, d):
     """k-th image-pad position of a sample takes patch k of its image."""
@@ -71,7 +71,7 @@ def j2(spark, d):
     out = J.scatter_features(pads, V.patches(spark, d), "sample_id")
     return out.select("sample_id", "pos", F.col("k").cast("int").alias("k"),
                       F.coalesce("patch_idx", F.lit(-1)).alias("patch_idx"),
-                      F.coalesce(J.vec_sum(F.col("embedding")), F.lit(0.0)).alias("v_sum"))
+                      F.round(F.coalesce(J.vec_sum(F.col("embedding")), F.lit(0.0)), 6).alias("v_sum"))
 
 
 _POOLED = ("pooled", """
@@ -86,8 +86,8 @@ join (select image_id, list(m order by d) as avg_d, list(x order by d) as max_d
 
 
 @query("j3_insert_first_pad", with_views(["tokens", "patches"], f"""
-select s.sample_id, coalesce(f.first_pad, -1) as first_pad, cast(pl.image_id is not null as integer) as has_feature,
-  coalesce(list_sum(pl.pooled), 0.0) as pooled_sum
+select s.sample_id, cast(coalesce(f.first_pad, -1) as bigint) as first_pad,
+  cast(pl.image_id is not null as integer) as has_feature, round(coalesce(list_sum(pl.pooled), 0.0), 6) as pooled_sum
 from (select distinct sample_id from tokens) s
 left join (select sample_id, min(pos) as first_pad from pads group by sample_id) f using (sample_id)
 left join pooled pl on pl.image_id = s.sample_id""", [_PADS, _POOLED]))
@@ -99,7 +99,7 @@ def j3(spark, d):
     out = J.insert_first_pad(arr.select("sample_id"), J.first_pad(pads, "sample_id"), pooled, "sample_id")
     return out.select("sample_id", F.col("first_pad").cast("bigint").alias("first_pad"),
                       F.col("pooled").isNotNull().cast("int").alias("has_feature"),
-                      F.coalesce(J.vec_sum(F.col("pooled")), F.lit(0.0)).alias("pooled_sum"))
+                      F.round(F.coalesce(J.vec_sum(F.col("pooled")), F.lit(0.0)), 6).alias("pooled_sum"))
 
 
 _GROUPS = ("groups", f"""
@@ -111,22 +111,23 @@ from (select *, count(*) over (partition by image_id) as n from patches) group b
 @query("j4_regroup_patches", with_views(["patches"], f"""
 select image_id, group_idx, case when n % {R} = 0 then 'ok' else 'not_divisible' end as status,
   case when n % {R} = 0 then cast(len(v) as bigint) else 0 end as n_values,
-  case when n % {R} = 0 then {_sum_sql('v')} else 0.0 end as v_sum
+  round(case when n % {R} = 0 then {_sum_sql('v')} else 0.0 end, 6) as v_sum
 from groups""", [_GROUPS]))
 def j4(spark, d):
     """Every 3 consecutive patch vectors of an image concatenated; short images flagged."""
     g = J.regroup_patches(V.patches(spark, d), R)
     return g.select("image_id", "group_idx", "status",
                     F.coalesce(F.size("vector").cast("bigint"), F.lit(0).cast("bigint")).alias("n_values"),
-                    F.coalesce(J.vec_sum(F.col("vector")), F.lit(0.0)).alias("v_sum"))
+                    F.round(F.coalesce(J.vec_sum(F.col("vector")), F.lit(0.0)), 6).alias("v_sum"))
 
 
 @query("j5_pool_patches", with_views(["patches"], """
-select image_id, cast(unnest(range(len(pooled))) as integer) as j, unnest(pooled) as v from pooled""", [_POOLED]))
+select image_id, j, round(v, 6) as v from (
+  select image_id, cast(unnest(range(len(pooled))) as integer) as j, unnest(pooled) as v from pooled)""", [_POOLED]))
 def j5(spark, d):
     """[first patch, mean, max] per image, one row per output dimension."""
     p = J.pool_patches(V.patches(spark, d))
-    return explode_rows(p, "pooled", ["image_id"], "j", "v")
+    return explode_rows(p, "pooled", ["image_id"], "j", "v").withColumn("v", F.round("v", 6))
 
 
 def _w_sql(name: str, rows: int, cols: int, rule: tuple[float, float], a: str, b: str) -> tuple[str, str]:
@@ -142,7 +143,7 @@ def _b_sql(name: str, n: int, rule: tuple[float, float], a: str) -> tuple[str, s
 
 
 @query("j6_project", with_views(["patches"], """
-select image_id, group_idx, y.o, y.y from (
+select image_id, group_idx, y.o, round(y.y, 6) as y from (
   select a.image_id, a.group_idx, w2.o, sum(a.a * w2.w) + any_value(b2.b) as y
   from (select h.image_id, h.group_idx, h.h, h.z / (1 + exp(-h.z)) as a from (
           select x.image_id, x.group_idx, w1.h, sum(x.x * w1.w) + any_value(b1.b) as z
@@ -158,12 +159,12 @@ def j6(spark, d):
     w1, b1, w2, b2 = _weights()
     p = J.project(g.select("image_id", "group_idx", "vector"), "vector", w1, b1, w2, b2, "silu")
     return (explode_rows(p, "projected", ["image_id", "group_idx"], "o", "y")
-            .select("image_id", "group_idx", F.col("o").cast("bigint").alias("o"), "y"))
+            .select("image_id", "group_idx", F.col("o").cast("bigint").alias("o"), F.round("y", 6).alias("y")))
 
 
 @query("j7_gather_steps", with_views(["stage3_ids", "stage3_tokens"], f"""
 select s.conv_id, s.step_no, s.pos, i.token_id, cast(e.vec_id is not null as integer) as has_vector,
-  coalesce({_sum_sql('e.embedding')}, 0.0) as v_sum
+  round(coalesce({_sum_sql('e.embedding')}, 0.0), 6) as v_sum
 from (select conv_id, cast(unnest(range(len(hs))) as integer) as step_no,
         unnest(list_transform(hs, lambda h: cast(len(regexp_extract_all({sql_text(stage3_prompt_prefix())}
           || substr(instruction, 1, instr(instruction, h) - 1), {TOKEN_RE}, 0)) as bigint))) as pos
@@ -183,4 +184,4 @@ def j7(spark, d):
     out = steps.join(hidden, ["conv_id", "pos"])
     return out.select("conv_id", "step_no", F.col("pos").cast("bigint").alias("pos"), "token_id",
                       F.col("vector").isNotNull().cast("int").alias("has_vector"),
-                      F.coalesce(J.vec_sum(F.col("vector")), F.lit(0.0)).alias("v_sum"))
+                      F.round(F.coalesce(J.vec_sum(F.col("vector")), F.lit(0.0)), 6).alias("v_sum"))

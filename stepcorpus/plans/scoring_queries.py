@@ -64,13 +64,13 @@ select batch_id, count(nll) as n_tokens, avg(nll) as gen_loss from (
 
 
 @query("m3_token_nll", with_views(["scores"], """
-select batch_id, n_tokens, cast(gen_loss is not null as integer) as has_loss, coalesce(gen_loss, 0.0) as gen_loss
+select batch_id, n_tokens, cast(gen_loss is not null as integer) as has_loss, round(coalesce(gen_loss, 0.0), 6) as gen_loss
 from gen""", [_GEN_SQL]))
 def m3(spark, d):
     """Mean token cross-entropy per batch, pad-labelled positions ignored."""
     g = _gen(spark, d)
     return g.select("batch_id", "n_tokens", F.col("gen_loss").isNotNull().cast("int").alias("has_loss"),
-                    F.coalesce("gen_loss", F.lit(0.0)).alias("gen_loss"))
+                    F.round(F.coalesce("gen_loss", F.lit(0.0)), 6).alias("gen_loss"))
 
 
 def _probe_sql(k: int) -> str:
@@ -101,24 +101,24 @@ def _ver(spark, d):
     return M.verification_nll(steps, "batch_id", "l0", "l1", "label")
 
 
-@query("m4_verification_nll", with_views(["step_features"], "select batch_id, n_steps, ver_loss from ver", [_VER_SQL]))
+@query("m4_verification_nll", with_views(["step_features"], "select batch_id, n_steps, round(ver_loss, 6) as ver_loss from ver", [_VER_SQL]))
 def m4(spark, d):
     """Two-class step cross-entropy averaged over all steps of each batch of 4."""
-    return _ver(spark, d).select("batch_id", "n_steps", "ver_loss")
+    return _ver(spark, d).select("batch_id", "n_steps", F.round("ver_loss", 6).alias("ver_loss"))
 
 
 @query("m5_combined_loss", with_views(["scores", "step_features"], """
 select coalesce(g.batch_id, v.batch_id) as batch_id,
   cast(g.gen_loss is not null as integer) as has_gen, cast(v.ver_loss is not null as integer) as has_ver,
-  coalesce(case when g.gen_loss is null then v.ver_loss when v.ver_loss is null then g.gen_loss
-                else g.gen_loss + v.ver_loss end, 0.0) as total_loss
+  round(coalesce(case when g.gen_loss is null then v.ver_loss when v.ver_loss is null then g.gen_loss
+                else g.gen_loss + v.ver_loss end, 0.0), 6) as total_loss
 from gen g full join ver v on g.batch_id = v.batch_id""", [_GEN_SQL, _VER_SQL]))
 def m5(spark, d):
     """Generation + verification loss per batch; an absent term is left out."""
     c = M.combined_loss(_gen(spark, d), _ver(spark, d), "batch_id")
     return c.select("batch_id", F.col("gen_loss").isNotNull().cast("int").alias("has_gen"),
                     F.col("ver_loss").isNotNull().cast("int").alias("has_ver"),
-                    F.coalesce("total_loss", F.lit(0.0)).alias("total_loss"))
+                    F.round(F.coalesce("total_loss", F.lit(0.0)), 6).alias("total_loss"))
 
 
 _TOPK_SQL = ("topk", f"""
@@ -130,10 +130,11 @@ select grp, item, e / sum(e) over (partition by grp) as prob from (
   where s >= kth)""")
 
 
-@query("m6_top_k_softmax", with_views(["scores"], "select grp, item, prob from topk", [_TOPK_SQL]))
+@query("m6_top_k_softmax", with_views(["scores"], "select grp, item, round(prob, 6) as prob from topk", [_TOPK_SQL]))
 def m6(spark, d):
     """Top-5 (ties kept) softmax at temperature 0.7 per score group."""
-    return M.top_k_softmax(V.scores(spark, d), "grp", TOP_K, TEMPERATURE).select("grp", "item", "prob")
+    return (M.top_k_softmax(V.scores(spark, d), "grp", TOP_K, TEMPERATURE)
+            .select("grp", "item", F.round("prob", 6).alias("prob")))
 
 
 @query("m7_argmax", with_views(["scores"], """
