@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stepcorpus.functions.ranking import seeded_key
 from stepcorpus.operators.prompts import resolve_image_path
+from stepcorpus.session import broadcast_if_small
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
@@ -28,8 +29,10 @@ def first_n(df: DataFrame, n: int | None) -> DataFrame:
     taken **before** any validity check.  ``None``/0 keeps all rows.
 
     No sort and no single-task limit: each split's row count and first id
-    form a small table (one row per split), whose running sum gives every
-    split's offset; a row is kept when offset + position < n.
+    form a small table (one row per input split, i.e. bytes / split size),
+    whose running sum gives every split's offset; a row is kept when
+    offset + position < n.  That table is broadcast only after its row
+    count is checked; beyond the bound it is shuffle-joined.
     """
     if n is None or n == 0:
         return df
@@ -39,7 +42,8 @@ def first_n(df: DataFrame, n: int | None) -> DataFrame:
     splits = t.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("_file", "_block", "_m0", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    kept = (t.join(F.broadcast(splits), ["_file", "_block"])
+    splits, _ = broadcast_if_small(splits)
+    kept = (t.join(splits, ["_file", "_block"])
             .filter(F.col("_off") + F.col("_mid") - F.col("_m0") < F.lit(n)))
     return kept.select(*df.columns)
 
