@@ -72,7 +72,8 @@ def schedule(batches: DataFrame, accum: int, log_steps: int, save_steps: int, ev
     step = F.col("epoch") * steps_per_epoch + F.floor(F.col("batch_id") / F.lit(accum)) + 1
     agg = (j.withColumn("global_step", step.cast("bigint"))
            .groupBy("global_step")
-           .agg(F.countDistinct("epoch", "batch_id").alias("n_micro_batches"),
+           # the micro-batches of one step are consecutive ids of one epoch
+           .agg((F.max("batch_id") - F.min("batch_id") + 1).alias("n_micro_batches"),
                 F.count(F.lit(1)).alias("n_rows"), F.sum(tokens).alias("n_tokens")))
     flag = lambda every: (F.col("global_step") % F.lit(every) == 0).cast("int") if every else F.lit(0)
     return agg.withColumns({"is_log": flag(log_steps), "is_save": flag(save_steps), "is_eval": flag(eval_steps)})
