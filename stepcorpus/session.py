@@ -36,6 +36,7 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -84,3 +85,34 @@ def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
     from pyspark.sql import functions as F
     n = df.count()
     return (F.broadcast(df), n) if n <= max_rows else (df, n)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``stepcorpus`` importable in the Python workers (as
+    ``--py-files`` would): zip the package once per application and
+    register it with ``addPyFile``.  Needed wherever a pandas UDF or
+    ``mapInPandas`` function from this package runs on executors."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    import stepcorpus
+    pkg_dir = os.path.dirname(os.path.abspath(stepcorpus.__file__))
+    root = os.path.dirname(pkg_dir)
+    base = ensure_checkpoint_dir(spark)
+    local_base = base[len("file:"):] if base.startswith("file:") else base
+    if "://" in local_base or not os.path.isdir(local_base):
+        local_base = tempfile.mkdtemp(prefix="stepcorpus-pyfiles-")  # staged on the driver only
+    path = os.path.join(local_base, f"stepcorpus-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
