@@ -31,3 +31,25 @@ def test_oracle_agrees_at_sf0001(spark, name):
     idx = sorted(range(len(dcols)), key=lambda i: dcols[i])
     b = sorted(tuple(norm(r[i]) for i in idx) for r in res.fetchall())
     assert a == b
+
+
+def test_queries_run_outside_the_repo(tmp_path):
+    """A plain session started elsewhere (as the driver does) can run the
+    pandas-UDF queries: the package is shipped to the Python workers."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as E
+q = E.queries()
+print("COUNTS", q["m1_score_steps"](spark, {SF001!r}).count(), q["s2_quarantine"](spark, {SF001!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=str(tmp_path), env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert "COUNTS" in out.stdout, out.stderr[-2000:]
