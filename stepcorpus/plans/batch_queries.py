@@ -34,7 +34,7 @@ def b1(spark, d):
 @query("b2_assign_batches", f"""
 select doc_id, epoch, cast((rk - 1) // {BATCH} as bigint) as batch_id, cast((rk - 1) % {BATCH} as integer) as slot
 from (select doc_id, epoch, row_number() over (partition by epoch order by md5('42:' || epoch || ':' || doc_id), doc_id) as rk
-      from documents cross join (select unnest(range({EPOCHS})) as epoch))""")
+      from (select doc_id, unnest(range({EPOCHS})) as epoch from documents))""")
 def b2(spark, d):
     """Per-epoch seeded order of the documents cut into batches of 4, two epochs."""
     docs = table(spark, d, "documents").select("doc_id")
@@ -52,10 +52,10 @@ b as (select sample_id, n, cast((rk - 1) // 4 as bigint) as batch_id, cast((rk -
         max(n) over (partition by (rk - 1) // 4) as max_len
       from (select sample_id, n, row_number() over (order by md5('42:0:' || sample_id), sample_id) as rk
             from (select distinct sample_id, n from shifted)))
-select cast(0 as bigint) as epoch, b.batch_id, b.slot, b.sample_id, p.pos,
+select cast(0 as bigint) as epoch, p.batch_id, p.slot, p.sample_id, p.pos,
   coalesce(s.tok, {q(S.PAD_TOKEN)}) as input_tok, coalesce(s.lab, {q(S.PAD_TOKEN)}) as label_tok
-from b cross join lateral (select unnest(range(b.max_len)) as pos) p
-left join shifted s on s.sample_id = b.sample_id and s.pos = p.pos and s.pos < s.n"""))
+from (select batch_id, slot, sample_id, unnest(range(max_len)) as pos from b) p
+left join shifted s on s.sample_id = p.sample_id and s.pos = p.pos and s.pos < s.n"""))
 def b3(spark, d):
     """Stage-2-style samples (span labels, shifted) in batches of 4, padded to the batch maximum."""
     arr = V.token_arrays(spark, d)
@@ -84,10 +84,10 @@ def stage3_batches(spark, d):
 
 
 _B4_LONG = f"""
-select b.epoch, b.batch_id, b.slot, b.conv_id, p.pos, coalesce(i.token_id, 0) as input_id,
+select p.epoch, p.batch_id, p.slot, p.conv_id, p.pos, coalesce(i.token_id, 0) as input_id,
   coalesce(i.token_id, {S.LABEL_IGNORE}) as label, cast(coalesce(i.token_id, 0) <> 0 as integer) as attention_mask
-from stage3_batches b cross join lateral (select unnest(range(b.max_len)) as pos) p
-left join stage3_ids i on i.conv_id = b.conv_id and i.pos = p.pos"""
+from (select epoch, batch_id, slot, conv_id, unnest(range(max_len)) as pos from stage3_batches) p
+left join stage3_ids i on i.conv_id = p.conv_id and i.pos = p.pos"""
 
 
 @query("b4_pad_batch_steps", with_views(["stage3_batches", "stage3_ids"], _B4_LONG))
@@ -134,7 +134,7 @@ SCHED = dict(accum=S.STAGE3.grad_accum, log_steps=5, save_steps=10, eval_steps=1
 with b as (select doc_id, epoch, (rk - 1) // {BATCH} as batch_id, len(regexp_extract_all(text, {TOKEN_RE}, 0)) as n_tok
            from (select doc_id, text, epoch,
                    row_number() over (partition by epoch order by md5('42:' || epoch || ':' || doc_id), doc_id) as rk
-                 from documents cross join (select unnest(range({EPOCHS})) as epoch))),
+                 from (select doc_id, text, unnest(range({EPOCHS})) as epoch from documents))),
 e as (select epoch, ceil((max(batch_id) + 1) / {SCHED['accum']}) as spe from b group by epoch),
 s as (select cast(b.epoch * e.spe + b.batch_id // {SCHED['accum']} + 1 as bigint) as global_step, b.* from b join e using (epoch))
 select global_step, count(distinct (epoch, batch_id)) as n_micro_batches, count(*) as n_rows,

@@ -238,10 +238,10 @@ from stage3_valid""")
     VIEWS["stage3_batches"] = (["stage3_split", "stage3_tokens"], """
 select epoch, cast((rk - 1) // 4 as bigint) as batch_id, cast((rk - 1) % 4 as integer) as slot, conv_id, n,
   max(n) over (partition by epoch, (rk - 1) // 4) as max_len
-from (select e.epoch, s.conv_id, len(t.tokens) as n,
-        row_number() over (partition by e.epoch order by md5('42:' || e.epoch || ':' || s.conv_id), s.conv_id) as rk
-      from stage3_split s join stage3_tokens t using (conv_id) cross join (select unnest(range(2)) as epoch) e
-      where s.split = 'train')""")
+from (select epoch, conv_id, n,
+        row_number() over (partition by epoch order by md5('42:' || epoch || ':' || conv_id), conv_id) as rk
+      from (select s.conv_id, len(t.tokens) as n, unnest(range(2)) as epoch
+            from stage3_split s join stage3_tokens t using (conv_id) where s.split = 'train'))""")
 
 
 _add_stage3_views()
