@@ -3,7 +3,6 @@ import os
 import struct
 import zlib
 
-from pyspark.sql import functions as F
 
 from stepcorpus.sources import files as SRC
 
