@@ -5,8 +5,14 @@ task.  Here the rows are range-partitioned on the sort key instead, each task
 numbers its own rows in order, and a tiny table of per-partition counts
 (one row per partition, so its size is bounded by the partition count, not by
 the data) supplies the offsets.  The sort key must be unique (add the row id
-as a last tie-breaker) so that recomputation after an executor loss gives the
-same numbers.
+as a last tie-breaker).
+
+The tagged rows (partition id, position in the task) are written once to
+the shared checkpoint folder and both the counts and the ranks are read from
+that table.  Two separate range exchanges would each sample their own range
+bounds (the sample seed depends on the RDD), so their partition ids need not
+agree; one written table makes the numbers consistent by construction and
+survives executor loss.
 """
 
 from __future__ import annotations
@@ -26,11 +32,12 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 def with_global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
                      total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Add a 1-based rank in ``order`` (and optionally the total row count)."""
+    from stepcorpus.session import materialize
     n = _partitions(df, num_partitions)
-    tagged = (df.repartitionByRange(n, *order)
-              .sortWithinPartitions(*order)
-              .withColumn("_rk_pid", F.spark_partition_id())
-              .withColumn("_rk_mid", F.monotonically_increasing_id()))
+    tagged = materialize(df.repartitionByRange(n, *order)
+                         .sortWithinPartitions(*order)
+                         .withColumn("_rk_pid", F.spark_partition_id())
+                         .withColumn("_rk_mid", F.monotonically_increasing_id()), "ranked")
     counts = tagged.groupBy("_rk_pid").agg(F.count(F.lit(1)).alias("_rk_n"),
                                            F.min("_rk_mid").alias("_rk_m0"))
     before = Window.orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
