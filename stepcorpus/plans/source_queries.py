@@ -41,7 +41,8 @@ def _jsonl_lines(spark, d):
         F.to_json(F.struct("conv_id", "image_url", "instruction")).alias("value"))
     sys_turns = table(spark, d, "conversations").filter(F.col("role") == "system")
     m = F.col("conv_id") % 3
-    bad = sys_turns.select(F.when(m == 0, F.concat(F.lit("{bad "), F.substring("text", 1, 30)))
+    # the whole text, kept on one physical line (CR/LF become spaces)
+    bad = sys_turns.select(F.when(m == 0, F.concat(F.lit("{bad "), F.translate("text", "\r\n", "  ")))
                            .when(m == 1, F.lit("")).otherwise(F.col("turn").cast("string")).alias("value"))
     return good.unionByName(bad)
 
@@ -65,7 +66,7 @@ def s2(spark, d):
 
 @query("s2_quarantine", """
 select case conv_id % 3 when 0 then 'parse_error' when 1 then 'blank' else 'not_object' end as reason,
-  substr(case conv_id % 3 when 0 then '{bad ' || substr(text, 1, 30) when 1 then '' else cast(turn as varchar) end,
+  substr(case conv_id % 3 when 0 then '{bad ' || translate(text, chr(13) || chr(10), '  ') when 1 then '' else cast(turn as varchar) end,
          1, 100) as head
 from conversations where role = 'system'""")
 def s2q(spark, d):
