@@ -22,7 +22,7 @@ from stepcorpus import settings as S
 from stepcorpus.functions import text as T
 from stepcorpus.operators import prompts as P
 from stepcorpus.operators import tokens as K
-from stepcorpus.operators.steps import locate_steps
+from stepcorpus.operators.steps import with_steps
 
 
 def _lit_tokens(text: str) -> Column:
@@ -129,8 +129,9 @@ def stage3_tokens(valid: DataFrame, image_ok: Column | None = None, use_template
     ok = F.lit(True) if image_ok is None else image_ok
     prompt = P.render_instruction(F.col("instruction"), use_template)
     toks = F.when(ok, T.tokenize(prompt)).otherwise(_lit_tokens(S.FALLBACK_STAGE3_TEXT))
-    steps = F.when(ok, locate_steps(F.col("instruction"))).otherwise(F.array())
-    return valid.select("conv_id", (~ok).alias("is_fallback"), toks.alias("tokens"), steps.alias("steps"))
+    located = with_steps(valid, "instruction", "_steps")
+    steps = F.when(ok, F.col("_steps")).otherwise(F.array())
+    return located.select("conv_id", (~ok).alias("is_fallback"), toks.alias("tokens"), steps.alias("steps"))
 
 
 # ------------------------------------------------------------------- encode

@@ -72,3 +72,21 @@ def test_tokenizer_is_lossless(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.i: r.j for r in df.select("i", F.array_join(T.tokenize(F.col("t")), "").alias("j")).collect()}
     assert all(got[i] == t for i, t in enumerate(texts))
+
+
+def test_linear_token_index_equals_prefix_tokenizing(spark):
+    from stepcorpus.functions.arrays import explode_rows
+    from stepcorpus.operators.steps import locate_steps, with_steps
+    rng = random.Random(17)
+    pieces = ["Step 1:", "Step 2:", "步骤3:", "步骤 4：", "x", "ab", " ", "  ", "\n", "и", " и", "<pos>", "<neg>",
+              "9", ",", "<|im_end|>", "é", "日本", "Step", "\t", "a步骤5:", "xStep 6:"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 24))) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, instruction string")
+    new = explode_rows(with_steps(df, "instruction", "st"), "st", ["k"], value="s").select("k", "s.*")
+    old = explode_rows(df.select("k", locate_steps(F.col("instruction")).alias("st")), "st", ["k"], value="s") \
+        .select("k", "s.*")
+    cols = ["k", "step_no", "header", "char_start", "token_idx", "token_idx_templated", "label"]
+    a = sorted(tuple(r) for r in new.select(cols).collect())
+    b = sorted(tuple(r) for r in old.select(cols).collect())
+    assert len(a) > 200
+    assert a == b
