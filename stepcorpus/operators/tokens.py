@@ -89,12 +89,16 @@ def encode(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str = "i
     otherwise (AQE splits skewed partitions); ``hot`` tokens with known ids
     skip the join (default: the special tokens)."""
     hot = special_ids() if hot is None else hot
-    exploded = explode_rows(df, tokens, [key], "pos", "token")
+    # Partition the rows by key once: the explode and a broadcast lookup keep
+    # that partitioning, so regrouping by key and joining back need no
+    # further shuffle (the exploded token stream is never shuffled).
+    base = df.repartition(key)
+    exploded = explode_rows(base, tokens, [key], "pos", "token")
     ids = (_join_lookup(exploded, "token", vocab, "token", "token_id", hot)
            .groupBy(key)
            .agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_enc")))
     ids = ids.select(key, F.transform("_enc", lambda s: s["token_id"]).alias(out))
-    return df.join(ids, key, "left").withColumn(
+    return base.join(ids, key, "left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast("array<bigint>")))
 
 
@@ -102,12 +106,13 @@ def decode(df: DataFrame, ids: str, vocab: DataFrame, key: str, out: str = "text
            hot: dict[int, str] | None = None) -> DataFrame:
     """Ids -> text by joining the vocabulary and concatenating in order."""
     hot = {v: k for k, v in special_ids().items()} if hot is None else hot
-    exploded = explode_rows(df, ids, [key], "pos", "token_id")
+    base = df.repartition(key)  # as in encode: one shuffle of the rows, none of the tokens
+    exploded = explode_rows(base, ids, [key], "pos", "token_id")
     toks = (_join_lookup(exploded, "token_id", vocab, "token_id", "token", hot)
             .groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_dec")))
     toks = toks.select(key, F.array_join(F.transform("_dec", lambda s: s["token"]), "").alias(out))
-    return df.join(toks, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+    return base.join(toks, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
 
 
 # ------------------------------------------------------------ T3, T4, T7, T8
