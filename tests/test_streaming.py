@@ -20,3 +20,25 @@ def test_ingest_available_now(spark, tmpdir_path):
     assert [s.label for s in samples[0].steps] == [0, 1]
     quarantine = spark.read.parquet(f"{tmpdir_path}/out/quarantine").collect()
     assert [(r.reason, r.head) for r in quarantine] == [("parse_error", "{broken")]
+
+
+def test_ingest_resumes_from_checkpoint(spark, tmpdir_path):
+    """A second run with the same checkpoint picks up only the new file."""
+    import os
+    src = f"{tmpdir_path}/in"
+    os.makedirs(src)
+    manifest = spark.createDataFrame([("B/data_images/x.png",)], "path string")
+
+    def drop(name, url):
+        with open(f"{src}/{name}", "w", encoding="utf-8") as f:
+            f.write(json.dumps({"image_url": url, "instruction": "Step 1: a и <pos>"}) + "\n")
+
+    def run():
+        for q in start_ingest(spark, src, f"{tmpdir_path}/out", manifest, "B", checkpoint=f"{tmpdir_path}/ckpt"):
+            q.awaitTermination(120)
+        return spark.read.parquet(f"{tmpdir_path}/out/samples").count()
+
+    drop("a.jsonl", "x.png")
+    assert run() == 1
+    drop("b.jsonl", "MathV-360k/x.png")
+    assert run() == 2  # the first file is not processed again
