@@ -94,3 +94,14 @@ def test_checkpoints(spark):
     assert keep2 == [(1, 4000, 1), (1, 10000, 0), (2, 2000, 1), (3, 2000, 0), (3, 4000, 1)]
     keep1 = sorted(tuple(r) for r in M.retained_checkpoints(m, 1).collect())
     assert keep1 == [(1, 4000, 1), (1, 10000, 0), (2, 2000, 1), (3, 4000, 1)]
+
+
+def test_top_k_temperatures(spark):
+    import pytest
+    s = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([2.0, 1.0, 0.5, -1.0])],
+                              "grp long, item long, score double")
+    for temp in (0.7, 1.0):
+        got = {r.item: r.prob for r in M.top_k_softmax(s, "grp", k=3, temperature=temp).collect()}
+        e = np.exp(np.array([2.0, 1.0, 0.5]) / temp)
+        assert set(got) == {0, 1, 2}
+        assert [got[i] for i in range(3)] == pytest.approx(list(e / e.sum()), rel=1e-12)
