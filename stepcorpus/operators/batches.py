@@ -18,25 +18,33 @@ from stepcorpus.operators.tokens import attention_mask
 def exact_split(df: DataFrame, key: str, frac: float = 0.05, seed: int = 42,
                 split_col: str = "split") -> DataFrame:
     """B1: exactly ``int(n * frac)`` rows go to ``validation``, the rest to
-    ``train``; disjoint, complete and repeatable for a given seed."""
-    ranked = with_global_rank(df.withColumn("_h", seeded_key(seed, key)), [F.col("_h"), F.col(key)],
-                              "_rank", total_col="_n")
+    ``train``; disjoint, complete and repeatable for a given seed.
+
+    Only the narrow ``(key, md5)`` rows are ranked (and written by the
+    rank); the assignment is joined back on ``key``, which must be unique."""
+    keys = df.select(key, seeded_key(seed, key).alias("_h"))
+    ranked = with_global_rank(keys, [F.col("_h"), F.col(key)], "_rank", total_col="_n")
     k = F.floor(F.col("_n").cast("double") * F.lit(float(frac)))
-    return (ranked.withColumn(split_col, F.when(F.col("_rank") <= k, F.lit("validation")).otherwise(F.lit("train")))
-            .drop("_h", "_rank", "_n"))
+    assign = ranked.select(key, F.when(F.col("_rank") <= k, F.lit("validation"))
+                           .otherwise(F.lit("train")).alias(split_col))
+    return df.join(assign, key)
 
 
 def assign_batches(df: DataFrame, key: str, batch_size: int, epochs: int = 1, seed: int = 42) -> DataFrame:
     """B2: for every epoch a fresh seeded order, cut into consecutive batches
     of ``batch_size`` (the last one may be short).  Adds ``epoch``,
-    ``batch_id`` (within the epoch) and ``slot``."""
-    per_epoch = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(epochs - 1).cast("bigint"))))
-    keyed = per_epoch.withColumn("_h", seeded_key(seed, F.col("epoch"), F.col(key)))
+    ``batch_id`` (within the epoch) and ``slot``.
+
+    The per-epoch orders are ranked on narrow ``(key, epoch, md5)`` rows;
+    joining them back on ``key`` (unique) gives one row per sample and epoch."""
+    epoch = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(epochs - 1).cast("bigint")))
+    keys = df.select(key, epoch.alias("epoch"))
+    keyed = keys.withColumn("_h", seeded_key(seed, F.col("epoch"), F.col(key)))
     ranked = with_global_rank(keyed, [F.col("epoch"), F.col("_h"), F.col(key)], "_rank", total_col="_n")
     r = F.col("_rank") - 1 - F.col("epoch") * (F.col("_n") / F.lit(epochs)).cast("bigint")
-    return (ranked.withColumns({"batch_id": F.floor(r / F.lit(batch_size)).cast("bigint"),
-                                "slot": (r % F.lit(batch_size)).cast("int")})
-            .drop("_h", "_rank", "_n"))
+    assign = ranked.select(key, "epoch", F.floor(r / F.lit(batch_size)).cast("bigint").alias("batch_id"),
+                           (r % F.lit(batch_size)).cast("int").alias("slot"))
+    return df.join(assign, key)
 
 
 def pad_to_batch_max(df: DataFrame, fills: dict[str, Column], length_of: str,
