@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from stepcorpus.functions.ranking import seeded_uniform
 
+
 def _erf(x: np.ndarray) -> np.ndarray:
     """Exact erf element-wise (NumPy has none): the C ``math.erf`` mapped
     over the flat buffer, about 1.7x faster than ``np.vectorize``."""

@@ -10,6 +10,7 @@ from stepcorpus.plans import views as V
 from stepcorpus.plans.oracle_views import q, resolve_sql, sql_text, with_views
 from stepcorpus.plans.registry import query, sql_join
 
+
 _PAIR_ERR_SQL = ("case when len(conversations) < 2 then 'too_few_turns' "
                  "when {q} is null or {a} is null then 'null_text' else 'ok' end")
 

@@ -14,6 +14,7 @@ from stepcorpus.plans.oracle_views import TOKEN_RE, q, with_views
 from stepcorpus.plans.registry import query
 from stepcorpus.sources.tables import table
 
+
 DIM = 64
 HEAD_RULES = dict(w_dense=(0.15, 0.37), b_dense=(0.01, 0.9), w_cls=(0.3, 0.11), b_cls=(0.05, 2.0))
 PROBE_W, PROBE_B = (0.5, 0.23), (0.1, 1.3)  # linear probe for M4/M5 step logits

@@ -10,6 +10,7 @@ from stepcorpus.plans import views as V
 from stepcorpus.plans.oracle_views import STEP_RE, TOKEN_RE, sql_text, with_views
 from stepcorpus.plans.registry import query
 
+
 _STEPS = f"""
 steps as (
   select conv_id, instruction, unnest(range(len(hs))) as step_no, unnest(hs) as header, unnest(cs) as content

@@ -13,6 +13,7 @@ from stepcorpus.plans.oracle_views import STAGE_IMAGE_ROOT, q, resolve_sql, with
 from stepcorpus.plans.registry import query, sql_join
 from stepcorpus.sources.tables import table
 
+
 FIRST_N = 300  # max_samples for the F1 query
 
 

@@ -14,6 +14,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+
 _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+
 # ---------------------------------------------------------------------------
 # Fixed values (must match the training scripts' behaviour exactly)
 # ---------------------------------------------------------------------------

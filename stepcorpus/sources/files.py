@@ -25,6 +25,7 @@ from stepcorpus import settings as S
 from stepcorpus.functions.ranking import with_global_rank
 from stepcorpus.operators.validity import with_file_order
 
+
 CONVERSATION_SCHEMA = T.StructType([
     T.StructField("image", T.StringType()),
     T.StructField("conversations", T.ArrayType(T.StructType([
