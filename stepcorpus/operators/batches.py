@@ -2,8 +2,9 @@
 
 Ordering is always by a seeded md5 key (repeatable, identical in DuckDB)
 with the row key as tie-breaker, and ranks come from the range-partitioned
-global rank, never from a one-partition window.  Padding windows are
-partitioned by batch, so each window holds at most ``batch_size`` rows.
+global rank, never from a one-partition window.  The batch's longest row
+is found on the narrow assignment rows (or, without them, by a window
+partitioned by batch, which holds at most ``batch_size`` rows).
 """
 
 from __future__ import annotations
@@ -30,40 +31,59 @@ def exact_split(df: DataFrame, key: str, frac: float = 0.05, seed: int = 42,
     return df.join(assign, key)
 
 
-def assign_batches(df: DataFrame, key: str, batch_size: int, epochs: int = 1, seed: int = 42) -> DataFrame:
-    """B2: for every epoch a fresh seeded order, cut into consecutive batches
-    of ``batch_size`` (the last one may be short).  Adds ``epoch``,
-    ``batch_id`` (within the epoch) and ``slot``.
+def batch_assignment(df: DataFrame, key: str, batch_size: int, epochs: int = 1, seed: int = 42,
+                     length_of: str | None = None) -> DataFrame:
+    """The narrow B2 table ``key, epoch, batch_id, slot``: for every epoch a
+    fresh seeded order, cut into consecutive batches of ``batch_size`` (the
+    last one may be short).  With ``length_of`` it also carries ``max_len``,
+    the longest ``length_of`` array in the batch, computed here on one
+    integer per row instead of on the full rows.
 
-    The per-epoch orders are ranked on narrow ``(key, epoch, md5)`` rows;
-    joining them back on ``key`` (unique) gives one row per sample and epoch."""
+    The per-epoch orders are ranked on narrow ``(key, epoch, md5)`` rows."""
     epoch = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(epochs - 1).cast("bigint")))
-    keys = df.select(key, epoch.alias("epoch"))
+    extra = [F.size(length_of).alias("_len")] if length_of else []
+    keys = df.select(key, *extra, epoch.alias("epoch"))
     keyed = keys.withColumn("_h", seeded_key(seed, F.col("epoch"), F.col(key)))
     ranked = with_global_rank(keyed, [F.col("epoch"), F.col("_h"), F.col(key)], "_rank", total_col="_n")
     r = F.col("_rank") - 1 - F.col("epoch") * (F.col("_n") / F.lit(epochs)).cast("bigint")
     assign = ranked.select(key, "epoch", F.floor(r / F.lit(batch_size)).cast("bigint").alias("batch_id"),
-                           (r % F.lit(batch_size)).cast("int").alias("slot"))
-    return df.join(assign, key)
+                           (r % F.lit(batch_size)).cast("int").alias("slot"), *(["_len"] if length_of else []))
+    if length_of:
+        assign = assign.withColumn("max_len", F.max("_len").over(Window.partitionBy("epoch", "batch_id"))).drop("_len")
+    return assign
+
+
+def assign_batches(df: DataFrame, key: str, batch_size: int, epochs: int = 1, seed: int = 42,
+                   length_of: str | None = None) -> DataFrame:
+    """B2: adds ``epoch``, ``batch_id`` (within the epoch) and ``slot`` (and
+    ``max_len`` with ``length_of``, see ``batch_assignment``).  Joining the
+    narrow assignment back on ``key`` (unique) gives one row per sample and
+    epoch; it is the only shuffle of the full rows."""
+    return df.join(batch_assignment(df, key, batch_size, epochs, seed, length_of), key)
 
 
 def pad_to_batch_max(df: DataFrame, fills: dict[str, Column], length_of: str,
-                     batch: tuple[str, ...] = ("epoch", "batch_id")) -> DataFrame:
+                     batch: tuple[str, ...] = ("epoch", "batch_id"), max_len: str | None = None) -> DataFrame:
     """Pad each array column in ``fills`` to the longest ``length_of`` in
-    its batch, with that column's fill value."""
-    w = Window.partitionBy(*batch)
-    out = df.withColumn("_max_len", F.max(F.size(length_of)).over(w))
+    its batch, with that column's fill value.  ``max_len`` names a column
+    that already holds that length (from ``assign_batches(length_of=...)``);
+    without it a window partitioned by batch computes it."""
+    if max_len:
+        out = df.withColumnRenamed(max_len, "_max_len")
+    else:
+        out = df.withColumn("_max_len", F.max(F.size(length_of)).over(Window.partitionBy(*batch)))
     for c, fill in fills.items():
         out = out.withColumn(c, F.concat(F.col(c), F.array_repeat(fill, F.col("_max_len") - F.size(c))))
     return out.drop("_max_len")
 
 
 def pad_batch_steps(df: DataFrame, ids: str, labels: str, pad_id: Column, label_fill: Column,
-                    steps: str = "steps", batch: tuple[str, ...] = ("epoch", "batch_id")) -> DataFrame:
+                    steps: str = "steps", batch: tuple[str, ...] = ("epoch", "batch_id"),
+                    max_len: str | None = None) -> DataFrame:
     """Ids padded with the pad id, labels with ``label_fill`` (-100), the
     attention mask computed after padding (T12), step lists left ragged with
     a missing list made empty."""
-    out = pad_to_batch_max(df, {ids: pad_id, labels: label_fill}, ids, batch)
+    out = pad_to_batch_max(df, {ids: pad_id, labels: label_fill}, ids, batch, max_len)
     return out.withColumns({"attention_mask": attention_mask(F.col(ids), pad_id),
                             steps: F.coalesce(F.col(steps), F.array().cast(df.schema[steps].dataType))})
 

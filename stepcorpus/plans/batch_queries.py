@@ -79,9 +79,9 @@ def stage3_batches(spark, d):
     vocab = K.build_vocab(toks, "tokens")
     enc = materialize(G.encode_stage(toks, vocab).withColumn("labels", K.clone_labels(F.col("ids"))))
     train = B.exact_split(enc, "conv_id", S.STAGE3.val_fraction, S.STAGE3.seed).filter(F.col("split") == "train")
-    batches = B.assign_batches(train, "conv_id", BATCH, EPOCHS, S.STAGE3.seed)
+    batches = B.assign_batches(train, "conv_id", BATCH, EPOCHS, S.STAGE3.seed, length_of="ids")
     return B.pad_batch_steps(batches, "ids", "labels", F.lit(0).cast("bigint"),
-                             F.lit(S.LABEL_IGNORE).cast("bigint"), "steps")
+                             F.lit(S.LABEL_IGNORE).cast("bigint"), "steps", max_len="max_len")
 
 
 _B4_LONG = f"""

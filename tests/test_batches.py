@@ -46,6 +46,17 @@ def test_assign_batches_and_padding(spark):
     assert all(r.k == 1 for r in lens)
 
 
+def test_narrow_max_len_pads_like_the_window(spark):
+    df = spark.range(0, 23).withColumn("ids", F.sequence(F.lit(1), (F.col("id") * 7) % 11 + 1))
+    fill = {"ids": F.lit(0).cast("bigint")}
+    via_window = B.pad_to_batch_max(B.assign_batches(df, "id", 4, epochs=2, seed=3), fill, "ids")
+    narrow = B.assign_batches(df, "id", 4, epochs=2, seed=3, length_of="ids")
+    via_narrow = B.pad_to_batch_max(narrow, fill, "ids", max_len="max_len")
+    assert via_narrow.columns == via_window.columns
+    rows = lambda d: sorted((r.epoch, r.batch_id, r.slot, r.id, tuple(r.ids)) for r in d.collect())
+    assert rows(via_narrow) == rows(via_window)
+
+
 def test_pad_batch_steps(spark):
     df = spark.createDataFrame([(1, [5, 6, 7], [(0, 1)]), (2, [8], None)],
                                "k long, ids array<bigint>, steps array<struct<idx:int,label:int>>")
