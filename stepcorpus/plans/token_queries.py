@@ -44,9 +44,11 @@ def t2_decode(spark, d):
     """documents -> tokens -> ids -> text again; equal to the input (lossless)."""
     docs = materialize(table(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens")))
     vocab = K.build_vocab(docs, "tokens")
-    enc = materialize(K.encode(docs, "tokens", vocab, "doc_id", "ids"))
+    # Only the ids are kept: the token strings are neither joined back nor written again.
+    enc = materialize(K.encode(docs, "tokens", vocab, "doc_id", "ids")
+                      .select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens")))
     dec = K.decode(enc, "ids", vocab, "doc_id", "text_out")
-    return dec.select("doc_id", "text_out", F.size("ids").cast("bigint").alias("n_tokens"))
+    return dec.select("doc_id", "text_out", "n_tokens")
 
 
 def _stage1(spark, d):
