@@ -77,7 +77,9 @@ def stage3_batches(spark, d):
     valid = G.stage3_valid(V.step_records_full(spark, d), V.manifest(spark, d), V.IMAGE_BASE)
     toks = materialize(G.stage3_tokens(valid))
     vocab = K.build_vocab(toks, "tokens")
-    enc = materialize(G.encode_stage(toks, vocab).withColumn("labels", K.clone_labels(F.col("ids"))))
+    # Written: the ids and step lists only (no token strings; labels are a copy of the ids).
+    enc = materialize(G.encode_stage(toks, vocab).select("conv_id", "ids", "steps"))
+    enc = enc.withColumn("labels", K.clone_labels(F.col("ids")))
     train = B.exact_split(enc, "conv_id", S.STAGE3.val_fraction, S.STAGE3.seed).filter(F.col("split") == "train")
     batches = B.assign_batches(train, "conv_id", BATCH, EPOCHS, S.STAGE3.seed, length_of="ids")
     return B.pad_batch_steps(batches, "ids", "labels", F.lit(0).cast("bigint"),
