@@ -72,16 +72,32 @@ def b3(spark, d):
                     F.col("z.i").alias("input_tok"), F.col("z.l").alias("label_tok")))
 
 
+def _stage3_train(rows):
+    return B.exact_split(rows, "conv_id", S.STAGE3.val_fraction, S.STAGE3.seed).filter(F.col("split") == "train")
+
+
+def _stage3_toks(spark, d):
+    valid = G.stage3_valid(V.step_records_full(spark, d), V.manifest(spark, d), V.IMAGE_BASE)
+    return materialize(G.stage3_tokens(valid))
+
+
+def stage3_step_batches(spark, d):
+    """The train batches' step lists without the ids: the split and batch
+    assignment depend only on the set of keys and the seed, so they are the
+    ones ``stage3_batches`` gives, without building a vocabulary or encoding."""
+    batches = B.assign_batches(_stage3_train(_stage3_toks(spark, d).select("conv_id", "steps")),
+                               "conv_id", BATCH, EPOCHS, S.STAGE3.seed)
+    return batches.withColumn("steps", F.coalesce(F.col("steps"), F.array().cast(batches.schema["steps"].dataType)))
+
+
 def stage3_batches(spark, d):
     """Stage 3: valid records -> prompt tokens -> ids -> split -> train batches, padded."""
-    valid = G.stage3_valid(V.step_records_full(spark, d), V.manifest(spark, d), V.IMAGE_BASE)
-    toks = materialize(G.stage3_tokens(valid))
+    toks = _stage3_toks(spark, d)
     vocab = K.build_vocab(toks, "tokens")
     # Written: the ids and step lists only (no token strings; labels are a copy of the ids).
     enc = materialize(G.encode_stage(toks, vocab).select("conv_id", "ids", "steps"))
     enc = enc.withColumn("labels", K.clone_labels(F.col("ids")))
-    train = B.exact_split(enc, "conv_id", S.STAGE3.val_fraction, S.STAGE3.seed).filter(F.col("split") == "train")
-    batches = B.assign_batches(train, "conv_id", BATCH, EPOCHS, S.STAGE3.seed, length_of="ids")
+    batches = B.assign_batches(_stage3_train(enc), "conv_id", BATCH, EPOCHS, S.STAGE3.seed, length_of="ids")
     return B.pad_batch_steps(batches, "ids", "labels", F.lit(0).cast("bigint"),
                              F.lit(S.LABEL_IGNORE).cast("bigint"), "steps", max_len="max_len")
 
@@ -115,7 +131,7 @@ from stage3_batches b join (
           regexp_extract_all(instruction, {q(S.STEP_PATTERN_RE2)}, 0) as cs from stage3_tokens)) s using (conv_id)"""))
 def b4_steps(spark, d):
     """The ragged step lists (step index, label) that travel with each batch row."""
-    s = stage3_batches(spark, d)
+    s = stage3_step_batches(spark, d)
     return (explode_rows(s, "steps", ["epoch", "batch_id", "slot", "conv_id"], value="s")
             .select("epoch", "batch_id", "slot", "conv_id", "s.step_no", "s.token_idx", "s.label"))
 

@@ -52,3 +52,13 @@ def test_stage3_fallback_for_unreadable_image(spark):
     assert [s.label for s in out[1].steps] == [0] and not out[1].is_fallback
     assert out[2].is_fallback and out[2].steps == []
     assert out[2].tokens == _toks(spark, S.FALLBACK_STAGE3_TEXT)
+
+
+def test_step_batches_match_the_encoded_batches(spark):
+    from conftest import SF001, rows
+    from stepcorpus.plans import batch_queries as BQ
+    cols = ("epoch", "batch_id", "slot", "conv_id", "steps")
+    want = BQ.stage3_batches(spark, SF001)
+    got = BQ.stage3_step_batches(spark, SF001)
+    assert rows(got, *cols) == rows(want, *cols)
+    assert got.count() > 0
