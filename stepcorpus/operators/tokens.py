@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from stepcorpus import settings as S
 from stepcorpus.functions import text as T
@@ -69,15 +70,20 @@ def _join_lookup(exploded: DataFrame, value: str, vocab: DataFrame, src: str, ds
     """Left-join ``exploded[value]`` to ``vocab[src] -> vocab[dst]``.  Values in
     ``hot`` (e.g. the image-pad token, a third of all positions) are
     resolved in the row; their join key is spread by position so no single
-    task receives them, and it never matches a vocabulary entry."""
-    lookup, _ = broadcast_if_small(vocab.select(F.col(src).cast("string").alias("_key"), F.col(dst).alias("_val")))
+    task receives them, and it never matches a vocabulary entry (ids are
+    joined as longs, hot ids get the negative key ``-(pos + 1)``; ids are
+    never negative)."""
+    by_id = isinstance(vocab.schema[src].dataType, (LongType, IntegerType))
+    key_type = "bigint" if by_id else "string"
+    lookup, _ = broadcast_if_small(vocab.select(F.col(src).cast(key_type).alias("_key"), F.col(dst).alias("_val")))
     if not hot:
-        key = F.col(value).cast("string")
+        key = F.col(value).cast(key_type)
         fixed = F.lit(None)
     else:
         is_hot = F.col(value).isin(*hot.keys())
-        key = F.when(is_hot, F.concat(F.lit("\u0000#"), F.col("pos").cast("string"))).otherwise(
-            F.col(value).cast("string"))
+        salt = (-(F.col("pos").cast("bigint") + 1) if by_id
+                else F.concat(F.lit("\u0000#"), F.col("pos").cast("string")))
+        key = F.when(is_hot, salt).otherwise(F.col(value).cast(key_type))
         fixed = _hot_case(F.col(value), hot)
     j = exploded.withColumn("_key", key).join(lookup, "_key", "left")
     return j.withColumn(dst, F.coalesce(fixed.cast(vocab.schema[dst].dataType), F.col("_val"))).drop("_key", "_val")
