@@ -16,7 +16,7 @@ from stepcorpus import settings as S
 from stepcorpus.functions import text as T
 from stepcorpus.functions.arrays import explode_rows
 from stepcorpus.functions.ranking import with_global_rank
-from stepcorpus.session import broadcast_if_small, materialize
+from stepcorpus.session import BROADCAST_MAX_ROWS, broadcast_if_small, materialize
 
 
 # ----------------------------------------------------------------- T1 / T2
@@ -75,7 +75,8 @@ def _join_lookup(exploded: DataFrame, value: str, vocab: DataFrame, src: str, ds
     never negative)."""
     by_id = isinstance(vocab.schema[src].dataType, (LongType, IntegerType))
     key_type = "bigint" if by_id else "string"
-    lookup, _ = broadcast_if_small(vocab.select(F.col(src).cast(key_type).alias("_key"), F.col(dst).alias("_val")))
+    lookup, _ = broadcast_if_small(vocab.select(F.col(src).cast(key_type).alias("_key"), F.col(dst).alias("_val")),
+                                   BROADCAST_MAX_ROWS)
     if not hot:
         key = F.col(value).cast(key_type)
         fixed = F.lit(None)

@@ -36,6 +36,31 @@ def test_encode_decode_roundtrip_and_vocab(spark):
     assert {r["k"]: r["back"] for r in dec.collect()} == dict(enumerate(texts))
 
 
+def test_encode_decode_without_broadcast(spark, monkeypatch):
+    """A vocabulary above the broadcast bound is shuffle-joined; hot tokens
+    keep their salted keys and the ids and texts are the same."""
+    texts = ["<|im_start|>user\n<|image_pad|><|image_pad|> x<|im_end|>", "y y z", "", "<|image_pad|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").withColumn("tok", T.tokenize(F.col("t")))
+    vocab = K.build_vocab(df, "tok")
+
+    def run():
+        enc = K.encode(df, "tok", vocab, "k", "ids")
+        dec = K.decode(enc, "ids", vocab, "k", "back")
+        return {r["k"]: (tuple(r["ids"]), r["back"]) for r in dec.collect()}
+
+    small = run()
+    monkeypatch.setattr(K, "BROADCAST_MAX_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # no size-based broadcast either
+    try:
+        plan = K.encode(df, "tok", vocab, "k", "ids")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert run() == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {k: v[1] for k, v in small.items()} == dict(enumerate(texts))
+    assert small[3][0] == (3,)  # the image pad keeps its fixed id
+
 def spans_of(spark, seqs):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "i int, ids array<int>")
     sp, unc = K.assistant_spans(F.col("ids"), F.lit(A), F.lit(E))
