@@ -100,7 +100,7 @@ def judge(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
 SQL = f"""
 with t as (select doc_id, coalesce(source, '') host, coalesce(text, '') s from documents),
-w as (select doc_id, host, s, regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+') ws, list_filter(string_split(s, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls from t),
+w as (select doc_id, host, s, regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+') ws, list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls from t),
 win as (select doc_id, i, ws[i:i+{WINDOW - 1}] g from w, unnest(generate_series(1, len(ws) - {WINDOW - 1})) u(i)),
 rep as (select doc_id, i, count(*) over (partition by doc_id, g) c from win),
 cov as (select doc_id, count(distinct i + k) n from rep, unnest(generate_series(0, {WINDOW - 1})) v(k) where c > 1 group by doc_id),
