@@ -18,11 +18,11 @@ def as_bytes(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
 
 
 def byte_column(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a binary column; a null is an empty text."""
+    """(bytes, offsets) of a binary or string column; a null is an empty text."""
     col = batch.column(batch.schema.get_field_index(name))
     if col.null_count:
-        col = col.fill_null(b"")
-    wide = pa.types.is_large_binary(col.type)
+        col = col.fill_null(pa.scalar(b"").cast(col.type))
+    wide = pa.types.is_large_binary(col.type) or pa.types.is_large_string(col.type)
     _, offsets, data = col.buffers()
     at = np.frombuffer(offsets, np.int64 if wide else np.int32)[col.offset:col.offset + len(col) + 1].astype(np.int64) \
         if offsets is not None and len(col) else np.zeros(1, np.int64)

@@ -16,13 +16,14 @@ table gives an empty result.  Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepcorpus.llm.arrowtext import byte_column, slices
+from stepcorpus.llm.arrowtext import slices
 
 FOLDS, FOLD = 3, 1  # crc32(doc_id) mod FOLDS = FOLD is held out
 GRAM = 4  # bytes
@@ -32,6 +33,7 @@ STEPS = 8
 MAX_SET = 4  # languages in a document's set
 MIN_SHARE = 0.03  # of a language in the mixture, to be in the set
 PENALTY = 1.0  # times log(words), for each language after the first
+MIN_SCORE = 0.2  # of an accepted text's language: below it no language stands out
 UNKNOWN = "und"
 
 #: A-Z to a-z, other ASCII but letters to a space; bytes of longer characters stay.
@@ -151,25 +153,24 @@ def choose(like: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return best, share[np.arange(n_docs), best] if n_langs else np.zeros(n_docs), size
 
 
+def judge(batch: pa.RecordBatch, langs: list[str], table: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, languages, scores, set sizes) of runs of a batch's texts."""
+    names = np.array([*langs, UNKNOWN], dtype=object)
+    for lo, hi, data, at in slices(batch, "text"):
+        known = np.array([LETTER.search(data[at[i]:at[i + 1]].tobytes().decode()) is not None for i in range(hi - lo)]) & bool(langs)
+        best, share, size = choose(*word_likelihoods(data, at, table)) if langs else (np.zeros(hi - lo, np.int64) for _ in range(3))
+        yield lo, hi, names[np.where(known, best, -1)], np.clip(np.where(known, share, 0.0), 0, 1), np.where(known, size, 0)
+
+
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_langs of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = np.array([*langs, UNKNOWN], dtype=object)
     model = docs.sparkSession.sparkContext.broadcast(table)  # languages times BUCKETS numbers
 
     def task(batches):
         for b in batches:
-            whole, place = byte_column(b, "text")
-            for lo, hi, data, at in slices(b, "text"):
-                letters = np.array([LETTER.search(whole[place[i]:place[i + 1]].tobytes().decode()) is not None for i in range(lo, hi)])
-                known = letters & bool(langs)
-                if langs:
-                    like, first = word_likelihoods(data, at, model.value)
-                    best, share, size = choose(like, first)
-                else:
-                    best, share, size = (np.zeros(hi - lo, np.int64) for _ in range(3))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(names[np.where(known, best, -1)], pa.string()),
-                                                  pa.array(np.clip(np.where(known, share, 0.0), 0, 1), pa.float64()), pa.array(np.where(known, size, 0), pa.int32())],
+            for lo, hi, lang, score, size in judge(b, langs, model.value):
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(2)), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(size, pa.int32())],
                                                  ["doc_id", "held_out", "lang_pred", "score", "n_langs"])
 
     rows = docs.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == FOLD, F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))
@@ -178,3 +179,17 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, *learn(docs))
+
+
+def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` with a known language that holds ``min_score`` of the text at least."""
+    langs, table = learn(docs)
+    model = docs.sparkSession.sparkContext.broadcast(table)
+
+    def task(batches):
+        for b in batches:
+            ok = [(lang != UNKNOWN) & (score >= min_score) for _, _, lang, score, _ in judge(b, langs, model.value)]
+            if ok:
+                yield b.filter(pa.array(np.concatenate(ok)))
+
+    return docs.mapInArrow(task, docs.schema)

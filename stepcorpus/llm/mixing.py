@@ -97,6 +97,12 @@ def mix(docs: DataFrame, domain: Column | None = None, share: float = SHARE, max
     return placed.withColumn("_taken", taken).select("doc_id", *LEVELS, "n_tokens", F.explode(epochs).alias("e")).select("doc_id", *LEVELS, "e.epoch", "n_tokens", "e.taken")
 
 
+def take(docs: DataFrame, **options) -> DataFrame:
+    """The whole rows of ``docs`` that the mix takes, once for each epoch; rows that share a doc_id are taken together."""
+    picked = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("epoch").alias("_epoch")).distinct()
+    return docs.join(picked, docs["doc_id"].eqNullSafe(picked["_id"])).drop("_id", "_epoch")
+
+
 def _level_sql(depth: int) -> str:
     parent, level = LEVELS[:depth], LEVELS[depth]
     by = f"partition by {', '.join(parent)} " if parent else ""

@@ -257,6 +257,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+with d as (select doc_id, {_WORDS_SQL} ws from documents),
+b as (select item_id::varchar item_id, {_WORDS_SQL} ws from benchmark where item_id is not null),
+iw as (select distinct item_id, least({WINDOW}, len(ws)) l, ws[i:i + least({WINDOW}, len(ws)) - 1] win from b, unnest(generate_series(1, greatest(1, len(ws) - {WINDOW - 1}))) u(i) where len(ws) > 0),
+dw as (select doc_id, i, l, ws[i:i + l - 1] win from (select distinct l from iw) x, d, unnest(generate_series(1, len(ws) - l + 1)) u(i)),
+m as (select doc_id, i, l, item_id from dw join iw using (l, win)),
+h as (select doc_id, count(distinct i + k) n_hit from m, unnest(generate_series(0, l - 1)) v(k) group by doc_id),
+c as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id from m) group by doc_id)
+select doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) contaminated
+from d left join h using (doc_id) left join c using (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
     """The contract read literally, for tests: no index, one scan of each document."""
     import re
