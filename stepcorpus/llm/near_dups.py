@@ -2,14 +2,16 @@
 
 A document's set is hashed to ``COORDINATES`` minwise values.  In each of
 ``TREES`` independent trees, a set is placed in a node for each of
-``BRANCHES`` chosen coordinates, by its value there.  Nodes of at most
-``SMALL`` sets compare all their members; a larger node first compares every
-member with a few representatives, and if members of different components
-remain, branches again by coordinates chosen by the node.  Nodes that are
-still large at ``DEPTH`` are compared in blocks, so no pair is left out by
-size.  A pair of similarity s misses a tree at one level with probability
-(1 - s) ** BRANCHES, so four trees of two branches meet 99.9997 % of pairs
-of similarity 0.8 in a first node.
+``BRANCHES`` chosen coordinates, by its value there.  A node of at most
+``SMALL`` sets compares all its members inside one task, first by sketches,
+then by full sets, and gives the links that join different components, never
+more than it has members.  A larger node compares every member with a few
+representatives, and if members of different components remain, branches
+again by coordinates chosen by the node.  Nodes that are still large at
+``DEPTH`` are compared in blocks, so no pair is left out by size.  A pair of
+similarity s misses a tree at one level with probability (1 - s) ** BRANCHES,
+so four trees of two branches meet 99.9997 % of pairs of similarity 0.8 in a
+first node.  A pair that meets in several first nodes is compared in one.
 
 Equal sets are one class from the start: copies are never paired.  A pair
 that agrees in ``AGREE`` coordinates is confirmed on the full sets, built
@@ -39,8 +41,9 @@ from stepcorpus.session import materialize
 WORDS = 5  # of a shingle
 PERCENT = 80
 COORDINATES = 64
-TREES, BRANCHES, DEPTH = 4, 2, 6
-SMALL = 12
+TREES, BRANCHES, DEPTH = 4, 2, 5
+SMALL = 4096  # members that one task compares
+BLOCK = 512  # members in a block of a node that stays large
 STARS = 3  # representatives of a large node
 AGREE = 34  # of the coordinates; below it a pair of similarity 0.8 falls with probability 1e-6
 
@@ -96,42 +99,125 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return materialize(as_bytes(docs.join(ids, "doc_id", "left_semi"), "doc_id").mapInArrow(task, "doc_id long, set binary"), "shingle-sets")
 
 
-def _place(key: np.ndarray, doc: np.ndarray, sketch: np.ndarray, branches: int) -> tuple[np.ndarray, np.ndarray]:
-    """Children of each (node, document): the node chooses the coordinates, their values the child."""
+def _place(key: np.ndarray, doc: np.ndarray, sketch: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Children of each (node, document): the node chooses coordinates that no level above used, their values the child."""
+    first = TREES * BRANCHES
+    pool = (COORDINATES - first) // max(1, DEPTH - 1)
     out = []
-    for k in range(branches):
-        at = (mix64(key + np.uint64(k + 1)) % np.uint64(COORDINATES)).astype(np.int64)
+    for k in range(BRANCHES):
+        at = first + (level - 1) * pool + ((mix64(key) + np.uint64(k)) % np.uint64(pool)).astype(np.int64)
         value = sketch[np.arange(len(doc)), at].astype(np.uint64)
         out.append(mix64(key ^ mix64(value + (at.astype(np.uint64) << np.uint64(32)) + np.uint64(1 << 40))))
-    return np.concatenate(out), np.tile(doc, branches)
+    return np.concatenate(out), np.tile(doc, BRANCHES)
 
 
-def _branch(rows: DataFrame, first: bool) -> DataFrame:
-    """(node, doc) of the next level from (node, doc, sketch); the first level is the roots of all trees."""
+def _branch(rows: DataFrame, level: int) -> DataFrame:
+    """(node, doc, tree) of the next level from (node, doc, sketch); level 0 starts all trees."""
     def task(batches):
         for b in batches:
             doc, sketch = b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            if first:  # coordinates 0 and 1 for the first tree, 2 and 3 for the second, and so on
+            if not level:  # coordinates 0 and 1 for the first tree, 2 and 3 for the second, and so on
                 n = TREES * BRANCHES
                 key = mix64(sketch[:, :n].astype(np.uint64) + (np.arange(n, dtype=np.uint64) << np.uint64(32))).T.ravel()
+                root = np.repeat(np.arange(n), len(doc))
                 doc = np.tile(doc, n)
             else:
-                key, doc = _place(b.column(0).to_numpy().view(np.uint64), doc, sketch, BRANCHES)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc)], ["node", "doc"])
-
-    return rows.mapInArrow(task, "node long, doc long")
-
-
-def _pairs_of_small(rows: DataFrame) -> DataFrame:
-    """All pairs of different components in nodes of at most ``SMALL`` members."""
-    members = rows.groupBy("node").agg(F.collect_list(F.struct("doc", "comp")).alias("m"))  # SMALL entries at most
-    return (members.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["doc"] > F.col("x.doc")) & (y["comp"] != F.col("x.comp")))).alias("y"))
-            .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")))
+                key, doc = _place(b.column(0).to_numpy().view(np.uint64), doc, sketch, level)
+                root = np.zeros(len(doc), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(root, pa.int32())], ["node", "doc", "root"])
+
+    return rows.mapInArrow(task, "node long, doc long, root int")
+
+
+class _Node:
+    """Members of a node in one task."""
+
+    def __init__(self, rows: list[tuple]):
+        self.doc, self.comp, n, root, earlier = (np.array(c, np.int64) for c in list(zip(*rows))[:5])
+        self.n, self.root, self.earlier = n, int(root[0]), earlier
+        self.sketch = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(-1, COORDINATES)
+        self.sets = [np.frombuffer(r[6], np.uint64) for r in rows] if len(rows[0]) > 6 else []
+
+    def candidates(self, i: int, comp: np.ndarray, percent: int) -> np.ndarray:
+        """Later members that may be alike member i, of other components, that no earlier first node compares."""
+        js = np.flatnonzero((comp[i + 1:] != comp[i]) & (100 * np.minimum(self.n[i], self.n[i + 1:]) >= percent * np.maximum(self.n[i], self.n[i + 1:]))) + i + 1
+        if not len(js):
+            return js
+        same = self.sketch[js] == self.sketch[i]
+        first = TREES * BRANCHES
+        met = (same[:, :first] @ (1 << np.arange(first))) & self.earlier[i] & ((1 << self.root) - 1)
+        return js[(same.sum(1) >= AGREE) & (met == 0)]
+
+    def flagged(self, percent: int) -> list[int]:
+        """Members with any candidate."""
+        out = np.zeros(len(self.doc), bool)
+        for i in range(len(self.doc) - 1):
+            js = self.candidates(i, self.comp, percent)
+            if len(js):
+                out[i] = out[js] = True
+        return np.flatnonzero(out).tolist()
+
+    def links(self, percent: int) -> list[tuple[int, int]]:
+        """Links on full sets between members not yet joined, each joining two components."""
+        comp, out = self.comp.copy(), []
+        for i in range(len(self.doc) - 1):
+            js = self.candidates(i, comp, percent)
+            if not len(js):
+                continue
+            mine, theirs = self.sets[i], np.concatenate([self.sets[j] for j in js])
+            hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            size = np.array([len(self.sets[j]) for j in js])
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+            for j in js[100 * both >= percent * (len(mine) + size - both)]:
+                if comp[j] != comp[i]:
+                    out.append((int(self.doc[i]), int(self.doc[j])))
+                    comp[comp == comp[j]] = comp[i]
+        return out
+
+
+def _nodes_of(batches):
+    """(node, _Node) one after the other, from rows sorted by node."""
+    last, rows = None, []
+    for b in batches:
+        for node, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if node != last and rows:
+                yield last, _Node(rows)
+                rows = []
+            last = node
+            rows.append(row)
+    if rows:
+        yield last, _Node(rows)
+
+
+def _links_of_small(rows: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links inside nodes of at most ``SMALL`` members, from (node, doc, comp, root, earlier)."""
+    def flag(batches):
+        for node, x in _nodes_of(batches):
+            at = x.flagged(percent)
+            if at:
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(at), pa.int64()), *(pa.array(c[at], pa.int64()) for c in (x.doc, x.comp, x.n)), pa.array([x.root] * len(at), pa.int32()),
+                                                  pa.array(x.earlier[at], pa.int64()), pa.array([x.sketch[i].tobytes() for i in at], pa.binary())],
+                                                 ["node", "doc", "comp", "n", "root", "earlier", "sketch"])
+
+    def link(batches):
+        for _, x in _nodes_of(batches):
+            got = x.links(percent)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    known = rows.join(classes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch"), "doc")
+    order = ["node", "doc", "comp", "n", "root", "earlier", "sketch"]
+    flagged = materialize(known.select(*order).repartition("node").sortWithinPartitions("node", "doc")
+                          .mapInArrow(flag, "node long, doc long, comp long, n long, root int, earlier long, sketch binary"), "flagged")
+    if flagged.isEmpty():
+        return None
+    sets = shingle_sets(docs, flagged.select(F.col("doc").alias("doc_id")).distinct(), size).withColumnRenamed("doc_id", "doc")
+    return materialize(flagged.join(sets, "doc").select(*order, "set").repartition("node").sortWithinPartitions("node", "doc").mapInArrow(link, "a long, b long").distinct(), "links")
 
 
 def _pairs_with_stars(rows: DataFrame, level: int) -> DataFrame:
     """Each member of a large node with representatives: the smallest by orders that all nodes share."""
-    ranks = [F.min(F.struct((F.col("doc") if level == k == 0 else F.xxhash64("doc", F.lit(level * STARS + k))).alias("o"), "doc", "comp")).alias(f"r{k}") for k in range(STARS)]
+    ranks = [F.min(F.struct(F.xxhash64("doc", F.lit(level * STARS + k)).alias("o"), "doc", "comp")).alias(f"r{k}") for k in range(STARS)]
     stars = rows.groupBy("node").agg(*ranks)
     one = F.explode(F.array(*[F.col(f"r{k}") for k in range(STARS)])).alias("r")
     return (rows.join(stars, "node").select("doc", "comp", one).filter("comp <> r.comp")
@@ -140,7 +226,7 @@ def _pairs_with_stars(rows: DataFrame, level: int) -> DataFrame:
 
 def _pairs_in_blocks(rows: DataFrame) -> DataFrame:
     """All pairs of different components in nodes that stay large: members in blocks, each pair of blocks a group of its own."""
-    sized = rows.withColumn("n", F.ceil(F.col("size") / SMALL).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
+    sized = rows.withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
     left = sized.select("node", "doc", "comp", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("n") - 1)).alias("j"))
     right = sized.select("node", F.col("doc").alias("doc2"), F.col("comp").alias("comp2"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
     return left.join(right, ["node", "i", "j"]).filter("comp <> comp2 and doc <> doc2").select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"))
@@ -181,35 +267,52 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int = PERCENT
 def near_links(classes: DataFrame, docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the classes that link, over all trees."""
     comp = docs.sparkSession.createDataFrame([], "doc long, comp long")
-    members = materialize(_branch(classes.select(F.lit(0).cast("long").alias("node"), "doc_id", "sketch"), True), "nodes")
+    members = materialize(_branch(classes.select(F.lit(0).cast("long").alias("node"), "doc_id", "sketch"), 0), "nodes")
     found: list[DataFrame] = []
 
     def open_nodes(rows: DataFrame, least: int) -> DataFrame:
         """Members, with components and node size, of the nodes that hold more than one component."""
-        known = rows.join(comp, "doc", "left").select("node", "doc", F.coalesce("comp", "doc").alias("comp"))
+        known = rows.join(comp, "doc", "left").select("node", "doc", "root", F.coalesce("comp", "doc").alias("comp"))
         nodes = known.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter(F.col("size") >= least).filter("c0 <> c1").select("node", "size")
         return materialize(known.join(nodes, "node"), "open-nodes")
 
-    def link(pairs: DataFrame) -> None:
-        nonlocal comp
+    def add(links: DataFrame | None) -> bool:
+        if links is not None:
+            found.append(links)
+        return links is not None
+
+    def add_pairs(pairs: DataFrame) -> bool:
         near = materialize(alike(pairs, classes, percent), "pairs")
-        if near.isEmpty():
-            return
-        found.append(confirm(near, docs, size, percent))
-        comp = materialize(components(reduce(DataFrame.union, found)).select(F.col("node").alias("doc"), F.col("component").alias("comp")), "components")
+        return not near.isEmpty() and add(confirm(near, docs, size, percent))
+
+    def join() -> DataFrame:
+        return materialize(components(reduce(DataFrame.union, found)).select(F.col("node").alias("doc"), F.col("component").alias("comp")), "components")
 
     for level in range(DEPTH):
         rows = open_nodes(members, 2)
         if rows.isEmpty():
             break
-        link(_pairs_of_small(rows.filter(F.col("size") <= SMALL)).union(_pairs_with_stars(rows.filter(F.col("size") > SMALL), level)))
-        rows = open_nodes(rows.filter(F.col("size") > SMALL).select("node", "doc"), SMALL + 1)
-        if rows.isEmpty():
+        small, large = rows.filter(F.col("size") <= SMALL), rows.filter(F.col("size") > SMALL)
+        if level:
+            small = small.withColumn("earlier", F.lit(0).cast("long"))
+        else:  # first nodes that compare all their members, by document
+            seen = small.groupBy("doc").agg(F.sum(F.expr("shiftleft(1L, root)")).alias("earlier"))
+            small = small.join(seen, "doc")
+        new = add(_links_of_small(small, classes, docs, size, percent))
+        any_large = not large.isEmpty()
+        if any_large:
+            new |= add_pairs(_pairs_with_stars(large, level))
+        if new:
+            comp = join()
+        if not any_large:
+            break
+        large = open_nodes(large.select("node", "doc", "root"), SMALL + 1)
+        if large.isEmpty():
             break
-        if level == DEPTH - 1:
-            link(_pairs_in_blocks(rows))
-        else:
-            members = materialize(_branch(rows.join(classes.select(F.col("doc_id").alias("doc"), "sketch"), "doc").select("node", "doc", "sketch"), False).distinct(), "nodes")
+        if level < DEPTH - 1:
+            members = materialize(_branch(large.join(classes.select(F.col("doc_id").alias("doc"), "sketch"), "doc").select("node", "doc", "sketch"), level + 1).distinct(), "nodes")
+        elif add_pairs(_pairs_in_blocks(large)):
+            comp = join()
     return comp
 
 

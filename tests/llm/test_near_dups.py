@@ -42,6 +42,13 @@ def test_large_groups_and_shared_passages(spark):
 def test_nodes_that_stay_large_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "DEPTH", 1)
     monkeypatch.setattr(N, "STARS", 1)
+    monkeypatch.setattr(N, "SMALL", 12)
+    monkeypatch.setattr(N, "BLOCK", 7)
+    test_large_groups_and_shared_passages(spark)
+
+
+def test_large_nodes_branch(spark, monkeypatch):
+    monkeypatch.setattr(N, "SMALL", 12)
     test_large_groups_and_shared_passages(spark)
 
 
