@@ -28,6 +28,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,8 @@ from stepcorpus.session import materialize
 
 LENGTH = 400
 KMER = 32
-HOT = 2_000  # contexts of equal anchor bytes that one task compares
-PAIRWISE = 16  # contexts up to which a group is compared pair by pair
+HOT = 100_000  # contexts of equal anchor bytes that one task compares, about 100 MB
+PAIRWISE = 64  # contexts up to which a group is compared pair by pair
 RUN_CONTEXTS = 40_000  # of a merge task, about
 PIECE = 2 << 20  # bytes handled at once; positions in a piece fit in 24 bits
 NULL_ID = -(1 << 63)
@@ -105,11 +106,13 @@ Entry = tuple[bytes, bytes, int, int]
 def common(a: bytes, b: bytes, start: int = 0) -> int:
     """Length of the common prefix, ``start`` bytes of which are known."""
     end = min(len(a), len(b))
-    while start + 64 <= end and a[start:start + 64] == b[start:start + 64]:
-        start += 64
-    while start < end and a[start] == b[start]:
-        start += 1
-    return start
+    while start < end:
+        stop = min(start + 64, end)
+        x, y = a[start:stop], b[start:stop]
+        if x != y:  # the first set bit of the difference
+            return stop - ((int.from_bytes(x) ^ int.from_bytes(y)).bit_length() + 7) // 8
+        start = stop
+    return end
 
 
 def write_run(entries: list[Entry]) -> bytes:
@@ -121,11 +124,13 @@ def write_run(entries: list[Entry]) -> bytes:
         rest.append(suffix[n:])
         last = suffix
     numbers = np.array([shared, [len(x) for x in rest], [len(e[1]) for e in entries]], "<u4")
-    return b"".join((np.array([len(entries)], "<u4").tobytes(), numbers.tobytes(), np.array([[e[2] for e in entries], [e[3] for e in entries]], "<i8").tobytes(), *rest, *(e[1] for e in entries)))
+    raw = b"".join((np.array([len(entries)], "<u4").tobytes(), numbers.tobytes(), np.array([[e[2] for e in entries], [e[3] for e in entries]], "<i8").tobytes(), *rest, *(e[1] for e in entries)))
+    return struct.pack("<Q", len(raw)) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def read_run(raw: bytes) -> Iterator[tuple[int, Entry]]:
     """(common prefix with the entry before, entry) in order."""
+    raw = pa.Codec("zstd").decompress(raw[8:], struct.unpack_from("<Q", raw)[0], asbytes=True)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     shared, size, left = (x.tolist() for x in np.frombuffer(raw, "<u4", 3 * n, 4).reshape(3, n))
     ctx, kmer = (x.tolist() for x in np.frombuffer(raw, "<i8", 2 * n, 4 + 12 * n).reshape(2, n))
@@ -219,13 +224,15 @@ def _by_offset(group: list[tuple[int, Entry]], length: int) -> tuple[list[int],
     ell = np.array([0, *(common(group[a][1][1], group[b][1][1]) for a, b in zip(order, order[1:]))])
     left, right = np.full(m, -1), np.full(m, -1)
     side = np.empty(m, np.int64)
-    for o in range(length):
+    # a pair fits from the place that its right part allows to the one its left part allows: only those can be extremes
+    for o in sorted({n for n in {*ell.tolist(), *(length - r).tolist()} if 0 <= n < length}):
         side[order] = np.cumsum(ell < o)
         key = np.cumsum(r < length - o) * (m + 1) + side
-        have = np.sort(key)
-        again = np.isin(key, have[1:][have[1:] == have[:-1]])
+        by_key = np.argsort(key, kind="stable")
+        equal = key[by_key[1:]] == key[by_key[:-1]]
+        again = np.union1d(by_key[1:][equal], by_key[:-1][equal])
         left[again] = o
-        right[again & (right < 0)] = length - o
+        right[again] = np.maximum(right[again], length - o)
     return left.tolist(), right.tolist()
 
 
