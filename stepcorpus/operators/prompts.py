@@ -79,10 +79,12 @@ def instruction_text(instruction: Column, present: Column | None = None) -> Colu
 
 def render_instruction(instruction: Column, use_template: bool = True,
                        present: Column | None = None) -> Column:
-    """The stage-3 prompt; with no chat template the raw text is used."""
-    user = instruction_text(instruction, present)
+    """The stage-3 prompt; with no chat template the raw text is used,
+    and an explicit null stays null (a tokenizer can't take it, so the record
+    needs the stage-3 default sample)."""
     if not use_template:
-        return user
+        return instruction if present is None else F.when(~present, F.lit("")).otherwise(instruction)
+    user = instruction_text(instruction, present)
     return T.render_chat([("system", S.SYSTEM_STAGE3), ("user", user)], add_generation_prompt=True)
 
 

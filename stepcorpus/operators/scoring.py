@@ -117,16 +117,19 @@ def combined_loss(gen: DataFrame, ver: DataFrame, batch: str) -> DataFrame:
     return j.withColumn("total_loss", total)
 
 
-def top_k_softmax(scores: DataFrame, grp: str, k: int, temperature: float, item: str = "item",
+def top_k_softmax(scores: DataFrame, grp: str, k: int | None, temperature: float, item: str = "item",
                   score: str = "score") -> DataFrame:
     """M6: scores / temperature, keep those >= the k-th largest (ties kept,
-    k capped at the group size), softmax over the kept ones."""
+    k capped at the group size; None keeps all), softmax over the kept ones.
+    Temperature 0 is the greedy choice (M7) with probability 1."""
+    if temperature == 0:
+        return argmax(scores, grp, item, score).withColumn("prob", F.lit(1.0))
     s = F.col(score) / F.lit(float(temperature))
     full = Window.partitionBy(grp).orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding,
                                                                            Window.unboundedFollowing)
     g = Window.partitionBy(grp)
     x = (scores.withColumn("_s", s)
-         .withColumn("_kth", F.coalesce(F.nth_value("_s", k).over(full), F.min("_s").over(g)))
+         .withColumn("_kth", F.min("_s").over(g) if k is None else F.coalesce(F.nth_value("_s", k).over(full), F.min("_s").over(g)))
          .filter(F.col("_s") >= F.col("_kth"))
          .withColumn("_mx", F.max("_s").over(g))
          .withColumn("_e", F.exp(F.col("_s") - F.col("_mx"))))
@@ -165,28 +168,21 @@ def best_checkpoint(metrics: DataFrame, run: str = "run_id", step: str = "step",
         run, F.col("_b").getField(step).alias("best_step"), F.col("_b").getField(loss).alias("best_loss"))
 
 
-def retained_checkpoints(metrics: DataFrame, keep: int, run: str = "run_id", step: str = "step",
+def retained_checkpoints(metrics: DataFrame, keep: int, track_best: bool = True, run: str = "run_id", step: str = "step",
                          loss: str = "eval_loss") -> DataFrame:
-    """After rotation with ``keep`` saves and best-model tracking, the
-    best checkpoint survives plus the newest ``keep - 1`` others; with
-    ``keep = 1`` a best that is not the newest keeps the newest too.
-
-    The newest others come from ``keep - 1`` rounds of ``max(step)`` below the
-    previous round (partial aggregates, one small row per run), never from a
-    window that would put a whole run into one task."""
-    best = best_checkpoint(metrics, run, step, loss)
-    others = metrics.join(best.select(run, "best_step"), run).filter(F.col(step) != F.col("best_step"))
-    rounds = 1 if keep == 1 else keep - 1
-    kept, below = [], None
-    for _ in range(rounds):
-        cand = others if below is None else others.join(below, run).filter(F.col(step) < F.col("_below"))
-        newest = cand.groupBy(run).agg(F.max(step).alias("_below"), F.first("best_step").alias("best_step"))
-        kept.append(newest)
-        below = newest.select(run, "_below")
-    out = None
-    for k in kept:
-        rows = k if keep != 1 else k.filter(F.col("_below") > F.col("best_step"))
-        rows = rows.select(run, F.col("_below").alias(step), F.lit(0).alias("is_best"))
-        out = rows if out is None else out.unionByName(rows)
-    best_rows = best.select(run, F.col("best_step").alias(step), F.lit(1).alias("is_best"))
-    return out.unionByName(best_rows)
+    """Checkpoints left after rotation with ``keep`` saves.
+
+    Without best-model tracking (stages 1 and 2) the newest ``keep`` survive.
+    With it (stage 3) the best one survives plus the newest ``keep - 1``
+    others; with ``keep = 1`` a best that is not the newest keeps the newest
+    too.  One ranked pass: the rank limit is applied in each task before the
+    shuffle, so a long run's rows don't meet in one task."""
+    newest = Window.partitionBy(run).orderBy(F.col(step).desc())
+    top = metrics.select(run, step).withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= keep).drop("_r")
+    if not track_best:
+        return top.withColumn("is_best", F.lit(0))
+    best = best_checkpoint(metrics, run, step, loss).select(run, "best_step")
+    others = top.join(best, run).filter(F.col(step) != F.col("best_step"))  # at most ``keep`` rows a run
+    others = others.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= max(1, keep - 1))
+    return (others.select(run, step, F.lit(0).alias("is_best"))
+            .unionByName(best.select(run, F.col("best_step").alias(step), F.lit(1).alias("is_best"))))

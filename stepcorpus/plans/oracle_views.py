@@ -52,13 +52,16 @@ from (select distinct conv_id from conversations)"""),
 select r.conv_id, r.image_url, i.instruction from step_records r left join instr i using (conv_id)"""),
     "manifest": ([], f"""
 select distinct '{IMAGE_BASE}/data_images/img/' || doc_id || '.png' as path from labels"""),
-    "token_arrays": (["pairs"], f"""
+    "answered_pairs": (["pairs"], f"""
+select conv_id, case when q is null or a is null then {sql_text(S.FALLBACK_STAGE2_USER)} else q end as q,
+  case when q is null or a is null then {sql_text(S.FALLBACK_STAGE2_ANSWER)} else a end as a from pairs"""),
+    "token_arrays": (["answered_pairs"], f"""
 select conv_id as sample_id, regexp_extract_all(
   {sql_text(f"{S.IM_START}system{chr(10)}{S.SYSTEM_STAGE1}{S.IM_END}{chr(10)}{S.IM_START}user{chr(10)}"
             + S.IMAGE_PAD * PADS_PER_SAMPLE + chr(10))}
   || q || {sql_text(f"{S.IM_END}{chr(10)}{S.IM_START}assistant{chr(10)}")} || a || {sql_text(S.IM_END + chr(10))},
   {TOKEN_RE}, 0) as toks
-from pairs where a is not null"""),
+from answered_pairs"""),
     "tokens": (["token_arrays"], """
 select sample_id, unnest(range(len(toks))) as pos, unnest(toks) as tok from token_arrays"""),
     "patches": ([], f"""

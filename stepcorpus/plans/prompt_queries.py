@@ -122,7 +122,7 @@ _P8_PREFIX = P.stage3_prompt_prefix()
 select conv_id,
   {sql_text(_P8_PREFIX)} || coalesce(instruction, 'None') || {sql_text(f'{S.IM_END}{chr(10)}{S.IM_START}assistant{chr(10)}')}
     as prompt,
-  coalesce(instruction, 'None') as prompt_untemplated
+  instruction as prompt_untemplated
 from step_records_full"""))
 def p8(spark, d):
     """Stage-3 prompt, with and without a chat template."""

@@ -18,6 +18,7 @@ from stepcorpus.sources.tables import table
 DIM = 64
 HEAD_RULES = dict(w_dense=(0.15, 0.37), b_dense=(0.01, 0.9), w_cls=(0.3, 0.11), b_cls=(0.05, 2.0))
 PROBE_W, PROBE_B = (0.5, 0.23), (0.1, 1.3)  # linear probe for M4/M5 step logits
+SCORED_BATCH = 12  # score groups in a batch (M3)
 IGNORE = 0  # the pad id: positions labelled with it are not scored (M3)
 TOP_K, TEMPERATURE, SEED = 5, 0.7, 42
 
@@ -49,7 +50,7 @@ def m2(spark, d):
 def _gen(spark, d):
     labels = table(spark, d, "embeddings").select(
         F.col("vec_id").alias("grp"), F.col("label").cast("bigint").alias("label"),
-        F.floor(F.col("vec_id") / V.PATCHES_PER_IMAGE).cast("bigint").alias("batch_id"))
+        F.floor(F.col("vec_id") / SCORED_BATCH).cast("bigint").alias("batch_id"))
     return M.token_nll(V.scores(spark, d), labels, "grp", "batch_id", IGNORE)
 
 
@@ -59,7 +60,7 @@ select batch_id, count(nll) as n_tokens, avg(nll) as gen_loss from (
     case when e.label <> {IGNORE} then max(s.mx) + ln(sum(exp(s.score - s.mx)))
          - max(case when s.item = e.label then s.score end) end as nll
   from (select *, max(score) over (partition by grp) as mx from scores) s
-  join (select vec_id, cast(label as bigint) as label, cast(floor(vec_id / {V.PATCHES_PER_IMAGE}) as bigint) as batch_id
+  join (select vec_id, cast(label as bigint) as label, cast(floor(vec_id / {SCORED_BATCH}) as bigint) as batch_id
         from embeddings) e on e.vec_id = s.grp
   group by s.grp, e.batch_id, e.label) group by batch_id""")
 
@@ -108,18 +109,30 @@ def m4(spark, d):
     return _ver(spark, d).select("batch_id", "n_steps", F.round("ver_loss", 6).alias("ver_loss"))
 
 
+_ASSIGN_SQL = ("assigned", f"""
+select vec_id, cast((row_number() over (order by md5('{SEED}:0:' || vec_id), vec_id) - 1) // {S.STAGE3.batch_size} as bigint) as batch_id
+from step_features""")
+_SHARED_GEN_SQL = ("shared_gen", f"""
+select a.batch_id, avg(case when e.label <> {IGNORE} then t.lse - t.own end) as gen_loss from assigned a join embeddings e using (vec_id) join (
+  select s.grp, max(mx) + ln(sum(exp(s.score - mx))) as lse, max(case when s.item = l.label then s.score end) as own
+  from (select *, max(score) over (partition by grp) as mx from scores) s join embeddings l on l.vec_id = s.grp group by s.grp) t on t.grp = a.vec_id
+group by a.batch_id""")
+
+
 @query("m5_combined_loss", with_views(["scores", "step_features"], """
-select coalesce(g.batch_id, v.batch_id) as batch_id,
-  cast(g.gen_loss is not null as integer) as has_gen, cast(v.ver_loss is not null as integer) as has_ver,
-  round(coalesce(case when g.gen_loss is null then v.ver_loss when v.ver_loss is null then g.gen_loss
-                else g.gen_loss + v.ver_loss end, 0.0), 6) as total_loss
-from gen g full join ver v on g.batch_id = v.batch_id""", [_GEN_SQL, _VER_SQL]))
+select batch_id, cast(g.gen_loss is not null as integer) as has_gen, 1 as has_ver,
+  round(v.ver_loss + coalesce(g.gen_loss, 0.0), 6) as total_loss
+from ver v left join shared_gen g using (batch_id)""", [_ASSIGN_SQL, _SHARED_GEN_SQL, _VER_SQL]))
 def m5(spark, d):
-    """Generation + verification loss per batch; an absent term is left out."""
-    c = M.combined_loss(_gen(spark, d), _ver(spark, d), "batch_id")
+    """Generation + verification loss of the same batches: both terms from one assignment of the labelled vectors."""
+    f = V.step_features(spark, d)
+    batch = B.batch_assignment(f.select("vec_id"), "vec_id", S.STAGE3.batch_size, 1, SEED).select(F.col("vec_id").alias("grp"), "batch_id")
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("grp"), F.col("label").cast("bigint").alias("label"))
+    gen = M.token_nll(V.scores(spark, d), own.join(batch, "grp"), "grp", "batch_id", IGNORE)
+    c = M.combined_loss(gen, _ver(spark, d), "batch_id")
     return c.select("batch_id", F.col("gen_loss").isNotNull().cast("int").alias("has_gen"),
                     F.col("ver_loss").isNotNull().cast("int").alias("has_ver"),
-                    F.round(F.coalesce("total_loss", F.lit(0.0)), 6).alias("total_loss"))
+                    F.round("total_loss", 6).alias("total_loss"))
 
 
 _TOPK_SQL = ("topk", f"""
@@ -138,6 +151,19 @@ def m6(spark, d):
             .select("grp", "item", F.round("prob", 6).alias("prob")))
 
 
+@query("m6_softmax_full", with_views(["scores"], """
+select grp, item, round(e / sum(e) over (partition by grp), 6) as prob, 'all' as kept from (
+  select grp, item, exp(score - max(score) over (partition by grp)) as e from scores)
+union all
+select grp, item, 1.0 as prob, 'greedy' as kept from (select *, row_number() over (partition by grp order by score desc, item) as r from scores) where r = 1"""))
+def m6_full(spark, d):
+    """Softmax over all scores (no top-k), and the greedy choice of temperature 0."""
+    s = V.scores(spark, d)
+    every, greedy = M.top_k_softmax(s, "grp", None, 1.0), M.top_k_softmax(s, "grp", None, 0.0)
+    return (every.select("grp", "item", F.round("prob", 6).alias("prob"), F.lit("all").alias("kept"))
+            .unionByName(greedy.select("grp", "item", "prob", F.lit("greedy").alias("kept"))))
+
+
 @query("m7_argmax", with_views(["scores"], """
 select grp, item, score from (select *, row_number() over (partition by grp order by score desc, item) as r from scores)
 where r = 1"""))
@@ -157,14 +183,14 @@ def m8(spark, d):
     return M.sample_categorical(p, "grp", SEED)
 
 
-@query("m9_truncate_at_stop", with_views(["pairs"], f"""
+@query("m9_truncate_at_stop", with_views(["answered_pairs"], f"""
 select conv_id, cast(len(kept) as bigint) as n_kept, array_to_string(kept, '') as text_kept from (
   select conv_id, list_slice(toks, 1, least(coalesce(nullif(list_position(toks, {q(S.EOS_TOKEN)}), 0) - 1, len(toks)),
                                             {S.MAX_NEW_TOKENS - 1})) as kept
-  from (select conv_id, regexp_extract_all(a || {q(S.EOS_TOKEN)}, {TOKEN_RE}, 0) as toks from pairs where a is not null))"""))
+  from (select conv_id, regexp_extract_all(a || {q(S.EOS_TOKEN)}, {TOKEN_RE}, 0) as toks from answered_pairs))"""))
 def m9(spark, d):
     """Answer tokens as a generated sequence, cut at EOS and at 99 new tokens."""
-    p = V.pairs(spark, d).filter(F.col("a").isNotNull())
+    p = V.answered_pairs(spark, d)
     toks = T.tokenize(F.concat(F.col("a"), F.lit(S.EOS_TOKEN)))
     kept = M.truncate_at_stop(toks, F.lit(S.EOS_TOKEN), S.MAX_NEW_TOKENS)
     return p.select("conv_id", kept.alias("k")).select(
@@ -183,22 +209,21 @@ def m10(spark, d):
 
 
 @query("m11_retained_checkpoints", with_views(["metrics_log"], """
-select run_id, keep, step, is_best from (
-  select b.run_id, k.keep, b.best_step as step, 1 as is_best from best b, (select unnest([1, 2]) as keep) k
-  union all
-  select run_id, 2 as keep, step, 0 as is_best from (
-    select m.*, b.best_step, row_number() over (partition by m.run_id order by m.step desc) as r
-    from metrics_log m join best b using (run_id) where m.step <> b.best_step) where r <= 1
-  union all
-  select run_id, 1 as keep, step, 0 as is_best from (
-    select m.*, b.best_step, row_number() over (partition by m.run_id order by m.step desc) as r
-    from metrics_log m join best b using (run_id) where m.step <> b.best_step) where r = 1 and step > best_step)""",
-                                            [_BEST_SQL]))
+select run_id, step, keep, 0 as track_best, 0 as is_best from (
+  select *, row_number() over (partition by run_id order by step desc) as r from metrics_log), (select unnest([1, 2]) as keep) where r <= keep
+union all
+select run_id, best_step as step, keep, 1 as track_best, 1 as is_best from best, (select unnest([1, 2]) as keep)
+union all
+select run_id, step, keep, 1 as track_best, 0 as is_best from (
+  select m.run_id, m.step, row_number() over (partition by m.run_id order by m.step desc) as r, max(m.step) over (partition by m.run_id) as newest, b.best_step
+  from metrics_log m join best b using (run_id) where m.step <> b.best_step), (select unnest([1, 2]) as keep)
+where r = 1 and (keep = 2 or step > best_step)""", [_BEST_SQL]))
 def m11(spark, d):
-    """Checkpoints left after rotation (keep 2 as in stage 3, keep 1 as in stage 1) with the best one tracked."""
+    """Checkpoints left after rotation, with the best one tracked (stage 3) and without (stages 1 and 2)."""
     m = V.metrics_log(spark, d)
     out = None
     for keep in (1, 2):
-        r = M.retained_checkpoints(m, keep).select("run_id", F.lit(keep).alias("keep"), "step", "is_best")
-        out = r if out is None else out.unionByName(r)
+        for track in (False, True):
+            r = M.retained_checkpoints(m, keep, track).select("run_id", "step", F.lit(keep).alias("keep"), F.lit(int(track)).alias("track_best"), "is_best")
+            out = r if out is None else out.unionByName(r)
     return out

@@ -67,12 +67,13 @@ def s2(spark, d):
 @query("s2_quarantine", """
 select case conv_id % 3 when 0 then 'parse_error' when 1 then 'blank' else 'not_object' end as reason,
   substr(case conv_id % 3 when 0 then '{bad ' || translate(text, chr(13) || chr(10), '  ') when 1 then '' else cast(turn as varchar) end,
-         1, 100) as head
+         1, 100) as head,
+  case conv_id % 3 when 0 then '{bad ' || translate(text, chr(13) || chr(10), '  ') when 1 then '' else cast(turn as varchar) end as line
 from conversations where role = 'system'""")
 def s2q(spark, d):
-    """The unparsable lines of the same file: first 100 characters and the reason."""
+    """The unparsable lines of the same file: whole, their first 100 characters and the reason."""
     _, quarantine = _read_back(spark, d)
-    return quarantine.select("reason", "head")
+    return quarantine.select("reason", "head", "line")
 
 
 def _stage3_sql():

@@ -17,8 +17,8 @@ from stepcorpus.sources.tables import table
 
 
 IMAGE_BASE = "BASE"  # image store root used by the stage-3 views
-PADS_PER_SAMPLE = 3  # image pads per sample in the ``tokens`` view
-PATCHES_PER_IMAGE = 12  # embedding rows per image in the ``patches`` view
+PADS_PER_SAMPLE = S.IMAGE_PAD_NUM  # image pads per sample in the ``tokens`` view
+PATCHES_PER_IMAGE = S.IMAGE_PAD_NUM  # embedding rows per image in the ``patches`` view; the last image is short
 
 
 def conv_nested(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +45,13 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("conv_id").agg(first("user").alias("q"), first("assistant").alias("a"))
 
 
+def answered_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """``pairs`` with the stage-2 default turns where a conversation has no question or no answer."""
+    bad = F.col("q").isNull() | F.col("a").isNull()
+    return pairs(spark, d).select("conv_id", F.when(bad, F.lit(S.FALLBACK_STAGE2_USER)).otherwise(F.col("q")).alias("q"),
+                                  F.when(bad, F.lit(S.FALLBACK_STAGE2_ANSWER)).otherwise(F.col("a")).alias("a"))
+
+
 def instr(spark: SparkSession, d: str) -> DataFrame:
     """Stage-3 instructions: one ``Step k: … и <verdict>`` line per non-system turn."""
     c = table(spark, d, "conversations").filter(F.col("role") != "system")
@@ -89,8 +96,8 @@ def chatml_sample_text(q, a):
 
 
 def token_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """``sample_id, toks array<string>`` for conversations with both a question and an answer."""
-    p = pairs(spark, d).filter(F.col("a").isNotNull())
+    """``sample_id, toks array<string>`` of every conversation; one without an answer holds the stage-2 default turns."""
+    p = answered_pairs(spark, d)
     return p.select(F.col("conv_id").alias("sample_id"),
                     F.regexp_extract_all(chatml_sample_text(F.col("q"), F.col("a")),
                                          F.lit(S.TOKEN_PATTERN), 0).alias("toks"))

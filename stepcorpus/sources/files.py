@@ -97,14 +97,14 @@ def read_step_jsonl(spark: SparkSession, path: str, schema: T.StructType = STEP_
 
     Returns ``(good, quarantine)``.  ``good`` has the schema's columns plus
     ``instruction_present`` (the key exists, even if null) and the file order
-    key; ``quarantine`` has ``head`` (first 100 characters) and ``reason``.
+    key; ``quarantine`` has the whole ``line``, its ``head`` (100 characters, as logged) and ``reason``.
     With ``first_n`` only the first n parsed records in file order are kept,
     before any validity check, like ``max_samples``.
     """
     raw = with_file_order(spark.read.text(path))
     checked = raw.withColumn("_chk", strict_json_check(F.col("value")))
     quarantine = checked.filter(F.col("_chk.reason").isNotNull()).select(
-        F.substring("value", 1, QUARANTINE_CHARS).alias("head"), F.col("_chk.reason").alias("reason"), "_file")
+        F.col("value").alias("line"), F.substring("value", 1, QUARANTINE_CHARS).alias("head"), F.col("_chk.reason").alias("reason"), "_file")
     ok = checked.filter(F.col("_chk.reason").isNull())
     parsed = ok.select(
         "_file", "_block", "_mid",

@@ -30,7 +30,7 @@ def step_record_stream(spark: SparkSession, src_dir: str, manifest: DataFrame, b
     raw = reader.load(src_dir).withColumn("_file", F.col("_metadata.file_path"))
     checked = raw.withColumn("_reason", strict_json_check(F.col("value"))["reason"])
     quarantine = checked.filter(F.col("_reason").isNotNull()).select(
-        "_file", F.substring("value", 1, QUARANTINE_CHARS).alias("head"), F.col("_reason").alias("reason"))
+        "_file", F.col("value").alias("line"), F.substring("value", 1, QUARANTINE_CHARS).alias("head"), F.col("_reason").alias("reason"))
     parsed = checked.filter(F.col("_reason").isNull()).select(
         F.from_json("value", schema).alias("r"), "_file").select("r.*", "_file")
     if "conv_id" not in schema.names:  # records without an id get a content hash as key

@@ -70,7 +70,7 @@ def test_render_and_expand(spark):
 def test_render_instruction_null_and_missing(spark):
     df = spark.createDataFrame([("x", True), (None, True), (None, False)], "i string, present boolean")
     raw = [r[0] for r in df.select(P.render_instruction(F.col("i"), False, F.col("present"))).collect()]
-    assert raw == ["x", "None", ""]
+    assert raw == ["x", None, ""]
     tpl = df.select(P.render_instruction(F.col("i"))).first()[0]
     assert tpl.startswith(P.stage3_prompt_prefix()) and tpl.endswith("<|im_start|>assistant\n")
 

@@ -96,6 +96,19 @@ def test_checkpoints(spark):
     assert keep1 == [(1, 4000, 1), (1, 10000, 0), (2, 2000, 1), (3, 4000, 1)]
 
 
+def test_rotation_without_best_tracking(spark):
+    m = spark.createDataFrame([(1, 100, 0.1), (1, 200, 0.5), (1, 300, 0.9)], "run_id long, step long, eval_loss double")
+    assert [tuple(r) for r in M.retained_checkpoints(m, 1, track_best=False).collect()] == [(1, 300, 0)]
+    assert sorted(r.step for r in M.retained_checkpoints(m, 2, track_best=False).collect()) == [200, 300]
+
+
+def test_softmax_without_k_and_temperature_zero(spark):
+    s = spark.createDataFrame([(1, 0, 1.0), (1, 1, 3.0), (1, 2, 3.0)], "grp long, item long, score double")
+    every = {r.item: r.prob for r in M.top_k_softmax(s, "grp", None, 1.0).collect()}
+    assert set(every) == {0, 1, 2} and abs(sum(every.values()) - 1) < 1e-9
+    assert [(r.item, r.prob) for r in M.top_k_softmax(s, "grp", 2, 0).collect()] == [(1, 1.0)]
+
+
 def test_top_k_temperatures(spark):
     import pytest
     s = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([2.0, 1.0, 0.5, -1.0])],
