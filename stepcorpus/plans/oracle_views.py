@@ -51,7 +51,8 @@ from (select distinct conv_id from conversations)"""),
     "step_records_full": (["step_records", "instr"], """
 select r.conv_id, r.image_url, i.instruction from step_records r left join instr i using (conv_id)"""),
     "manifest": ([], f"""
-select distinct '{IMAGE_BASE}/data_images/img/' || doc_id || '.png' as path from labels"""),
+select distinct '{IMAGE_BASE}/data_images/img/' || conv_id || '.png' as path from conversations
+where substr(md5('image:' || conv_id), 1, 1) not in ('0', '1')"""),
     "answered_pairs": (["pairs"], f"""
 select conv_id, case when q is null or a is null then {sql_text(S.FALLBACK_STAGE2_USER)} else q end as q,
   case when q is null or a is null then {sql_text(S.FALLBACK_STAGE2_ANSWER)} else a end as a from pairs"""),
