@@ -72,8 +72,8 @@ def b3(spark, d):
                     F.col("z.i").alias("input_tok"), F.col("z.l").alias("label_tok")))
 
 
-def _stage3_train(rows):
-    return B.exact_split(rows, "conv_id", S.STAGE3.val_fraction, S.STAGE3.seed).filter(F.col("split") == "train")
+def _stage3_split(rows, split="train"):
+    return B.exact_split(rows, "conv_id", S.STAGE3.val_fraction, S.STAGE3.seed).filter(F.col("split") == split)
 
 
 def _stage3_toks(spark, d):
@@ -85,19 +85,19 @@ def stage3_step_batches(spark, d):
     """The train batches' step lists without the ids: the split and batch
     assignment depend only on the set of keys and the seed, so they are the
     ones ``stage3_batches`` gives, without building a vocabulary or encoding."""
-    batches = B.assign_batches(_stage3_train(_stage3_toks(spark, d).select("conv_id", "steps")),
+    batches = B.assign_batches(_stage3_split(_stage3_toks(spark, d).select("conv_id", "steps")),
                                "conv_id", BATCH, EPOCHS, S.STAGE3.seed)
     return batches.withColumn("steps", F.coalesce(F.col("steps"), F.array().cast(batches.schema["steps"].dataType)))
 
 
-def stage3_batches(spark, d):
-    """Stage 3: valid records -> prompt tokens -> ids -> split -> train batches, padded."""
+def stage3_batches(spark, d, split="train", epochs=EPOCHS):
+    """Stage 3: valid records -> prompt tokens -> ids -> one split's batches, padded."""
     toks = _stage3_toks(spark, d)
     vocab = K.build_vocab(toks, "tokens")
     # Written: the ids and step lists only (no token strings; labels are a copy of the ids).
     enc = materialize(G.encode_stage(toks, vocab).select("conv_id", "ids", "steps"))
     enc = enc.withColumn("labels", K.clone_labels(F.col("ids")))
-    batches = B.assign_batches(_stage3_train(enc), "conv_id", BATCH, EPOCHS, S.STAGE3.seed, length_of="ids")
+    batches = B.assign_batches(_stage3_split(enc, split), "conv_id", BATCH, epochs, S.STAGE3.seed, length_of="ids")
     return B.pad_batch_steps(batches, "ids", "labels", F.lit(0).cast("bigint"),
                              F.lit(S.LABEL_IGNORE).cast("bigint"), "steps", max_len="max_len")
 
@@ -119,6 +119,20 @@ def b4(spark, d):
                     F.col("z.i").alias("input_id"), F.col("z.l").alias("label"), F.col("z.m").alias("attention_mask")))
 
 
+@query("b4_validation_batches", with_views(["stage3_validation", "stage3_ids"], f"""
+select p.batch_id, p.slot, p.conv_id, p.pos, coalesce(i.token_id, 0) as input_id, coalesce(i.token_id, {S.LABEL_IGNORE}) as label,
+  cast(coalesce(i.token_id, 0) <> 0 as integer) as attention_mask
+from (select batch_id, slot, conv_id, unnest(range(max_len)) as pos from stage3_validation) p
+left join stage3_ids i on i.conv_id = p.conv_id and i.pos = p.pos"""))
+def b4_validation(spark, d):
+    """Stage-3 validation batches, padded like the train batches, one pass."""
+    s = stage3_batches(spark, d, "validation", 1)
+    z = F.arrays_zip(F.col("ids").alias("i"), F.col("labels").alias("l"), F.col("attention_mask").alias("m"))
+    return (explode_rows(s, z, ["batch_id", "slot", "conv_id"], "pos", "z")
+            .select("batch_id", "slot", "conv_id", F.col("pos").cast("bigint").alias("pos"),
+                    F.col("z.i").alias("input_id"), F.col("z.l").alias("label"), F.col("z.m").alias("attention_mask")))
+
+
 @query("b4_batch_step_lists", with_views(["stage3_batches"], f"""
 select b.epoch, b.batch_id, b.slot, b.conv_id, cast(s.step_no as integer) as step_no,
   cast(len(regexp_extract_all(substr(s.instruction, 1, instr(s.instruction, s.header) - 1), {TOKEN_RE}, 0)) as integer)

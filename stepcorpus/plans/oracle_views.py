@@ -246,6 +246,17 @@ from (select epoch, conv_id, n,
         row_number() over (partition by epoch order by md5('42:' || epoch || ':' || conv_id), conv_id) as rk
       from (select s.conv_id, len(t.tokens) as n, unnest(range(2)) as epoch
             from stage3_split s join stage3_tokens t using (conv_id) where s.split = 'train'))""")
+    VIEWS["stage3_validation"] = (["stage3_split", "stage3_tokens"], """
+select cast((rk - 1) // 4 as bigint) as batch_id, cast((rk - 1) % 4 as integer) as slot, conv_id, max(n) over (partition by (rk - 1) // 4) as max_len
+from (select s.conv_id, len(t.tokens) as n, row_number() over (order by md5('42:0:' || s.conv_id), s.conv_id) as rk
+      from stage3_split s join stage3_tokens t using (conv_id) where s.split = 'validation')""")
+    VIEWS["stage3_steps"] = (["stage3_tokens"], f"""
+select s.conv_id, cast(s.step_no as integer) as step_no,
+  cast(len(regexp_extract_all(substr(s.instruction, 1, instr(s.instruction, s.header) - 1), {TOKEN_RE}, 0)) as integer) as token_idx, s.label
+from (select conv_id, instruction, unnest(range(len(hs))) as step_no, unnest(hs) as header,
+        unnest(list_transform(cs, lambda c: case when contains(c, '<pos>') then 1 when contains(c, '<neg>') then 0 else 1 end)) as label
+      from (select conv_id, instruction, regexp_extract_all(instruction, {q(S.STEP_PATTERN_RE2)}, 1) as hs,
+              regexp_extract_all(instruction, {q(S.STEP_PATTERN_RE2)}, 0) as cs from stage3_tokens)) s""")
 
 
 _add_stage3_views()

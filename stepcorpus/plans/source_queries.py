@@ -84,8 +84,7 @@ def _stage3_sql():
 @query("s5_write_samples", _stage3_sql())
 def s5(spark, d):
     """Stage-3 samples written as Parquet partitioned by split and read back."""
-    samples = REGISTRY["stage3_samples"].build(spark, d)
+    from stepcorpus.plans.stage_queries import stage3_long, stage3_sample_rows
     path = scratch_dir(spark, "stage3-samples")
-    SRC.write_samples(samples, path, ("split",))
-    back = SRC.read_samples(spark, path)
-    return back.select("conv_id", "split", "n_tokens", "n_steps", "n_correct")
+    SRC.write_samples(stage3_sample_rows(spark, d), path, ("split",))
+    return stage3_long(SRC.read_samples(spark, path))

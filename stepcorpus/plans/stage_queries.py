@@ -82,17 +82,32 @@ def q_stage2_summary(spark, d):
     return stage2_summary(spark, d)
 
 
-@query("stage3_samples", with_views(["stage3_split", "stage3_tokens"], f"""
-select t.conv_id, s.split, cast(len(t.tokens) as bigint) as n_tokens,
-  cast(len(regexp_extract_all(t.instruction, {q(S.STEP_PATTERN_RE2)}, 1)) as bigint) as n_steps,
-  cast(len(list_filter(regexp_extract_all(t.instruction, {q(S.STEP_PATTERN_RE2)}, 0),
-       lambda c: contains(c, '<pos>') or not contains(c, '<neg>'))) as bigint) as n_correct
-from stage3_tokens t join stage3_split s using (conv_id)"""))
-def q_stage3(spark, d):
-    """Stage-3 (verifier) samples: valid records with split, length and step counts."""
+def stage3_sample_rows(spark, d):
+    """Stage-3 samples of both splits: ids, labels and step lists of every valid record."""
     valid = G.stage3_valid(V.step_records_full(spark, d), V.manifest(spark, d), V.IMAGE_BASE)
-    toks = G.stage3_tokens(valid)
-    split = B.exact_split(toks, "conv_id", S.STAGE3.val_fraction, S.STAGE3.seed)
-    return split.select("conv_id", "split", F.size("tokens").cast("bigint").alias("n_tokens"),
-                        F.size("steps").cast("bigint").alias("n_steps"),
-                        F.size(F.filter("steps", lambda s: s["label"] == 1)).cast("bigint").alias("n_correct"))
+    toks = materialize(G.stage3_tokens(valid), "stage3-tokens")
+    enc = G.encode_stage(toks, K.build_vocab(toks, "tokens")).select("conv_id", "ids", K.clone_labels(F.col("ids")).alias("labels"), "steps")
+    return B.exact_split(enc, "conv_id", S.STAGE3.val_fraction, S.STAGE3.seed).select("conv_id", "split", "ids", "labels", "steps")
+
+
+def stage3_long(samples):
+    """One row per token (``n``: position, ``value``: id) and per step (``n``: step number, ``value``: step index)."""
+    z = F.arrays_zip(F.col("ids").alias("i"), F.col("labels").alias("l"))
+    big = lambda c: F.col(c).cast("bigint")
+    written = materialize(samples, "stage3-samples")
+    toks = explode_rows(written, z, ["conv_id", "split"], "pos", "z").select(
+        "conv_id", "split", F.lit("token").alias("part"), big("pos").alias("n"), big("z.i").alias("value"), big("z.l").alias("label"))
+    steps = explode_rows(written, "steps", ["conv_id", "split"], value="s").select(
+        "conv_id", "split", F.lit("step").alias("part"), big("s.step_no").alias("n"), big("s.token_idx").alias("value"), big("s.label").alias("label"))
+    return toks.unionByName(steps)
+
+
+@query("stage3_samples", with_views(["stage3_split", "stage3_ids", "stage3_steps"], """
+select conv_id, split, 'token' as part, cast(pos as bigint) as n, cast(token_id as bigint) as value, cast(token_id as bigint) as label
+from stage3_ids join stage3_split using (conv_id)
+union all
+select conv_id, split, 'step' as part, cast(step_no as bigint) as n, cast(token_idx as bigint) as value, cast(label as bigint) as label
+from stage3_steps join stage3_split using (conv_id)"""))
+def q_stage3(spark, d):
+    """Stage-3 (verifier) samples of both splits: ids, labels, step indices and verification labels."""
+    return stage3_long(stage3_sample_rows(spark, d))
