@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType
 
 from stepcorpus import settings as S
 from stepcorpus.functions import text as T
@@ -58,64 +57,68 @@ def build_vocab(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return materialize(specials.unionByName(words))
 
 
-def _hot_case(col: Column, hot: dict) -> Column | None:
-    out = None
-    for a, b in hot.items():
-        out = (F.when(col == F.lit(a), F.lit(b)) if out is None else out.when(col == F.lit(a), F.lit(b)))
-    return out
-
-
-def _join_lookup(exploded: DataFrame, value: str, vocab: DataFrame, src: str, dst: str,
-                 hot: dict | None) -> DataFrame:
-    """Left-join ``exploded[value]`` to ``vocab[src] -> vocab[dst]``.  Values in
-    ``hot`` (e.g. the image-pad token, a third of all positions) are
-    resolved in the row; their join key is spread by position so no single
-    task receives them, and it never matches a vocabulary entry (ids are
-    joined as longs, hot ids get the negative key ``-(pos + 1)``; ids are
-    never negative)."""
-    by_id = isinstance(vocab.schema[src].dataType, (LongType, IntegerType))
-    key_type = "bigint" if by_id else "string"
-    lookup, _ = broadcast_if_small(vocab.select(F.col(src).cast(key_type).alias("_key"), F.col(dst).alias("_val")),
-                                   BROADCAST_MAX_ROWS)
-    if not hot:
-        key = F.col(value).cast(key_type)
-        fixed = F.lit(None)
-    else:
-        is_hot = F.col(value).isin(*hot.keys())
-        salt = (-(F.col("pos").cast("bigint") + 1) if by_id
-                else F.concat(F.lit("\u0000#"), F.col("pos").cast("string")))
-        key = F.when(is_hot, salt).otherwise(F.col(value).cast(key_type))
-        fixed = _hot_case(F.col(value), hot)
-    j = exploded.withColumn("_key", key).join(lookup, "_key", "left")
-    return j.withColumn(dst, F.coalesce(fixed.cast(vocab.schema[dst].dataType), F.col("_val"))).drop("_key", "_val")
+HEAD_IDS = 65_536  # most frequent vocabulary rows, broadcast where the whole vocabulary is too large
+HEAD_CHARS = 64  # of a token in that head, which bounds its bytes
+
+
+def _join_lookup(exploded: DataFrame, vocab: DataFrame, src: str, dst: str) -> DataFrame:
+    """``exploded`` (with ``src``) left-joined to ``vocab[src] -> vocab[dst]``.  Of a
+    vocabulary too large for a broadcast, the head is one: ids are in order of
+    frequency, so the first ``HEAD_IDS`` hold the hot keys, and only the
+    positions of the others are shuffled."""
+    lookup, whole = broadcast_if_small(vocab.select(src, dst), BROADCAST_MAX_ROWS)
+    if whole:
+        return exploded.join(lookup, src, "left")
+    in_head = (F.col("token_id") < HEAD_IDS) & (F.length("token") <= HEAD_CHARS)
+    head = F.broadcast(lookup.filter(in_head))
+    near = exploded.join(head, src)
+    far = exploded.join(head.select(src), src, "left_anti").join(lookup.filter(~in_head), src, "left")
+    return near.unionByName(far)
+
+
+def _look_up(df: DataFrame, array: str, src: str, dst: str, vocab: DataFrame, key: str, hot: dict) -> DataFrame:
+    """``df`` with ``_got``: the looked-up elements of ``array`` in order.
+
+    Elements in ``hot`` (the image pads, most positions of a sample) are
+    resolved in the row; only the others become rows and meet the vocabulary.
+    ``key`` must be unique: a row that gets another one's positions is an error."""
+    kind = vocab.schema[dst].dataType
+    known = [F.lit(x) for x in hot]
+    at = F.transform(array, lambda x, i: F.struct(i.alias("pos"), x.cast(vocab.schema[src].dataType).alias(src)))
+    is_hot = lambda s: F.coalesce(s[src].isin(known), F.lit(False)) if known else F.lit(False)
+
+    def resolved(s: Column) -> Column:
+        value = F.lit(None)
+        for x, y in hot.items():
+            value = F.when(s[src] == F.lit(x), F.lit(y)).otherwise(value)
+        return F.struct(s["pos"].alias("pos"), value.cast(kind).alias(dst))
+
+    others = explode_rows(df, F.filter(at, lambda s: ~is_hot(s)), [key], value="s").select(key, "s.*")
+    found = (_join_lookup(others, vocab, src, dst)
+             .groupBy(key).agg(F.collect_list(F.struct("pos", dst)).alias("_found")))
+    none = F.array().cast(found.schema["_found"].dataType)
+    got = F.array_sort(F.concat(F.transform(F.filter(at, is_hot), resolved), F.coalesce("_found", none)))
+    out = df.join(found, key, "left").withColumn("_got", got).drop("_found")
+    whole = F.when(F.size("_got") != F.size(array), F.raise_error(F.lit(f"{key} is not unique"))).otherwise(F.col("_got"))
+    return out.withColumn("_got", F.transform(whole, lambda s: s[dst]))
 
 
 def encode(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str = "input_ids",
            hot: dict[str, int] | None = None) -> DataFrame:
-    """Token strings -> ids, keeping order.  The vocabulary is broadcast
-    when its counted size is within ``BROADCAST_MAX_ROWS`` and shuffle-joined
-    otherwise (AQE splits skewed partitions); ``hot`` tokens with known ids
-    skip the join (default: the special tokens)."""
+    """Token strings -> ids, keeping order, for rows with a unique ``key``.
+    ``hot`` tokens with known ids (default: the special tokens) are never
+    exploded; the others meet the vocabulary in a join (``_join_lookup``)."""
     hot = special_ids() if hot is None else hot
-    exploded = explode_rows(df, tokens, [key], "pos", "token")
-    ids = (_join_lookup(exploded, "token", vocab, "token", "token_id", hot)
-           .groupBy(key)
-           .agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_enc")))
-    ids = ids.select(key, F.transform("_enc", lambda s: s["token_id"]).alias(out))
-    return df.join(ids, key, "left").withColumn(
-        out, F.coalesce(F.col(out), F.array().cast("array<bigint>")))
+    ids = _look_up(df, tokens, "token", "token_id", vocab, key, hot)
+    return ids.withColumn(out, F.coalesce("_got", F.array().cast("array<bigint>"))).drop("_got")
 
 
 def decode(df: DataFrame, ids: str, vocab: DataFrame, key: str, out: str = "text",
            hot: dict[int, str] | None = None) -> DataFrame:
-    """Ids -> text by joining the vocabulary and concatenating in order."""
+    """Ids -> text by joining the vocabulary and concatenating in order (``key`` unique)."""
     hot = {v: k for k, v in special_ids().items()} if hot is None else hot
-    exploded = explode_rows(df, ids, [key], "pos", "token_id")
-    toks = (_join_lookup(exploded, "token_id", vocab, "token_id", "token", hot)
-            .groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_dec")))
-    toks = toks.select(key, F.array_join(F.transform("_dec", lambda s: s["token"]), "").alias(out))
-    return df.join(toks, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+    toks = _look_up(df, ids, "token_id", "token", vocab, key, hot)
+    return toks.withColumn(out, F.coalesce(F.array_join("_got", ""), F.lit(""))).drop("_got")
 
 
 # ------------------------------------------------------------ T3, T4, T7, T8

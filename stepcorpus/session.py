@@ -95,19 +95,23 @@ def materialize(df, name: str = "materialized"):
     return df.sparkSession.read.parquet(path)
 
 
-# A lookup side is broadcast only when its counted rows are at most this
-# (a tokenizer vocabulary is ~1e5-1e6 rows; 4M rows of short strings stays
-# well inside executor memory).  Larger sides use a shuffle join.
+# A lookup side is broadcast only when its counted rows and bytes are at most
+# these (a tokenizer vocabulary is ~1e5-1e6 rows of a few bytes).  Larger
+# sides use a shuffle join.
 BROADCAST_MAX_ROWS = 4_000_000
+BROADCAST_MAX_BYTES = 256 << 20
+ROW_BYTES = 16  # of the fixed-width part of a row
 
 
-def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Mark ``df`` for broadcast after checking its size; otherwise leave the
-    join to a shuffle (with AQE splitting skewed partitions).  Meant for
-    materialized tables, where ``count()`` reads file footers only."""
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES):
+    """``(df, small)``: ``df`` marked for broadcast if its counted rows and bytes
+    allow it; otherwise the join is left to a shuffle (with AQE splitting
+    skewed partitions).  Meant for materialized tables of narrow rows."""
     from pyspark.sql import functions as F
-    n = df.count()
-    return (F.broadcast(df), n) if n <= max_rows else (df, n)
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("bigint") for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(texts, F.lit(0).cast("bigint"))), F.lit(0))).first()
+    small = n <= max_rows and size + ROW_BYTES * n <= max_bytes
+    return (F.broadcast(df), True) if small else (df, False)
 
 
 _SHIPPED: set[str] = set()

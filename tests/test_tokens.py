@@ -1,8 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from stepcorpus import settings as S
 from stepcorpus.functions import text as T
 from stepcorpus.operators import tokens as K
+from stepcorpus.session import broadcast_if_small
 
 A, E = 7, 9  # assistant, <|im_end|>
 
@@ -37,9 +39,9 @@ def test_encode_decode_roundtrip_and_vocab(spark):
 
 
 def test_encode_decode_without_broadcast(spark, monkeypatch):
-    """A vocabulary above the broadcast bound is shuffle-joined; hot tokens
-    keep their salted keys and the ids and texts are the same."""
-    texts = ["<|im_start|>user\n<|image_pad|><|image_pad|> x<|im_end|>", "y y z", "", "<|image_pad|>"]
+    """Of a vocabulary above the broadcast bound only the head is broadcast;
+    the ids and texts are the same for any head."""
+    texts = ["<|im_start|>user\n<|image_pad|><|image_pad|> x<|im_end|>", "y y z", "", "<|image_pad|>", None]
     df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").withColumn("tok", T.tokenize(F.col("t")))
     vocab = K.build_vocab(df, "tok")
 
@@ -54,13 +56,30 @@ def test_encode_decode_without_broadcast(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # no size-based broadcast either
     try:
         plan = K.encode(df, "tok", vocab, "k", "ids")._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert "SortMergeJoin" in plan
+        for head in (K.HEAD_IDS, 6, 0):
+            monkeypatch.setattr(K, "HEAD_IDS", head)
+            assert run() == small
+        monkeypatch.setattr(K, "HEAD_IDS", 10**6)
+        monkeypatch.setattr(K, "HEAD_CHARS", 1)  # longer tokens stay out of the head
         assert run() == small
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert {k: v[1] for k, v in small.items()} == dict(enumerate(texts))
+    assert {k: v[1] for k, v in small.items()} == {k: t or "" for k, t in enumerate(texts)}
     assert small[3][0] == (3,)  # the image pad keeps its fixed id
 
+
+def test_encode_reports_a_repeated_key(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["c"])], "k long, tok array<string>")
+    with pytest.raises(Exception, match="k is not unique"):
+        K.encode(df, "tok", K.build_vocab(df, "tok"), "k", "ids").collect()
+
+
+def test_vocabulary_of_long_tokens_is_not_broadcast(spark):
+    df = spark.createDataFrame([("x" * 100, 1), ("y", 2)], "token string, token_id long")
+    assert broadcast_if_small(df)[1] and not broadcast_if_small(df, max_bytes=120)[1] and not broadcast_if_small(df, max_rows=1)[1]
+
+
 def spans_of(spark, seqs):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "i int, ids array<int>")
     sp, unc = K.assistant_spans(F.col("ids"), F.lit(A), F.lit(E))
