@@ -25,12 +25,22 @@ def vec_sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
 
 
+HEAD_IDS = 1024  # most frequent ids, whose vectors every task holds (a vector of 4096 floats: 16 MB)
+
+
 def lookup_embeddings(tokens: DataFrame, codebook: DataFrame, token_id: str = "token_id",
-                      code_id: str = "vec_id", vector: str = "embedding", out: str = "vector") -> DataFrame:
+                      code_id: str = "vec_id", vector: str = "embedding", out: str = "vector",
+                      head: int = HEAD_IDS) -> DataFrame:
     """Token id -> vector (left join; ids without an entry get null).
-    The codebook is a table with one row per id, so AQE may broadcast it."""
+
+    Ids are in order of frequency, the specials first, so positions with an
+    id below ``head`` are most rows and all hot keys.  They take their vectors
+    from a broadcast of that many codebook rows and are never shuffled; the
+    others are joined on the id.  The codebook has one row per id."""
     cb = codebook.select(F.col(code_id).alias(token_id), F.col(vector).alias(out))
-    return tokens.join(cb, token_id, "left")
+    frequent = F.coalesce(F.col(token_id) < head, F.lit(False))
+    near = tokens.filter(frequent).join(F.broadcast(cb.filter(F.col(token_id) < head)), token_id, "left")
+    return near.unionByName(tokens.filter(~frequent).join(cb.filter(F.col(token_id) >= head), token_id, "left"))
 
 
 def pad_ordinals(arrays: DataFrame, key: str, tokens: str, pad: Column) -> DataFrame:
@@ -51,18 +61,15 @@ def scatter_features(pads: DataFrame, features: DataFrame, key: str, feat_key: s
     return pads.join(f, [key, "k"], "left")
 
 
-def first_pad(pads: DataFrame, key: str) -> DataFrame:
-    """J3 (part 1): the first pad position per sample."""
-    return pads.groupBy(key).agg(F.min("pos").alias("first_pad"))
+def first_pad(tokens: Column, pad: Column) -> Column:
+    """J3 (part 1): the first pad position of a row's tokens, -1 without one."""
+    return F.coalesce(F.array_position(tokens, pad) - 1, F.lit(-1))
 
 
-def insert_first_pad(samples: DataFrame, firsts: DataFrame, pooled: DataFrame, key: str,
-                     pooled_key: str = "image_id") -> DataFrame:
-    """Only the first pad position receives the pooled image vector;
-    samples without a pad (first_pad null -> -1) stay unchanged."""
-    p = pooled.withColumnRenamed(pooled_key, key)
-    return (samples.join(firsts, key, "left").join(p, key, "left")
-            .withColumn("first_pad", F.coalesce("first_pad", F.lit(-1))))
+def insert_first_pad(samples: DataFrame, pooled: DataFrame, key: str, pooled_key: str = "image_id") -> DataFrame:
+    """Only the first pad position (``first_pad``) receives the pooled image
+    vector; samples without a pad (-1) stay unchanged."""
+    return samples.join(pooled.withColumnRenamed(pooled_key, key), key, "left")
 
 
 def regroup_patches(patches: DataFrame, r: int = 3, key: str = "image_id", idx: str = "patch_idx",

@@ -35,7 +35,7 @@ def _sum_sql(lst: str) -> str:
 def _encoded_tokens(spark, d):
     arr = materialize(V.token_arrays(spark, d))
     vocab = K.build_vocab(arr, "toks")
-    enc = K.encode(arr, "toks", vocab, "sample_id", "ids")
+    enc = materialize(K.encode(arr, "toks", vocab, "sample_id", "ids").select("sample_id", "ids"))
     return explode_rows(enc, "ids", ["sample_id"], "pos", "token_id")
 
 
@@ -94,10 +94,8 @@ left join (select sample_id, min(pos) as first_pad from pads group by sample_id)
 left join pooled pl on pl.image_id = s.sample_id""", [_PADS, _POOLED]))
 def j3(spark, d):
     """Only the first pad position of a sample takes the pooled image vector."""
-    arr = V.token_arrays(spark, d)
-    pads = J.pad_ordinals(arr, "sample_id", "toks", F.lit(S.IMAGE_PAD))
-    pooled = J.pool_patches(V.patches(spark, d))
-    out = J.insert_first_pad(arr.select("sample_id"), J.first_pad(pads, "sample_id"), pooled, "sample_id")
+    firsts = V.token_arrays(spark, d).select("sample_id", J.first_pad(F.col("toks"), F.lit(S.IMAGE_PAD)).alias("first_pad"))
+    out = J.insert_first_pad(firsts, J.pool_patches(V.patches(spark, d)), "sample_id")
     return out.select("sample_id", F.col("first_pad").cast("bigint").alias("first_pad"),
                       F.col("pooled").isNotNull().cast("int").alias("has_feature"),
                       F.round(F.coalesce(J.vec_sum(F.col("pooled")), F.lit(0.0)), 6).alias("pooled_sum"))
@@ -164,25 +162,28 @@ def j6(spark, d):
 
 
 @query("j7_gather_steps", with_views(["stage3_ids", "stage3_tokens"], f"""
-select s.conv_id, s.step_no, s.pos, i.token_id, cast(e.vec_id is not null as integer) as has_vector,
+select s.conv_id, s.step_no, s.place, s.pos, i.token_id, cast(e.vec_id is not null as integer) as has_vector,
   round(coalesce({_sum_sql('e.embedding')}, 0.0), 6) as v_sum
-from (select conv_id, cast(unnest(range(len(hs))) as integer) as step_no,
-        unnest(list_transform(hs, lambda h: cast(len(regexp_extract_all({sql_text(stage3_prompt_prefix())}
+from (select conv_id, place, cast(unnest(range(len(hs))) as integer) as step_no,
+        unnest(list_transform(hs, lambda h: cast(len(regexp_extract_all(before
           || substr(instruction, 1, instr(instruction, h) - 1), {TOKEN_RE}, 0)) as bigint))) as pos
-      from (select conv_id, instruction, regexp_extract_all(instruction, {STEP_RE}, 1) as hs from stage3_tokens)) s
+      from (select conv_id, instruction, place, before, regexp_extract_all(instruction, {STEP_RE}, 1) as hs from stage3_tokens,
+              (values ('raw', ''), ('templated', {sql_text(stage3_prompt_prefix())})) p(place, before))) s
 join stage3_ids i on i.conv_id = s.conv_id and i.pos = s.pos
 left join embeddings e on e.vec_id = i.token_id"""))
 def j7(spark, d):
-    """Hidden vector (here: the codebook vector) at each step's position in the prompt."""
+    """Hidden vector (here: the codebook vector) at each step's positions: the
+    training script's (relative to the raw instruction) and the one in the prompt."""
     valid = G.stage3_valid(V.step_records_full(spark, d), V.manifest(spark, d), V.IMAGE_BASE)
     toks = materialize(G.stage3_tokens(valid))
     vocab = K.build_vocab(toks, "tokens")
     enc = G.encode_stage(toks, vocab)
-    hidden = J.lookup_embeddings(explode_rows(enc, "ids", ["conv_id"], "pos", "token_id"),
-                                 table(spark, d, "embeddings"))
-    steps = explode_rows(toks, "steps", ["conv_id"], value="s").select(
-        "conv_id", "s.step_no", F.col("s.token_idx_templated").alias("pos"))
-    out = steps.join(hidden, ["conv_id", "pos"])
-    return out.select("conv_id", "step_no", F.col("pos").cast("bigint").alias("pos"), "token_id",
+    # ids of the step positions in the row, so only those meet the codebook
+    at = F.transform("steps", lambda s: F.array(*[
+        F.struct(s["step_no"].alias("step_no"), F.lit(place).alias("place"), s[idx].alias("pos"), F.get(F.col("ids"), s[idx]).alias("token_id"))
+        for place, idx in (("raw", "token_idx"), ("templated", "token_idx_templated"))]))
+    steps = materialize(explode_rows(enc.select("conv_id", F.flatten(at).alias("at")), "at", ["conv_id"], value="s").select("conv_id", "s.*"))
+    out = J.lookup_embeddings(steps.filter(F.col("token_id").isNotNull()), table(spark, d, "embeddings"))
+    return out.select("conv_id", "step_no", "place", F.col("pos").cast("bigint").alias("pos"), "token_id",
                       F.col("vector").isNotNull().cast("int").alias("has_vector"),
                       F.round(F.coalesce(J.vec_sum(F.col("vector")), F.lit(0.0)), 6).alias("v_sum"))

@@ -51,14 +51,15 @@ def test_scatter_and_first_pad(spark):
     sc = {(r.sample_id, r.k): r.patch_idx for r in J.scatter_features(pads, feats, "sample_id").collect()}
     assert sc[(0, 0)] == 0 and sc[(0, 1)] == 1 and sc[(0, 2)] is None and sc[(2, 1)] == 1
     pooled = J.pool_patches(feats)
-    ins = {r.sample_id: (r.first_pad, r.pooled is not None)
-           for r in J.insert_first_pad(arr.select("sample_id"), J.first_pad(pads, "sample_id"), pooled,
-                                       "sample_id").collect()}
+    firsts = arr.select("sample_id", J.first_pad(F.col("toks"), F.lit(pad)).alias("first_pad"))
+    ins = {r.sample_id: (r.first_pad, r.pooled is not None) for r in J.insert_first_pad(firsts, pooled, "sample_id").collect()}
     assert ins == {0: (1, True), 1: (-1, False), 2: (0, True)}
 
 
 def test_lookup(spark):
-    toks = spark.createDataFrame([(0, 0, 5), (0, 1, 99)], "sample_id long, pos int, token_id long")
-    cb = spark.createDataFrame([(5, [1.0, 2.0])], "vec_id long, embedding array<float>")
-    got = {r.pos: r.vector for r in J.lookup_embeddings(toks, cb).collect()}
-    assert got == {0: [1.0, 2.0], 1: None}
+    toks = spark.createDataFrame([(0, 0, 5), (0, 1, 99), (0, 2, 3000), (0, 3, 3001), (0, 4, None)],
+                                 "sample_id long, pos int, token_id long")
+    cb = spark.createDataFrame([(5, [1.0, 2.0]), (3000, [3.0])], "vec_id long, embedding array<float>")
+    for head in (J.HEAD_IDS, 0, 10_000):
+        got = {r.pos: r.vector for r in J.lookup_embeddings(toks, cb, head=head).collect()}
+        assert got == {0: [1.0, 2.0], 1: None, 2: [3.0], 3: None, 4: None}
