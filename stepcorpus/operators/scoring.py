@@ -75,17 +75,21 @@ def token_nll(scores: DataFrame, labels: DataFrame, pos_key: str, batch: str, ig
               item: str = "item", score: str = "score", label: str = "label") -> DataFrame:
     """M3: mean cross-entropy per batch over positions whose label is not
     ``ignore``.  A batch whose labels are all ignored has no loss (null).
+    ``n_unmatched`` counts, by batch, the labels that no score belongs to;
+    scored positions without a label row are counted under a null batch.
     The label join, the max window and the per-position sums all use the
     same partitioning on ``pos_key``: one shuffle per input."""
-    j = scores.join(labels.select(pos_key, batch, label), pos_key)
+    j = scores.join(labels.select(pos_key, batch, label), pos_key, "full")
     w = Window.partitionBy(pos_key)
     per_pos = (j.withColumn("_mx", F.max(score).over(w))
                .groupBy(pos_key, batch, label)
                .agg(F.first("_mx").alias("_mx"), F.sum(F.exp(F.col(score) - F.col("_mx"))).alias("_se"),
                     F.max(F.when(F.col(item) == F.col(label), F.col(score))).alias("_at")))
     nll = F.col("_mx") + F.log("_se") - F.col("_at")
-    per_pos = per_pos.withColumn("_nll", F.when(F.col(label) != F.lit(ignore), nll))
-    return per_pos.groupBy(batch).agg(F.count("_nll").alias("n_tokens"), F.avg("_nll").alias("gen_loss"))
+    used = F.col(label) != F.lit(ignore)
+    lost = F.col(batch).isNull() | (used & F.col("_at").isNull())
+    return (per_pos.withColumn("_nll", F.when(used, nll)).groupBy(batch)
+            .agg(F.count("_nll").alias("n_tokens"), F.avg("_nll").alias("gen_loss"), F.count(F.when(lost, 1)).alias("n_unmatched")))
 
 
 def linear_logits(vector: Column, weights: list[list[float]], bias: list[float]) -> list[Column]:
@@ -110,7 +114,7 @@ def verification_nll(steps: DataFrame, batch: str, logit0: str, logit1: str, lab
 def combined_loss(gen: DataFrame, ver: DataFrame, batch: str) -> DataFrame:
     """M5: generation + verification loss per batch; a missing (or null)
     term is simply absent."""
-    j = gen.select(batch, "gen_loss").join(ver.select(batch, "ver_loss"), batch, "full")
+    j = gen.filter(F.col(batch).isNotNull()).select(batch, "gen_loss").join(ver.select(batch, "ver_loss"), batch, "full")
     total = (F.when(F.col("gen_loss").isNull(), F.col("ver_loss"))
              .when(F.col("ver_loss").isNull(), F.col("gen_loss"))
              .otherwise(F.col("gen_loss") + F.col("ver_loss")))

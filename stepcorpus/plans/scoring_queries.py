@@ -55,23 +55,23 @@ def _gen(spark, d):
 
 
 _GEN_SQL = ("gen", f"""
-select batch_id, count(nll) as n_tokens, avg(nll) as gen_loss from (
-  select s.grp, e.batch_id, e.label,
+select batch_id, count(nll) as n_tokens, avg(nll) as gen_loss, count(*) filter (batch_id is null or label <> {IGNORE} and own is null) as n_unmatched from (
+  select s.grp, e.batch_id, e.label, max(case when s.item = e.label then s.score end) as own,
     case when e.label <> {IGNORE} then max(s.mx) + ln(sum(exp(s.score - s.mx)))
          - max(case when s.item = e.label then s.score end) end as nll
   from (select *, max(score) over (partition by grp) as mx from scores) s
-  join (select vec_id, cast(label as bigint) as label, cast(floor(vec_id / {SCORED_BATCH}) as bigint) as batch_id
+  full join (select vec_id, cast(label as bigint) as label, cast(floor(vec_id / {SCORED_BATCH}) as bigint) as batch_id
         from embeddings) e on e.vec_id = s.grp
   group by s.grp, e.batch_id, e.label) group by batch_id""")
 
 
 @query("m3_token_nll", with_views(["scores"], """
-select batch_id, n_tokens, cast(gen_loss is not null as integer) as has_loss, round(coalesce(gen_loss, 0.0), 6) as gen_loss
+select batch_id, n_tokens, n_unmatched, cast(gen_loss is not null as integer) as has_loss, round(coalesce(gen_loss, 0.0), 6) as gen_loss
 from gen""", [_GEN_SQL]))
 def m3(spark, d):
     """Mean token cross-entropy per batch, pad-labelled positions ignored."""
     g = _gen(spark, d)
-    return g.select("batch_id", "n_tokens", F.col("gen_loss").isNotNull().cast("int").alias("has_loss"),
+    return g.select("batch_id", "n_tokens", "n_unmatched", F.col("gen_loss").isNotNull().cast("int").alias("has_loss"),
                     F.round(F.coalesce("gen_loss", F.lit(0.0)), 6).alias("gen_loss"))
 
 

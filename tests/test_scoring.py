@@ -73,6 +73,10 @@ def test_losses(spark):
     gen = {r.batch: r for r in M.token_nll(scores, labels, "grp", "batch", ignore=0).collect()}
     want0 = math.log(math.exp(1) + math.exp(2)) - 2.0  # grp 1 ignored (label 0)
     assert gen[0].n_tokens == 1 and abs(gen[0].gen_loss - want0) < 1e-12
+    assert [gen[b].n_unmatched for b in (0, 1)] == [0, 0]
+    odd = spark.createDataFrame([(0, 7, 0), (9, 1, 0)], "grp long, label long, batch long")  # no such item; no scores
+    lost = {r.batch: (r.n_tokens, r.n_unmatched) for r in M.token_nll(scores, odd, "grp", "batch", ignore=0).collect()}
+    assert lost == {0: (0, 2), None: (0, 2)}  # positions 1 and 2 have no label
     steps = spark.createDataFrame([(0, 0.0, 1.0, 1), (0, 2.0, 0.0, 1), (3, 0.0, 0.0, 0)],
                                   "batch long, l0 double, l1 double, label int")
     ver = {r.batch: r for r in M.verification_nll(steps, "batch", "l0", "l1", "label").collect()}
