@@ -62,8 +62,14 @@ def image_exists(df: DataFrame, manifest: DataFrame, base: str, url: str = "imag
     return resolved.join(files, "full_image_path", "left_anti" if keep_missing else "left_semi")
 
 
+def image_readable(manifest: DataFrame) -> Column:
+    """Whether a listed image could be read: by ``status`` (as ``read_images`` gives it), or every one."""
+    return F.col("status") != F.lit("invalid") if "status" in manifest.columns else F.lit(True)
+
+
 def validity_reasons(df: DataFrame, manifest: DataFrame, base: str, url: str = "image_url") -> DataFrame:
-    """Every record with ``reason`` in (``valid``, ``no_image_url``, ``image_missing``)."""
+    """Every record with ``reason`` in (``valid``, ``no_image_url``, ``image_missing``); a file that
+    can't be read exists, so its record is valid and takes the stage's fallback later."""
     resolved = df.withColumn("full_image_path", resolve_image_path(F.col(url), base))
     files = manifest.select(F.col("path").alias("_mpath"), F.lit(True).alias("_exists"))
     j = resolved.join(files, F.col("full_image_path") == F.col("_mpath"), "left")

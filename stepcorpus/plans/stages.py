@@ -23,6 +23,7 @@ from stepcorpus.functions import text as T
 from stepcorpus.operators import prompts as P
 from stepcorpus.operators import tokens as K
 from stepcorpus.operators.steps import with_steps
+from stepcorpus.operators.validity import image_readable
 
 
 def _lit_tokens(text: str) -> Column:
@@ -30,13 +31,15 @@ def _lit_tokens(text: str) -> Column:
 
 
 def _image_check(df: DataFrame, path: Column, manifest: DataFrame | None) -> DataFrame:
-    """Add ``image_path`` and ``image_missing`` (manifest is one row per file)."""
+    """Add ``image_path`` and ``image_error``: null, ``image_missing`` or, where
+    the manifest (one row per file) has a ``status``, ``image_invalid``."""
     df = df.withColumn("image_path", path)
     if manifest is None:
-        return df.withColumn("image_missing", F.lit(False))
-    m = manifest.select(F.col("path").alias("_mpath"), F.lit(True).alias("_exists"))
+        return df.withColumn("image_error", F.lit(None).cast("string"))
+    m = manifest.select(F.col("path").alias("_mpath"), image_readable(manifest).alias("_readable"))
+    error = F.when(F.col("_readable").isNull(), F.lit("image_missing")).when(~F.col("_readable"), F.lit("image_invalid"))
     return (df.join(m, F.col("image_path") == F.col("_mpath"), "left")
-            .withColumn("image_missing", F.col("_exists").isNull()).drop("_mpath", "_exists"))
+            .withColumn("image_error", error).drop("_mpath", "_readable"))
 
 
 def prefix_labels(tokens: Column, n_prompt: Column, pad: Column) -> Column:
@@ -54,8 +57,7 @@ def stage1_tokens(conv: DataFrame, image_root: str = "", manifest: DataFrame | N
     Output ``tokens`` (unshifted q + a) and ``n_prompt``."""
     df = conv.transform(P.positional_pair)
     df = _image_check(df, T.join_path_lit(image_root, F.col("image")), manifest)
-    err = F.coalesce(F.when(F.col("image").isNull(), F.lit("no_image")), F.col("pair_error"),
-                     F.when(F.col("image_missing"), F.lit("image_missing")))
+    err = F.coalesce(F.when(F.col("image").isNull(), F.lit("no_image")), F.col("pair_error"), F.col("image_error"))
     q_text = T.expand_image_tag(T.render_chat([("system", S.SYSTEM_STAGE1), ("user", F.col("question"))], True), n_pads)
     a_text = T.append_eos(F.col("answer"))
     fb_q = _lit_tokens((f"{S.IM_START}system\n{S.SYSTEM_STAGE1}{S.IM_END}\n{S.IM_START}user\n"
@@ -93,8 +95,7 @@ def stage2_tokens(conv: DataFrame, image_root: str = "", manifest: DataFrame | N
     spans, unclosed = K.assistant_spans(F.col("_toks"), F.lit(S.ROLE_ASSISTANT), F.lit(S.IM_END))
     df = df.withColumns({"_spans": spans, "_unclosed": unclosed})
     err = F.coalesce(F.when(F.col("image").isNull(), F.lit("no_image")), F.col("pair_error"),
-                     F.when(F.col("_unclosed"), F.lit("unclosed_span")),
-                     F.when(F.col("image_missing"), F.lit("image_missing")))
+                     F.when(F.col("_unclosed"), F.lit("unclosed_span")), F.col("image_error"))
     fb_q = _lit_tokens((f"{S.IM_START}system\n{S.SYSTEM_STAGE2}{S.IM_END}\n{S.IM_START}user\n"
                         f"{S.FALLBACK_STAGE2_USER}{S.IM_END}\n").replace(S.IMAGE_TAG, S.IMAGE_PAD * n_pads))
     fb_a = _lit_tokens(S.FALLBACK_STAGE2_ANSWER + S.EOS_TOKEN)
@@ -117,17 +118,26 @@ def stage2_labels(df: DataFrame, tokens: str, pad: Column) -> DataFrame:
 # -------------------------------------------------------------------- stage 3
 
 def stage3_valid(records: DataFrame, manifest: DataFrame, base: str) -> DataFrame:
-    """F2 + P3 + F3: records with a URL whose resolved image exists."""
+    """F2 + P3 + F3: records with a URL whose resolved image exists; where the
+    manifest has a ``status``, with ``image_ok`` (an image that can't be read
+    keeps its record, which becomes the stage-3 fallback)."""
     has_url = records.filter(F.coalesce(F.col("image_url"), F.lit("")) != F.lit(""))
     resolved = has_url.withColumn("full_image_path", P.resolve_image_path(F.col("image_url"), base))
-    return resolved.join(manifest.select(F.col("path").alias("full_image_path")), "full_image_path", "left_semi")
+    if "status" not in manifest.columns:
+        return resolved.join(manifest.select(F.col("path").alias("full_image_path")), "full_image_path", "left_semi")
+    return resolved.join(manifest.select(F.col("path").alias("full_image_path"), image_readable(manifest).alias("image_ok")), "full_image_path")
 
 
 def stage3_tokens(valid: DataFrame, image_ok: Column | None = None, use_template: bool = True) -> DataFrame:
-    """P8 + T1 + T7 + T9-T11 on valid records; an unreadable image gives the
-    stage-3 fallback (fixed text, no template, no steps)."""
-    ok = F.lit(True) if image_ok is None else image_ok
-    prompt = P.render_instruction(F.col("instruction"), use_template)
+    """P8 + T1 + T7 + T9-T11 on valid records; an unreadable image (``image_ok``,
+    by default the column of that name) or an instruction that can't be
+    tokenized gives the stage-3 fallback (fixed text, no template, no steps).
+    ``instruction_present``, if there, tells a missing key from a null."""
+    if image_ok is None:
+        image_ok = F.col("image_ok") if "image_ok" in valid.columns else F.lit(True)
+    present = F.col("instruction_present") if "instruction_present" in valid.columns else None
+    prompt = P.render_instruction(F.col("instruction"), use_template, present)
+    ok = image_ok & prompt.isNotNull()
     toks = F.when(ok, T.tokenize(prompt)).otherwise(_lit_tokens(S.FALLBACK_STAGE3_TEXT))
     located = with_steps(valid, "instruction", "_steps")
     steps = F.when(ok, F.col("_steps")).otherwise(F.array())

@@ -50,7 +50,7 @@ def read_conversations(spark: SparkSession, path: str, schema: T.StructType = CO
 def write_conversations(df: DataFrame, path: str, key: str, rows_per_file: int = 1000) -> None:
     """The JSON-array layout for a conversation table: rows are hashed into
     ``ceil(n / rows_per_file)`` buckets and every bucket becomes one file
-    holding one array (a bucket is one row of text, so it lands in one file)."""
+    holding one array (a bucket is one row of text, and a file takes one row)."""
     n = df.count()
     buckets = max(1, -(-n // rows_per_file))
     rec = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
@@ -58,7 +58,7 @@ def write_conversations(df: DataFrame, path: str, key: str, rows_per_file: int =
              .groupBy("bucket")
              .agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("r")),
                                                                   lambda x: x["j"]), ","), F.lit("]")).alias("value")))
-    files.write.mode("overwrite").partitionBy("bucket").text(path)
+    files.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def conversations_to_parquet(spark: SparkSession, src: str, dst: str) -> None:
@@ -91,6 +91,24 @@ def strict_json_check(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"reason": [r for r, _ in out], "keys": [k for _, k in out]})
 
 
+# Not repeatable to the optimizer, so that a line is checked once where the
+# verdict is both filtered on and read.
+strict_json_check = strict_json_check.asNondeterministic()
+CORRUPT = "_corrupt"
+
+
+def checked_lines(lines: DataFrame, schema: T.StructType, line: str = "value") -> DataFrame:
+    """``lines`` with ``_r`` (the parsed record), ``reason`` (null for a good
+    line) and ``instruction_present``.  A line that Python accepts and Spark's
+    parser can't read under ``schema`` has the reason ``not_readable``."""
+    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json(line, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    out = lines.withColumn("_chk", strict_json_check(F.col(line))).withColumn("_r", parsed)
+    return out.withColumns({
+        "reason": F.coalesce(F.col("_chk.reason"), F.when(F.col("_r")[CORRUPT].isNotNull(), F.lit("not_readable"))),
+        "instruction_present": F.coalesce(F.array_contains(F.col("_chk.keys"), F.lit("instruction")), F.lit(False))}).drop("_chk")
+
+
 def read_step_jsonl(spark: SparkSession, path: str, schema: T.StructType = STEP_RECORD_SCHEMA,
                     first_n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """S2 (+ F1): parse one JSON object per line.
@@ -102,16 +120,11 @@ def read_step_jsonl(spark: SparkSession, path: str, schema: T.StructType = STEP_
     before any validity check, like ``max_samples``.
     """
     raw = with_file_order(spark.read.text(path))
-    checked = raw.withColumn("_chk", strict_json_check(F.col("value")))
-    quarantine = checked.filter(F.col("_chk.reason").isNotNull()).select(
-        F.col("value").alias("line"), F.substring("value", 1, QUARANTINE_CHARS).alias("head"), F.col("_chk.reason").alias("reason"), "_file")
-    ok = checked.filter(F.col("_chk.reason").isNull())
-    parsed = ok.select(
-        "_file", "_block", "_mid",
-        F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("_r"),
-        F.array_contains(F.col("_chk.keys"), F.lit("instruction")).alias("instruction_present"))
-    good = parsed.select(*[F.col("_r")[f.name].alias(f.name) for f in schema.fields], "instruction_present",
-                         "_file", "_block", "_mid")
+    checked = checked_lines(raw, schema)
+    quarantine = checked.filter(F.col("reason").isNotNull()).select(
+        F.col("value").alias("line"), F.substring("value", 1, QUARANTINE_CHARS).alias("head"), "reason", "_file")
+    good = checked.filter(F.col("reason").isNull()).select(
+        *[F.col("_r")[f.name].alias(f.name) for f in schema.fields], "instruction_present", "_file", "_block", "_mid")
     if first_n:
         if first_n < 0:
             raise ValueError("first_n must be >= 0")

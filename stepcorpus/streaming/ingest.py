@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stepcorpus.plans import stages as G
 from stepcorpus.session import scratch_dir
-from stepcorpus.sources.files import QUARANTINE_CHARS, STEP_RECORD_SCHEMA, strict_json_check
+from stepcorpus.sources.files import QUARANTINE_CHARS, STEP_RECORD_SCHEMA, checked_lines
 
 
 def step_record_stream(spark: SparkSession, src_dir: str, manifest: DataFrame, base: str,
@@ -28,11 +28,11 @@ def step_record_stream(spark: SparkSession, src_dir: str, manifest: DataFrame, b
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.load(src_dir).withColumn("_file", F.col("_metadata.file_path"))
-    checked = raw.withColumn("_reason", strict_json_check(F.col("value"))["reason"])
-    quarantine = checked.filter(F.col("_reason").isNotNull()).select(
-        "_file", F.col("value").alias("line"), F.substring("value", 1, QUARANTINE_CHARS).alias("head"), F.col("_reason").alias("reason"))
-    parsed = checked.filter(F.col("_reason").isNull()).select(
-        F.from_json("value", schema).alias("r"), "_file").select("r.*", "_file")
+    checked = checked_lines(raw, schema)
+    quarantine = checked.filter(F.col("reason").isNotNull()).select(
+        "_file", F.col("value").alias("line"), F.substring("value", 1, QUARANTINE_CHARS).alias("head"), "reason")
+    parsed = checked.filter(F.col("reason").isNull()).select(
+        *[F.col("_r")[f.name].alias(f.name) for f in schema.fields], "instruction_present", "_file")
     if "conv_id" not in schema.names:  # records without an id get a content hash as key
         parsed = parsed.withColumn("conv_id", F.xxhash64("_file", "image_url", "instruction"))
     samples = G.stage3_tokens(G.stage3_valid(parsed, manifest, base))

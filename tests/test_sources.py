@@ -45,14 +45,14 @@ def test_write_then_read_conversations(spark, tmpdir_path):
 def test_read_step_jsonl_edges(spark, tmpdir_path):
     lines = ['{"image_url": "a.png", "instruction": "Step 1: x и"}', '{bad', '', '3',
              '{"image_url": "b.png"} trailing', '{"image_url": "c.png", "v": NaN}',
-             '{"image_url": null, "instruction": null}', '{"instruction": "i", "extra": [1, 2]}']
+             '{"image_url": "d.png", "v": ' + "[" * 1100 + "]" * 1100 + "}", '{"image_url": null, "instruction": null}', '{"instruction": "i", "extra": [1, 2]}']
     with open(f"{tmpdir_path}/a.jsonl", "w", encoding="utf-8") as f:
         f.write("\n".join(lines) + "\n")
     good, bad = SRC.read_step_jsonl(spark, tmpdir_path)
     g = sorted((r.image_url or "", r.instruction or "", r.instruction_present) for r in good.collect())
     assert g == [("", "", True), ("", "i", True), ("a.png", "Step 1: x и", True), ("c.png", "", False)]
     reasons = sorted((r.reason, r.head) for r in bad.collect())
-    assert reasons == [("blank", ""), ("not_object", "3"), ("parse_error", '{"image_url": "b.png"} trailing'),
+    assert reasons == [("blank", ""), ("not_object", "3"), ("not_readable", ('{"image_url": "d.png", "v": ' + "[" * 100)[:100]), ("parse_error", '{"image_url": "b.png"} trailing'),
                        ("parse_error", "{bad")]
 
 

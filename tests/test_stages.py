@@ -62,3 +62,21 @@ def test_step_batches_match_the_encoded_batches(spark):
     got = BQ.stage3_step_batches(spark, SF001)
     assert rows(got, *cols) == rows(want, *cols)
     assert got.count() > 0
+
+
+def test_unreadable_images_and_missing_instructions(spark):
+    files = spark.createDataFrame([("B/data_images/img/1.png", "ok"), ("B/data_images/img/2.png", "invalid")], "path string, status string")
+    recs = spark.createDataFrame([(1, "img/1.png", None, True), (2, "img/2.png", "Step 1: a и", True), (3, "img/3.png", "x", True), (4, "img/1.png", None, False)],
+                                 "conv_id long, image_url string, instruction string, instruction_present boolean")
+    got = {r.conv_id: r for r in G.stage3_tokens(G.stage3_valid(recs, files, "B")).collect()}
+    assert sorted(got) == [1, 2, 4]  # the third has no file
+    assert {k: r.is_fallback for k, r in got.items()} == {1: False, 2: True, 4: False}
+    assert "None" in "".join(got[1].tokens) and "None" not in "".join(got[4].tokens)
+    assert "".join(got[2].tokens) == S.FALLBACK_STAGE3_TEXT and got[2].steps == []
+    plain = {r.conv_id: r.is_fallback for r in G.stage3_tokens(G.stage3_valid(recs, files, "B"), use_template=False).collect()}
+    assert plain == {1: True, 2: True, 4: False}  # a null can't be tokenized, a missing key is empty
+    conv = spark.createDataFrame([(i, f"img/{i}.png", [("human", "<image>\nq"), ("gpt", "a")]) for i in (1, 2, 3)],
+                                 "conv_id long, image string, conversations array<struct<from:string,value:string>>")
+    for stage in (G.stage1_tokens, G.stage2_tokens):
+        reasons = {r.conv_id: r.error_reason for r in stage(conv, "B/data_images", files).collect()}
+        assert reasons == {1: None, 2: "image_invalid", 3: "image_missing"}
