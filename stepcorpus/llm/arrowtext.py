@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20  # of text handled at once in a task; a longer single text stands alone
+SLICE_BYTES = 1 << 20  # of text handled at once in a task; a longer single text stands alone
 
 
 def as_bytes(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -68,7 +68,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     up, down = np.cumprod(up), np.cumprod(down)
-    if size <= 4 * SLICE_BYTES:
+    if size <= 16 * SLICE_BYTES:
         _POWERS[:] = [up, down]
     return up[:n], down[:n]
 
