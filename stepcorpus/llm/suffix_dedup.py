@@ -332,7 +332,8 @@ def removal_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         reach = reach.union(_merged_extents(runs, parts, length))
         if any_hot:
             reach = reach.union(_hot_extents(runs, length))
-    reach = materialize(reach, "extents").groupBy("ctx").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    # a table of its own, so that the join can split a context that thousands of copies share
+    reach = materialize(reach.groupBy("ctx").agg(F.max("l").alias("l"), F.max("r").alias("r")), "extents")
     spans = found.join(reach, "ctx").select("id", "key", F.struct((F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + F.col("r")).alias("end")).alias("span"))
     return spans.groupBy("id", "key").agg(F.array_sort(F.collect_set("span")).alias("ranges"))  # a document's own anchors
 
