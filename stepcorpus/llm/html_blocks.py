@@ -1,10 +1,13 @@
 """Main text of web pages by two-pass block rules.
 
 The first pass cuts a page into blocks and decides those it can: blocks in
-menus, adverts and the like, outside an article the page marks, or made of
-links are boilerplate; long blocks with enough stop words are text.  The
-second gives ambiguous blocks, short ones above all, the label of the
-nearest decided neighbour of the same region (of two as near, the text).
+menus, adverts and the like, outside the article that holds the page's dense
+text, or made of links are boilerplate; long blocks with enough stop words
+(dense ones) are text.  A menu, advert or the like that holds the page's
+article or most of its dense text is a mere wrapper and doesn't count.  The
+second pass gives ambiguous blocks, short ones above all, the label of the
+nearest decided neighbour of the same region (of two as near, the text); a
+long one is text if the decided neighbour on either side is.
 
 A null or empty page gives an empty text.  Broken markup is read as far as
 it goes; a page cut off in mid-element keeps its text.  Rows that repeat
@@ -41,6 +44,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKS = frozenset("""ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disqus footer
 legal login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup
 social sponsor sponsored subscribe subscription toolbar widget widgets""".split())
+#: Of these, the ones that name a thing beside the text, however much of the page it is; and such elements.
+BESIDE = frozenset("ad ads advert advertisement advertising adverts comment comments consent cookie cookies disqus modal newsletter popup recommended related replies reply respond sponsor sponsored".split())
+BESIDE_TAGS = BOILERPLATE - {"form"}
+#: Parts of a class word that turn a mark into a statement on layout, and parts behind a mark that only say what kind of box it is.
+LAYOUT = frozenset("closed disable disabled enabled free has hide hides is no non not open show shows status with without".split())
+STARTS = frozenset("ad ads advert comment cookie modal newsletter popup".split())  # marks at a word's start, whatever follows
+BOXES = frozenset("""area articles bar block body bottom box button buttons card cards col column container content entry form group header heading holder icon icons inline inner item items left link links list
+main module outer overlay panel placeholder post posts region right row section slot stories story tab tabs title toggle top unit wrap wrapper""".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|xmp)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)
@@ -54,40 +65,69 @@ WORD = re.compile(r"[^\W\d_]+")
 class Block:
     text: str
     links: int  # characters inside links
-    bad: bool  # inside a boilerplate element
-    article: bool  # inside an article or main element
+    inside: tuple["Wrapper", ...]  # the boilerplate elements around it
+    article: int  # number of the outermost article or main element around it, 0: none
     label: bool | None = field(default=None)
 
+    @property
+    def bad(self) -> bool:
+        return not all(w.released for w in self.inside)
 
-def marked(tag: str, attrs: str) -> tuple[bool, bool]:
-    """(boilerplate, hidden) by an element's attributes."""
-    bad = hidden = False
+    @property
+    def linked(self) -> bool:
+        return self.links > LINK_SHARE * len(self.text)
+
+
+@dataclass(eq=False)
+class Wrapper:
+    """A boilerplate element, by its tag or marks."""
+
+    beside: bool  # names a thing beside the text
+    article: bool = False  # is, or holds, an article or main element
+    released: bool = False  # found to be a mere wrapper
+
+
+def mark_of(word: str) -> set[str]:
+    """The parts of a class word if the word, or its last part but for names of boxes, is a mark."""
+    parts = PARTS.findall(word)
+    if MARKS.isdisjoint(parts) or not LAYOUT.isdisjoint(parts):
+        return set()
+    last = len(parts) - 1
+    while last and (parts[last] in BOXES or len(parts[last]) == 1):
+        last -= 1
+    return set(parts) if parts[last] in MARKS or parts[0] in STARTS else set()
+
+
+def marked(tag: str, attrs: str) -> tuple[set[str], bool]:
+    """(parts of the words that mark boilerplate, hidden) by an element's attributes."""
+    marks, hidden = set(), False
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
         elif name in ("class", "id", "role") and tag not in ("html", "body", "main"):
-            bad |= not MARKS.isdisjoint(PARTS.findall(value))
-    return bad, hidden
+            for word in value.split():
+                marks |= mark_of(word)
+    return marks, hidden
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, with where they stand."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # (tag, boilerplate, skipped, article), each with what is above it
+    stack: list[tuple[str, tuple[Wrapper, ...], bool, int]] = []  # (tag, boilerplate, skipped, article), each with what is above it
     parts: list[str] = []
-    links, depth_a, at = 0, 0, 0
+    links, depth_a, at, articles = 0, 0, 0, 0
 
-    def state() -> tuple[bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False)
+    def state() -> tuple[tuple[Wrapper, ...], bool, int]:
+        return stack[-1][1:] if stack else ((), False, 0)
 
     def close() -> None:
         nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                bad, _, article = state()
-                out.append(Block(text, links, bad, article))
+                inside, _, article = state()
+                out.append(Block(text, links, inside, article))
             parts.clear()
         links = 0
 
@@ -122,44 +162,97 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
         if tag in VOID or m["attrs"].rstrip().endswith("/"):
             continue
-        bad, skipped, article = state()
-        own_bad, hidden = marked(tag, m["attrs"]) if m["attrs"].strip() else (False, False)
-        if tag in BLOCKS or tag in SKIPPED or own_bad or hidden:
-            if own_bad and tag not in BLOCKS:
+        inside, skipped, article = state()
+        marks, hidden = marked(tag, m["attrs"]) if m["attrs"].strip() else (set(), False)
+        if tag in BLOCKS or tag in SKIPPED or marks or hidden:
+            if marks and tag not in BLOCKS:
                 close()
-            stack.append((tag, bad or own_bad or tag in BOILERPLATE or tag == "header" and not article, skipped or hidden or tag in SKIPPED, article or tag in ("article", "main")))
+            if marks or tag in BOILERPLATE or tag == "header" and not article:
+                inside = (*inside, Wrapper(not BESIDE.isdisjoint(marks) or tag in BESIDE_TAGS))
+            if tag in ("article", "main"):
+                for w in inside:
+                    w.article = True
+                if not article:
+                    articles += 1
+                    article = articles
+            stack.append((tag, inside, skipped or hidden or tag in SKIPPED, article))
     add(page[at:])
     close()
     return out
 
 
+def dense(b: Block) -> bool:
+    """Whether a block is long and has the stop words of running text."""
+    if len(b.text) < LONG or b.linked:
+        return False
+    words = [w.lower() for w in WORD.findall(b.text)]
+    return bool(words) and sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words)
+
+
+def release(blocks: list[Block], weight: list[int], long: bool) -> None:
+    """Mark the boilerplate elements that are mere wrappers.  ``weight``: characters of dense text of each block; ``long``: of long blocks at least."""
+    held: dict[Wrapper, list[int]] = {}
+    for b, w in zip(blocks, weight):
+        for x in b.inside if w else ():
+            held.setdefault(x, []).append(w)
+    total, free = sum(weight), sum(w for b, w in zip(blocks, weight) if not b.inside)
+    alone = not any(not b.inside and not b.linked for b in blocks)
+    for x, ws in held.items():
+        if not x.beside:
+            most = long and 2 * sum(ws) > total and (len(ws) > 1 or alone)
+            x.released = most or x.article and (sum(ws) > free or 2 * sum(ws) > total)
+    if long and all(b.bad or b.linked for b in blocks):  # nothing is left
+        for x, ws in held.items():
+            x.released |= 2 * sum(ws) > total and (len(ws) > 1 or x.article)
+
+
 def decide(blocks: list[Block]) -> list[Block]:
     """Both passes: every block's ``label`` (True: text)."""
-    region = any(b.article and not b.bad for b in blocks)
+    is_dense = [dense(b) for b in blocks]
+    # no language that the stop words cover: length and links decide, or links alone
+    for long, counts in ((True, is_dense), (True, [len(b.text) >= LONG and not b.linked for b in blocks]), (False, [not b.linked for b in blocks])):
+        weight = [len(b.text) * c for b, c in zip(blocks, counts)]
+        if any(weight):
+            break
+    if any(b.inside for b in blocks):
+        release(blocks, weight, long)
+    bad = [b.bad for b in blocks]
+    # the article is the region if it holds as much dense text as all that stands outside articles
+    by_article: dict[int, int] = {}
+    for b, w, x in zip(blocks, weight, bad):
+        if not x:
+            by_article[b.article] = by_article.get(b.article, 0) + w
+    beyond = by_article.pop(0, 0)
+    region = bool(by_article) and (not long or max(by_article.values()) >= beyond)
     doubtful = []
-    for b in blocks:
-        if b.bad or region and not b.article or b.links > LINK_SHARE * len(b.text):
+    for b, d, x in zip(blocks, is_dense, bad):
+        if x or region and not b.article or b.linked:
             b.label = False
+        elif d:
+            b.label = True
         elif len(b.text) >= LONG:
-            words = [w.lower() for w in WORD.findall(b.text)]
-            stops = sum(w in STOP_WORDS for w in words)
-            if stops >= STOP_SHARE * len(words) and words:
-                b.label = True
-            elif not region:
-                b.label = False
-                doubtful.append(b)
-    if not any(b.label for b in blocks):  # no language that the stop words cover: length and links decide
+            doubtful.append(b)
+    if not any(b.label for b in blocks):
         for b in doubtful:
             b.label = True
-    known = [i for i, b in enumerate(blocks) if b.label is not None and (not region or b.article and not b.bad)]
-    later, before = iter(known), None
-    nxt = next(later, None)
-    for i, b in enumerate(blocks):
-        while nxt is not None and nxt <= i:
-            before, nxt = nxt, next(later, None)
-        if b.label is None:
-            near = [(abs(k - i), not blocks[k].label) for k in (before, nxt) if k is not None]
-            b.label = not min(near)[1] if near else True
+    some = any(b.label for b in blocks)
+    places: dict[int, list[int]] = {}  # without a region, an article beside the text follows its own blocks only
+    for i, (b, x) in enumerate(zip(blocks, bad)):
+        if not region or b.article and not x:
+            places.setdefault(0 if region else b.article, []).append(i)
+    for place, members in places.items():
+        later, before = iter([i for i in members if blocks[i].label is not None]), None
+        nxt = next(later, None)
+        for i in members:
+            b = blocks[i]
+            while nxt is not None and nxt <= i:
+                before, nxt = nxt, next(later, None)
+            if b.label is None:
+                near = [(abs(k - i), not blocks[k].label) for k in (before, nxt) if k is not None and k != i]
+                if len(b.text) >= LONG and near:
+                    b.label = not all(x for _, x in near)
+                else:
+                    b.label = not min(near)[1] if near else not place or not some
     return blocks
 
 

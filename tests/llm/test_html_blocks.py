@@ -49,3 +49,43 @@ def test_edge_rows(spark):
     out = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(r.n_chars for r in out) == [0, 0, 3, 199999]
     assert H.extract(spark.createDataFrame(rows[:1], "page_id long, url string, html string, text string").limit(0)).collect() == []
+
+
+def test_wrappers_with_marks_keep_the_article():
+    text = "\n\n".join([LONG, "Ja.", OTHER])
+    body = f"<p>{LONG}</p><p>Ja.</p><p>{OTHER}</p>"
+    for attrs in ('class="has-sidebar"', 'id="with-nav"', "class=no-comments", 'class="post legal"', 'class="right-sidebar"', 'class="comments-open"', 'class="ad-free"', 'id="share"'):
+        assert H.main_text(f"<nav>Menu</nav><div {attrs}><article>{body}</article></div><footer>x</footer>") == text, attrs
+        assert H.main_text(f"<nav>Menu</nav><article {attrs}>{body}</article><footer>x</footer>") == text, attrs
+        assert H.main_text(f"<nav>Menu</nav><div {attrs}>{body}</div><footer>x</footer>") == text, attrs
+    assert H.main_text(f"<form action=x><nav>Menu</nav><div class=legal>{body}</div></form>") == text
+    assert H.main_text(f"<div class=comments>{body}</div>") == text
+    assert H.main_text("<article class='post legal'><p>Hello</p></article>") == "Hello"
+
+
+def test_boilerplate_beside_the_text_stays_out():
+    many = f"<p>{OTHER}</p>" * 9
+    for attrs in ('id="comments"', 'class="comment-list"', 'class="ad-300x250"', 'class="cookie-law"', 'class="related-posts"'):
+        assert H.main_text(f"<article><p>{LONG}</p></article><div {attrs}>{many}</div>") == LONG, attrs
+        assert H.main_text(f"<div><p>{LONG}</p></div><div {attrs}><article>{many}</article></div>") == LONG, attrs
+    for attrs in ('class="sidebar-left"', 'class="nav-links"', 'class="legal"', 'class="social-share"'):
+        assert H.main_text(f"<p>{LONG}</p><p>{LONG}</p><div {attrs}><p>{OTHER}</p></div>") == f"{LONG}\n\n{LONG}", attrs
+    assert H.main_text(f"<article><p>Hello</p></article><div class=cookie-notice><p>{LONG}</p></div>") == "Hello"
+
+
+def test_main_text_in_a_div_beside_teaser_articles():
+    cards = "".join(f"<article><a href={i}>A teaser of the other news</a><p>Short words</p></article>" for i in range(5))
+    assert H.main_text(f"<div><p>{LONG}</p><p>Ja.</p><p>{OTHER}</p></div>{cards}") == "\n\n".join([LONG, "Ja.", OTHER])
+    dense = "".join(f"<article><p>{OTHER}</p></article>" for _ in range(5))
+    got = H.main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div>{dense}")
+    assert got.startswith(f"{LONG}\n\n{LONG}")
+    assert H.main_text(f"<p>{OTHER}</p><article><p>{LONG}</p><p>{OTHER}</p></article>") == f"{LONG}\n\n{OTHER}"
+
+
+def test_long_blocks_of_few_stop_words_follow_their_neighbours():
+    code = "int total = sum(values, count); printf(result, total); return total / count; free(values); exit(0);"
+    rows = "Berlin 3,700,000 Hamburg 1,900,000 Munich 1,500,000 Cologne 1,100,000 Frankfurt 760,000 Stuttgart 630,000"
+    links = "<ul><li><a href=1>One</a><li><a href=2>Two</a></ul>"
+    page = f"{links}<p>{LONG}</p><pre>{code}</pre><table><tr><td>{rows}</td></tr></table><p>{code}</p>{links}"
+    assert H.main_text(page) == "\n\n".join([LONG, code, rows, code])
+    assert H.main_text(f"<p>{LONG}</p>{links}<p>{rows}</p>{links}") == LONG
