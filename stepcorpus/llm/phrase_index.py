@@ -135,11 +135,12 @@ def _plan(p: Phrases, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search(index: DataFrame, p: Phrases, frequency: np.ndarray, slop: int = SLOP, near_terms: int = NEAR_TERMS) -> DataFrame:
-    """Per indexed document: (row_id, doc_id, n_words, exact, items, near).
+    """Per indexed document: (row_id, doc_id, n_words, exact, lengths, items, near, near_items).
 
     ``exact`` and ``near`` list (phrase, start) of the exact phrase matches
     and of the proximity matches: places of the rarest term around which the
     ``near_terms`` rarest terms stand within ``slop`` words of their offsets.
+    ``near_items`` has the items of each of these.
     """
     order, by_rarest = _plan(p, frequency)
     rows = np.arange(len(p.phrases))
@@ -187,7 +188,7 @@ def search(index: DataFrame, p: Phrases, frequency: np.ndarray, slop: int = SLOP
             low = np.clip(start + off - slop, 0, n_words)
             i = np.minimum(np.searchsorted(key, term * (n_words + 1) + low), len(key) - 1)
             found = key[i] - term * (n_words + 1)
-            ok = (term < 0) | ((found >= low) & (found <= start + off + slop))
+            ok = (term < 0) | ((found >= low) & (found <= np.minimum(start + off + slop, n_words - 1)))  # beyond the end lies the next term
             phrase, start = phrase[ok], start[ok]
         return list(zip(exact_phrase.tolist(), exact_start.tolist())), list(zip(phrase.tolist(), start.tolist()))
 
@@ -199,16 +200,21 @@ def search(index: DataFrame, p: Phrases, frequency: np.ndarray, slop: int = SLOP
                 as_rows = [pa.array([[{"phrase": a, "start": s} for a, s in g[k]] for g in got], match) for k in (0, 1)]
                 items = pa.array([sorted({x for a, _ in g[0] for x in p.items[a]}) for g in got], pa.list_(pa.string()))
                 lengths = pa.array([[int(p.length[a]) for a, _ in g[0]] for g in got], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], as_rows[0], lengths, items, as_rows[1]],
-                                                 ["row_id", "doc_id", "n_words", "exact", "lengths", "items", "near"])
+                near_items = pa.array([[p.items[a] for a, _ in g[1]] for g in got], pa.list_(pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], as_rows[0], lengths, items, as_rows[1], near_items],
+                                                 ["row_id", "doc_id", "n_words", "exact", "lengths", "items", "near", "near_items"])
 
     kind = index.schema["doc_id"].dataType.simpleString()
     return index.mapInArrow(task, f"row_id long, doc_id {kind}, n_words long, exact array<struct<phrase:int,start:int>>, lengths array<int>, "
-                                  "items array<string>, near array<struct<phrase:int,start:int>>")
+                                  "items array<string>, near array<struct<phrase:int,start:int>>, near_items array<array<string>>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, slop: int = SLOP) -> DataFrame:
-    """Per document: doc_id, n_words, spans (hit word ranges), items, n_near (proximity matches).
+    """Per document: doc_id, n_words, spans (hit word ranges), items, n_near (proximity matches), near (their items and starts).
+
+    A proximity match of a phrase that several items have counts once in
+    ``n_near`` and stands in ``near`` for each of them.  Its start is where
+    the phrase would begin by its rarest term, so it may lie before the text.
 
     With more than one block, each block's matches are joined by the row's
     number in the written list of documents.
@@ -225,13 +231,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         index = store_postings(keyed, p.terms)
         matches = search(index, p, term_frequencies(index, len(p.terms)), slop)
         found.append(matches.select("row_id", "doc_id", "n_words", _spans(F.col("exact"), F.col("lengths")).alias("spans"), "items",
-                                    F.size("near").cast("long").alias("n_near")))
+                                    F.size("near").cast("long").alias("n_near"), _near(F.col("near"), F.col("near_items")).alias("near")))
         first, second = second, next(todo, None)
     matches = reduce(DataFrame.unionByName, found)
     if len(found) > 1:
         # a document has as many rows as there are blocks
         matches = (matches.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-                                              F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("n_near").alias("n_near")))
+                                              F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("n_near").alias("n_near"),
+                                              F.flatten(F.collect_list("near")).alias("near")))
     return matches.drop("row_id")
 
 
@@ -240,6 +247,11 @@ def _spans(exact, lengths):
     return F.zip_with(exact, lengths, lambda m, n: F.struct(m["start"].alias("begin"), (m["start"] + n).alias("end")))
 
 
+def _near(near, items):
+    """(item, start) of the proximity matches."""
+    return F.flatten(F.zip_with(near, items, lambda m, xs: F.transform(xs, lambda x: F.struct(x.alias("item"), m["start"].alias("start")))))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, items of ``contamination``."""
     # hit words: sorted by begin, each span adds what lies beyond the furthest end so far
