@@ -5,7 +5,8 @@ a document, each word has a likelihood in every language (the product of its
 n-grams' probabilities); expectation-maximisation estimates the languages'
 proportions; the language set is the one of highest likelihood less a
 penalty for each language after the first, among the sets of the largest
-proportions.  The prediction is the largest proportion in that set.
+proportions, of any size.  The prediction is the largest proportion in that
+set.  The set's languages are returned with their proportions in it.
 
 Null texts and texts without a letter get ``und`` and score 0, as do all
 texts where nothing could be learned.  Rows with a null doc_id or lang
@@ -30,7 +31,6 @@ GRAM = 4  # bytes
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
 STEPS = 8
-MAX_SET = 4  # languages in a document's set
 MIN_SHARE = 0.03  # of a language in the mixture, to be in the set
 PENALTY = 1.0  # times log(words), for each language after the first
 MIN_SCORE = 0.2  # of an accepted text's language: below it no language stands out
@@ -130,51 +130,65 @@ def proportions(like: np.ndarray, first: np.ndarray, allowed: np.ndarray, steps:
     return share, fit
 
 
-def choose(like: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: (best language, its proportion among all languages, size of the chosen set)."""
+def choose(like: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: (best language, its proportion among all languages, size of the chosen set, proportions in the set, -1 outside it)."""
     n_docs, n_langs = len(first) - 1, like.shape[1]
     share, _ = proportions(like, first, np.ones((n_docs, n_langs)))
     order = np.argsort(-share, axis=1, kind="stable")
     best = order[:, 0] if n_langs else np.zeros(n_docs, np.int64)
     size = np.ones(n_docs, np.int64)
-    mixed = np.flatnonzero((np.sort(share, axis=1)[:, -2] >= MIN_SHARE) if n_langs > 1 else np.zeros(n_docs, bool))
-    if len(mixed):
+    inside = np.full((n_docs, n_langs), -1.0)
+    if n_langs:
+        inside[np.arange(n_docs), best] = 1.0
+    enough = (np.take_along_axis(share, order, axis=1) >= MIN_SHARE).sum(1)  # languages that may be in the set
+    top = np.full(n_docs, -np.inf)
+    for k in range(1, int(enough.max(initial=0)) + 1):
+        mixed = np.flatnonzero(enough >= max(k, 2))
+        if not len(mixed):
+            break
         n = np.diff(first)[mixed]
         rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in mixed])
-        sub, sub_first = like[rows], np.concatenate([[0], np.cumsum(n)])
-        top = np.full(len(mixed), -np.inf)
-        for k in range(1, min(MAX_SET, n_langs) + 1):
-            allowed = np.zeros((len(mixed), n_langs))
-            np.put_along_axis(allowed, order[mixed, :k], 1.0, axis=1)
-            held, fit = proportions(sub, sub_first, allowed)
-            value = np.where(share[mixed, order[mixed, k - 1]] >= MIN_SHARE, fit - PENALTY * (k - 1) * np.log(n + 1.0), -np.inf)
-            better = value > top
-            top[better], size[mixed[better]], best[mixed[better]] = value[better], k, held[better].argmax(1)
-    return best, share[np.arange(n_docs), best] if n_langs else np.zeros(n_docs), size
-
-
-def judge(batch: pa.RecordBatch, langs: list[str], table: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, languages, scores, set sizes) of runs of a batch's texts."""
+        allowed = np.zeros((len(mixed), n_langs))
+        np.put_along_axis(allowed, order[mixed, :k], 1.0, axis=1)
+        held, fit = proportions(like[rows], np.concatenate([[0], np.cumsum(n)]), allowed)
+        value = fit - PENALTY * (k - 1) * np.log(n + 1.0)
+        better = value > top[mixed]
+        to = mixed[better]
+        top[to], size[to], best[to] = value[better], k, held[better].argmax(1)
+        inside[to] = np.where(allowed[better] > 0, held[better], -1.0)
+    return best, share[np.arange(n_docs), best] if n_langs else np.zeros(n_docs), size, inside
+
+
+def judge(batch: pa.RecordBatch, langs: list[str], table: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, languages, scores, set sizes, proportions in the sets) of runs of a batch's texts."""
     names = np.array([*langs, UNKNOWN], dtype=object)
     for lo, hi, data, at in slices(batch, "text"):
         known = np.array([LETTER.search(data[at[i]:at[i + 1]].tobytes().decode()) is not None for i in range(hi - lo)]) & bool(langs)
-        best, share, size = choose(*word_likelihoods(data, at, table)) if langs else (np.zeros(hi - lo, np.int64) for _ in range(3))
-        yield lo, hi, names[np.where(known, best, -1)], np.clip(np.where(known, share, 0.0), 0, 1), np.where(known, size, 0)
+        best, share, size, inside = choose(*word_likelihoods(data, at, table)) if langs else (*(np.zeros(hi - lo, np.int64) for _ in range(3)), np.zeros((hi - lo, 0)))
+        yield lo, hi, names[np.where(known, best, -1)], np.clip(np.where(known, share, 0.0), 0, 1), np.where(known, size, 0), inside
+
+
+def _sets(langs: list[str], size: np.ndarray, inside: np.ndarray) -> pa.ListArray:
+    """The languages of each text's set with their proportions, largest first."""
+    order = np.argsort(-inside, axis=1, kind="stable")
+    used = np.arange(len(langs)) < size[:, None]
+    pairs = pa.StructArray.from_arrays([pa.array(np.array(langs, dtype=object)[order[used]], pa.string()), pa.array(np.clip(np.take_along_axis(inside, order, axis=1)[used], 0, 1), pa.float64())], ["lang", "share"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pairs)
 
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, n_langs of every document."""
+    """doc_id, held_out, lang_pred, score, n_langs, languages (the set, with proportions) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     model = docs.sparkSession.sparkContext.broadcast(table)  # languages times BUCKETS numbers
 
     def task(batches):
         for b in batches:
-            for lo, hi, lang, score, size in judge(b, langs, model.value):
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(2)), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(size, pa.int32())],
-                                                 ["doc_id", "held_out", "lang_pred", "score", "n_langs"])
+            for lo, hi, lang, score, size, inside in judge(b, langs, model.value):
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(2)), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(size, pa.int32()), _sets(langs, size, inside)],
+                                                 ["doc_id", "held_out", "lang_pred", "score", "n_langs", "languages"])
 
     rows = docs.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == FOLD, F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(task, f"doc_id {kind}, held_out boolean, lang_pred string, score double, n_langs int")
+    return rows.mapInArrow(task, f"doc_id {kind}, held_out boolean, lang_pred string, score double, n_langs int, languages array<struct<lang:string,share:double>>")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -188,7 +202,7 @@ def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
 
     def task(batches):
         for b in batches:
-            ok = [(lang != UNKNOWN) & (score >= min_score) for _, _, lang, score, _ in judge(b, langs, model.value)]
+            ok = [(lang != UNKNOWN) & (score >= min_score) for _, _, lang, score, _, _ in judge(b, langs, model.value)]
             if ok:
                 yield b.filter(pa.array(np.concatenate(ok)))
 

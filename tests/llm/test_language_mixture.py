@@ -47,3 +47,19 @@ def test_edge_rows(spark):
     assert all(r.score == 0 for r in got if r.lang_pred == "und")
     assert L.identify(docs.limit(0)).collect() == []
     assert {r.lang_pred for r in L.identify(docs.filter("lang is null")).collect()} == {"und"}  # nothing to learn from
+
+
+def test_sets_of_any_size_with_their_proportions(spark):
+    rng = np.random.default_rng(4)
+    words = {f"l{k}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"[5 * k % 20:5 * k % 20 + 6] + "xyz"), 6)) for _ in range(40)] for k in range(7)}
+    some = lambda k, n: " ".join(rng.choice(words[f"l{k}"], n))
+    docs = spark.createDataFrame([(i, some(i % 7, 300), f"l{i % 7}") for i in range(140)], "doc_id long, text string, lang string")
+    langs, model = L.learn(docs)
+    mixed = [(k, " ".join(some(j, 100 * (2 if j == 0 else 1)) for j in range(k))) for k in range(1, 8)] + [(8, None)]
+    got = {r.doc_id: r for r in L.predict(spark.createDataFrame(mixed, "doc_id long, text string"), langs, model).collect()}
+    for k in range(1, 8):
+        want = {f"l{j}": (2 if j == 0 else 1) / (k + 1) for j in range(k)}
+        shares = {x.lang: x.share for x in got[k].languages}
+        assert got[k].n_langs == k and got[k].lang_pred == "l0" == got[k].languages[0].lang and set(shares) == set(want)
+        assert np.isclose(sum(shares.values()), 1) and all(abs(shares[x] - want[x]) < 0.03 for x in want)
+    assert got[8].languages == [] and got[8].n_langs == 0
