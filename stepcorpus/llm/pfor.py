@@ -20,6 +20,7 @@ ordered by their ids; null doc_ids come first; an empty table gives no file.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -168,12 +169,25 @@ def read_shard(path: str, block: int = BLOCK) -> Iterator[tuple[int, int, np.nda
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
+#: The settings that ``Encoder`` follows by itself.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+                                                       {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def follows(settings: dict) -> bool:
+    """Whether a tokenizer file has the settings that ``Encoder`` follows; special tokens have to show by ``<|``."""
+    return (settings["normalizer"] == NORMALIZER and settings["pre_tokenizer"] == PRE_TOKENIZER and settings["model"]["type"] == "BPE" and not settings["model"].get("dropout")
+            and all(t["content"].startswith("<|") and not (t["single_word"] or t["normalized"]) and not any(c.isspace() for c in t["content"]) for t in settings["added_tokens"]))
+
 
 class Encoder:
     """Ids of a text by the tokenizers library, one run without ASCII white space at a time.
 
-    The tokenizer of the file drops white space and merges within a run only,
-    so a text's ids are those of its runs.  Runs and their word pieces are
+    Where the file has the settings above, it drops white space and merges
+    within a run only, so a text's ids are those of its runs; with any other
+    settings, whole texts go to the library.  Runs and their word pieces are
     cached; a run outside the plain Latin range, or one that may hold a
     special token, goes to the library as it is.
     """
@@ -182,8 +196,11 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()  # documents are encoded whole
+        self.tokenizer.no_padding()
+        self.follows = follows(json.loads(self.tokenizer.to_str()))
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.pieces = regex.compile(SPLIT)
         self.odd = regex.compile(r"[^!-~¡-ɏ]")
         # byte -> the letter that stands for it in the vocabulary: printable ones stand for themselves, the rest follow from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -215,6 +232,8 @@ class Encoder:
         return got
 
     def encode(self, text: bytes) -> bytes:
+        if not self.follows:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
         runs = (text if b"<|" in text else text.lower()).split()
         got = list(map(self.runs.get, runs))
         if None in got:

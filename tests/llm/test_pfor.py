@@ -87,3 +87,24 @@ def test_unfinished_file_is_refused(tmp_path):
     (tmp_path / "a").write_bytes(b"PFOR" + bytes(40))
     with pytest.raises(ValueError):
         list(pfor.read_shard(f"{tmp_path}/a"))
+
+
+def test_other_tokenizer_files_equal_the_library(tmp_path):
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    cased, digits, cut = (Tokenizer.from_file(PATH) for _ in range(3))
+    cased.normalizer = normalizers.NFC()
+    digits.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    paths = [public_tokenizers.path("byte_bpe_50k.json")]
+    for name, t in (("cased", cased), ("digits", digits)):
+        t.save(f"{tmp_path}/{name}.json")
+        paths.append(f"{tmp_path}/{name}.json")
+    for path in paths:
+        t, e = Tokenizer.from_file(path), pfor.Encoder(path)
+        assert not e.follows
+        for text in TEXTS[1:]:
+            assert np.frombuffer(e.encode(text.encode()), e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, (path, text)
+    cut.enable_truncation(3)
+    cut.save(f"{tmp_path}/cut.json")
+    e = pfor.Encoder(f"{tmp_path}/cut.json")
+    assert e.follows and pfor.encoder(PATH).follows
+    assert e.encode(TEXTS[-1].encode()) == pfor.encoder(PATH).encode(TEXTS[-1].encode())
