@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepcorpus.llm import (host_rules, html_blocks, language_mixture, licences, mixing, near_dups, pfor,
-                            phrase_index, pu_quality, suffix_dedup)
+                            phrase_index, pu_quality, suffix_dedup, top_k)
 from stepcorpus.sources.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -56,8 +56,13 @@ def op10_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages")).select("page_id", "url", F.col("text"), "n_chars")
 
 
+def op13_tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_licence_digests, op3_mix_budgets, op4_host_rules, op5_phrase_index, op6_pfor_files,
-                                   op7_chosen_path, op8_language_mixture, op9_suffix_merge, op10_block_rules)}
+                                   op7_chosen_path, op8_language_mixture, op9_suffix_merge, op10_block_rules, op13_tiled_top_k)}
 
 #: DuckDB SQL, where it can express the operator on whole tables.
-SQL = {"op2_licence_digests": licences.SQL, "op3_mix_budgets": mixing.SQL, "op4_host_rules": host_rules.SQL, "op5_phrase_index": phrase_index.SQL}
+SQL = {"op2_licence_digests": licences.SQL, "op3_mix_budgets": mixing.SQL, "op4_host_rules": host_rules.SQL, "op5_phrase_index": phrase_index.SQL,
+       "op13_tiled_top_k": top_k.SQL}

@@ -24,7 +24,7 @@ def test_one_query_for_each_operator():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF01}/{t}.parquet'")
     df = QUERIES[name](spark, SF01)
     res = con.execute(SQL[name])
