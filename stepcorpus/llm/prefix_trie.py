@@ -32,19 +32,17 @@ Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepcorpus.llm.crc import CRC_TABLE, crc32_sql
+from stepcorpus.llm.ordered import EMPTY, hash_in_order
 from stepcorpus.session import materialize
 
 PERIOD = 100  # conversations from one multiple of it to the next share the first turns of the first of them
 HEADS = 6  # fewer turns than this are shared
-EMPTY = hashlib.sha256(b"").hexdigest()
 _LIMBS = ("l0", "l1", "l2", "l3")
 _LOW = 0xFFFFFFFF
 _KEY = ["depth", "hi", "lo"]
@@ -132,14 +130,14 @@ def subtree_sums(tree: DataFrame, values: Sequence[str]) -> DataFrame:
         raked.append(active.filter(leaf).select("id", *(F.col(w).alias(v) for v, w in zip(values, own))))
         given = [F.sum(F.when(leaf, F.col(w) + F.col(e)).otherwise(0)).alias(f"g_{w}") for w, e in zip(own, edge)]
         up = active.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count_if(~leaf).alias("kids"), F.min(F.when(~leaf, F.col("id"))).alias("child"), *given)
-        rest = materialize(active.filter(~leaf).drop("kids").join(up, "id").select("id", "parent", "kids", "child", *((F.col(w) + F.col(f"g_{w}")).alias(w) for w in own), *edge), "raked")
-        if rest.isEmpty():
-            break
+        rest = active.filter(~leaf).drop("kids").join(up, "id").select("id", "parent", "kids", "child", *((F.col(w) + F.col(f"g_{w}")).alias(w) for w in own), *edge)
         rank = lambda c: F.xxhash64(F.lit(len(raked)), c)
         goes = (F.col("kids") == 1) & F.col("parent").isNotNull() & (rank("id") > rank("child")) & (rank("id") > rank("parent"))
         gone = rest.filter(goes).select(F.col("child").alias("id"), F.col("id").alias("gone"), F.col("parent").alias("above"),
                                         *(F.col(w).alias(f"g_{w}") for w in own), *(F.col(e).alias(f"g_{e}") for e in edge))
-        met = materialize(rest.filter(F.coalesce(~goes, F.lit(True))).drop("child").join(gone, "id", "left"), "compressed")
+        met = materialize(rest.filter(F.coalesce(~goes, F.lit(True))).drop("child").join(gone, "id", "left"), "contracted")
+        if met.isEmpty():
+            break
         compressed.append(met.filter("gone is not null").select(F.col("gone"), "id", *((F.col(f"g_{w}") + F.col(e)).alias(f"x_{v}") for v, w, e in zip(values, own, edge))))
         active = met.select("id", F.coalesce("above", "parent").alias("parent"), "kids", *own,
                             *((F.col(e) + F.coalesce(F.col(f"g_{w}"), zero) + F.coalesce(F.col(f"g_{e}"), zero)).alias(e) for w, e in zip(own, edge)))
@@ -150,51 +148,12 @@ def subtree_sums(tree: DataFrame, values: Sequence[str]) -> DataFrame:
     return known
 
 
-def _id_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (depth, hi, lo, conv_id) rows as one comma-joined text for each node of a batch."""
-    for batch in batches:
-        cols = [batch.column(n).to_numpy() for n in (*_KEY, "conv_id")]
-        n = len(cols[0])
-        if not n:
-            continue
-        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
-        starts = np.concatenate([[0], cuts])
-        texts = [",".join(map(str, part.tolist())).encode() for part in np.split(cols[3], cuts)]
-        yield pa.RecordBatch.from_arrays([pa.array(c[starts]) for c in cols] + [pa.array(texts, pa.binary())], [*_KEY, "first", "ids"])
-
-
-def _hashed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(depth, hi, lo, ids) rows, sorted, as one hash a node."""
-    key, state = None, None
-    for batch in batches:
-        out = []
-        for *now, ids in zip(*(batch.column(n).to_pylist() for n in (*_KEY, "ids"))):
-            if now == key:
-                state.update(b",")
-            else:
-                if key is not None:
-                    out.append((*key, state.hexdigest()))
-                key, state = now, hashlib.sha256()
-            state.update(ids)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], [*_KEY, "ends_sha256"])
-    if key is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([c]) for c in (*key, state.hexdigest())], [*_KEY, "ends_sha256"])
-
-
-def id_hashes(ends: DataFrame) -> DataFrame:
-    """depth, hi, lo and the SHA-256 of each node's ids, ascending and joined by commas."""
-    n = _partitions(ends)
-    order = [*_KEY, "conv_id"]
-    texts = materialize(ends.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_id_texts, "depth long, hi long, lo long, first long, ids binary"), "ids")
-    return texts.repartition(n, *_KEY).sortWithinPartitions(*_KEY, "first").mapInArrow(_hashed_texts, "depth long, hi long, lo long, ends_sha256 string")
-
-
 def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     """Every node of the trie of ``turns`` (conv_id, part, pos, digest, n_chars) of the conversations ``convs``:
     conv_id (its smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     zero = F.lit(0).cast("long")
     members, ends = _members(turns, convs)
+    ends = hash_in_order(ends.withColumn("piece", F.col("conv_id").cast("string").cast("binary")), _KEY, "conv_id", "ends_sha256", ",")
     nodes = members.groupBy(*_KEY).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.min("up_hi").alias("up_hi"), F.min("up_lo").alias("up_lo"), F.min("n_chars").alias("n_chars"))
     root = convs.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).filter("n_convs > 0").select(
         zero.alias("depth"), zero.alias("hi"), zero.alias("lo"), "conv_id", "n_convs", F.lit(None).cast("long").alias("up_hi"), F.lit(None).cast("long").alias("up_lo"), zero.alias("n_chars"))
@@ -207,7 +166,7 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     kids = linked.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
     tree = materialize(linked.join(kids, "id", "left").withColumn("n_children", F.coalesce("n_children", zero)), "trie")
     sums = subtree_sums(tree.select("id", "parent", (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("n_chars")).alias("saved_tokens")), ["n_leaves", "saved_tokens"])
-    return (tree.join(sums, "id").join(id_hashes(ends), _KEY, "left")
+    return (tree.join(sums, "id").join(ends, _KEY, "left")
             .select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(EMPTY)).alias("ends_sha256")))
 
 

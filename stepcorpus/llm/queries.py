@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepcorpus.llm import (host_rules, html_blocks, language_mixture, licences, mixing, near_dups, pfor,
-                            phrase_index, prefix_trie, pu_quality, suffix_dedup, top_k)
+                            phrase_index, prefix_trie, pu_quality, suffix_dedup, top_k, turn_repair)
 from stepcorpus.sources.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,13 +60,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.build_shared(table(spark, sf_dir, "conversations"))
 
 
+def op12_repair_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op13_tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_licence_digests, op3_mix_budgets, op4_host_rules, op5_phrase_index, op6_pfor_files,
-                                   op7_chosen_path, op8_language_mixture, op9_suffix_merge, op10_block_rules, op11_prefix_trie, op13_tiled_top_k)}
+                                   op7_chosen_path, op8_language_mixture, op9_suffix_merge, op10_block_rules, op11_prefix_trie,
+                                   op12_repair_weights, op13_tiled_top_k)}
 
 #: DuckDB SQL, where it can express the operator on whole tables.
 SQL = {"op2_licence_digests": licences.SQL, "op3_mix_budgets": mixing.SQL, "op4_host_rules": host_rules.SQL, "op5_phrase_index": phrase_index.SQL,
-       "op11_prefix_trie": prefix_trie.SQL, "op13_tiled_top_k": top_k.SQL}
+       "op11_prefix_trie": prefix_trie.SQL, "op12_repair_weights": turn_repair.SQL, "op13_tiled_top_k": top_k.SQL}

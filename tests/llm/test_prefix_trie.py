@@ -4,6 +4,7 @@ import random
 import pytest
 
 from stepcorpus.llm import prefix_trie as P
+from stepcorpus.llm.ordered import hash_in_order
 from stepcorpus.sources.tables import table
 
 COLUMNS = "conv_id long, turn long, role string, text string"
@@ -86,6 +87,6 @@ def test_hot_parents_are_looked_up(spark):
 
 def test_ids_of_a_node_over_many_batches(spark):
     import hashlib
-    ends = spark.range(30_000).selectExpr("0L as depth", "id % 3 as hi", "0L as lo", "id * 7 - 50000 as conv_id").repartition(6)
-    got = {r.hi: r.ends_sha256 for r in P.id_hashes(ends).collect()}
+    ends = spark.range(30_000).selectExpr("id % 3 as hi", "0L as lo", "id * 7 - 50000 as conv_id", "cast(cast(id * 7 - 50000 as string) as binary) as piece").repartition(6)
+    got = {r.hi: r.h for r in hash_in_order(ends, ["hi", "lo"], "conv_id", "h", ",").collect()}
     assert got == {h: hashlib.sha256(",".join(str(i * 7 - 50000) for i in range(30_000) if i % 3 == h).encode()).hexdigest() for h in range(3)}

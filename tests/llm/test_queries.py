@@ -17,7 +17,7 @@ SF01 = "/root/testdata/sf0.01"
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(SQL) < set(QUERIES)
 
 
