@@ -17,39 +17,59 @@ from stepcorpus.plans.oracle_views import with_views
 from stepcorpus.plans.registry import REGISTRY, query
 from stepcorpus.session import scratch_dir
 from stepcorpus.sources import files as SRC
+from stepcorpus.sources import first_records as FIRST
+from stepcorpus.sources import json_arrays as ARRAYS
 from stepcorpus.sources.tables import table
 
 
-@query("s1_read_conversations", """
+_NESTED_SQL = """
 select conv_id, 'img/' || conv_id || '.png' as image,
   cast(row_number() over (partition by conv_id order by turn) - 1 as integer) as turn,
   case role when 'user' then 'human' when 'assistant' then 'gpt' else role end as "from",
   case when role = 'user' then '<image>' || chr(10) || text else text end as value
-from conversations""")
+from conversations"""
+_NESTED_SCHEMA = T.StructType([T.StructField("conv_id", T.LongType())] + SRC.CONVERSATION_SCHEMA.fields)
+
+
+def _turns(back):
+    return (explode_rows(back, "conversations", ["conv_id", "image"], "turn", "m")
+            .select("conv_id", "image", "turn", F.col("m.from").alias("from"), F.col("m.value").alias("value")))
+
+
+@query("s1_read_conversations", _NESTED_SQL)
 def s1(spark, d):
     """Conversation records written as JSON-array files and read back (multiLine JSON)."""
     path = scratch_dir(spark, "conversations-json")
     SRC.write_conversations(V.conv_nested(spark, d), path, "conv_id", rows_per_file=1000)
-    schema = T.StructType([T.StructField("conv_id", T.LongType())] + SRC.CONVERSATION_SCHEMA.fields)
-    back = SRC.read_conversations(spark, path, schema)
-    return (explode_rows(back, "conversations", ["conv_id", "image"], "turn", "m")
-            .select("conv_id", "image", "turn", F.col("m.from").alias("from"), F.col("m.value").alias("value")))
+    return _turns(SRC.read_conversations(spark, path, _NESTED_SCHEMA))
+
+
+TURNS_PER_FILE = 2_000_000
+
+
+@query("s1_split_array", _NESTED_SQL)
+def s1_split(spark, d):
+    """Conversation records streamed into few large JSON arrays and read back by byte ranges, many tasks a file."""
+    path = scratch_dir(spark, "conversation-arrays")
+    files = -(-table(spark, d, "conversations").count() // TURNS_PER_FILE) or 1
+    ARRAYS.write_array_files(V.conv_nested(spark, d), path, "conv_id", files)
+    return _turns(ARRAYS.read_array_files(spark, path, _NESTED_SCHEMA))
 
 
 def _jsonl_lines(spark, d):
     good = V.step_records_full(spark, d).select(
-        F.to_json(F.struct("conv_id", "image_url", "instruction")).alias("value"))
+        "conv_id", F.to_json(F.struct("conv_id", "image_url", "instruction")).alias("value"))
     sys_turns = table(spark, d, "conversations").filter(F.col("role") == "system")
     m = F.col("conv_id") % 3
     # the whole text, kept on one physical line (CR/LF become spaces)
-    bad = sys_turns.select(F.when(m == 0, F.concat(F.lit("{bad "), F.translate("text", "\r\n", "  ")))
+    bad = sys_turns.select("conv_id", F.when(m == 0, F.concat(F.lit("{bad "), F.translate("text", "\r\n", "  ")))
                            .when(m == 1, F.lit("")).otherwise(F.col("turn").cast("string")).alias("value"))
     return good.unionByName(bad)
 
 
 def _read_back(spark, d):
     path = scratch_dir(spark, "step-records-jsonl")
-    _jsonl_lines(spark, d).write.mode("overwrite").text(path)
+    _jsonl_lines(spark, d).select("value").write.mode("overwrite").text(path)
     schema = T.StructType([T.StructField("conv_id", T.LongType())] + SRC.STEP_RECORD_SCHEMA.fields)
     return SRC.read_step_jsonl(spark, path, schema)
 
@@ -76,6 +96,21 @@ def s2q(spark, d):
     return quarantine.select("reason", "head", "line")
 
 
+FIRST_N = 60  # max_samples of the S2 query
+
+
+@query("s2_first_n", with_views(["step_records_full"], f"select conv_id, image_url, instruction from step_records_full order by conv_id limit {FIRST_N}"))
+def s2_first(spark, d):
+    """The first 60 parsed records of JSONL files in file order (bad lines don't count); later files aren't read."""
+    path = scratch_dir(spark, "step-records-in-order")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = _jsonl_lines(spark, d).repartitionByRange(n, "conv_id", "value").sortWithinPartitions("conv_id", "value")
+    lines.select("value").write.mode("overwrite").text(path)
+    schema = T.StructType([T.StructField("conv_id", T.LongType())] + SRC.STEP_RECORD_SCHEMA.fields)
+    good, _ = FIRST.first_step_records(spark, path, FIRST_N, schema)
+    return good.select("conv_id", "image_url", "instruction")
+
+
 def _stage3_sql():
     from stepcorpus.plans import stage_queries  # noqa: F401  (registers stage3_samples)
     return REGISTRY["stage3_samples"].sql

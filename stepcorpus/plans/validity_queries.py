@@ -11,7 +11,7 @@ from stepcorpus.plans import stages as G
 from stepcorpus.plans import views as V
 from stepcorpus.plans.oracle_views import STAGE_IMAGE_ROOT, q, resolve_sql, with_views
 from stepcorpus.plans.registry import query, sql_join
-from stepcorpus.sources.tables import table
+from stepcorpus.sources.first_records import first_rows
 
 
 FIRST_N = 300  # max_samples for the F1 query
@@ -20,7 +20,7 @@ FIRST_N = 300  # max_samples for the F1 query
 @query("f1_first_n", f"select conv_id, turn, role, text from conversations order by conv_id, turn limit {FIRST_N}")
 def f1(spark, d):
     """The first 300 rows of the conversations file, in file order."""
-    return VA.first_n(table(spark, d, "conversations"), FIRST_N).select("conv_id", "turn", "role", "text")
+    return first_rows(spark, f"{d.rstrip('/')}/conversations.parquet", FIRST_N).select("conv_id", "turn", "role", "text")
 
 
 @query("f2_has_image_url", with_views(["step_records"], """

@@ -1,8 +1,8 @@
 """Conversation JSON arrays, step JSONL, images, image listings, sample sink.
 
-* JSON-array files are one document per file and cannot be split, so they
-  are read once with ``multiLine`` and converted to Parquet; JSONL is read as
-  text (splittable) and parsed per line.
+* JSON-array files are one document per file.  ``json_arrays`` reads large
+  ones by byte ranges; ``read_conversations`` is the plain reader, one task a
+  file.  JSONL is read as text (splittable) and parsed per line.
 * Bad JSONL lines go to a quarantine with their first 100 characters and a
   reason; the job goes on, as the training script does.
 * Images come from Spark's ``image`` source; its BGR(A)/gray buffers are
@@ -62,8 +62,9 @@ def write_conversations(df: DataFrame, path: str, key: str, rows_per_file: int =
 
 
 def conversations_to_parquet(spark: SparkSession, src: str, dst: str) -> None:
-    """Read the JSON arrays once and keep them as Parquet for every later job."""
-    read_conversations(spark, src).write.mode("overwrite").parquet(dst)
+    """Read the JSON arrays once, by byte ranges, and keep them as Parquet for every later job."""
+    from stepcorpus.sources.json_arrays import read_array_files
+    read_array_files(spark, src, CONVERSATION_SCHEMA).write.mode("overwrite").parquet(dst)
 
 
 # ------------------------------------------------------------------------ S2
