@@ -49,7 +49,7 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).withColumn("has_repeat", F.col("n_removed") > 0)
 
 
 def op10_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
