@@ -76,7 +76,7 @@ def _stage3_split(rows, split="train"):
     return B.exact_split(rows, "conv_id", S.STAGE3.val_fraction, S.STAGE3.seed).filter(F.col("split") == split)
 
 
-def _stage3_toks(spark, d):
+def stage3_tokens_written(spark, d):
     valid = G.stage3_valid(V.step_records_full(spark, d), V.manifest(spark, d), V.IMAGE_BASE)
     return materialize(G.stage3_tokens(valid))
 
@@ -85,14 +85,14 @@ def stage3_step_batches(spark, d):
     """The train batches' step lists without the ids: the split and batch
     assignment depend only on the set of keys and the seed, so they are the
     ones ``stage3_batches`` gives, without building a vocabulary or encoding."""
-    batches = B.assign_batches(_stage3_split(_stage3_toks(spark, d).select("conv_id", "steps")),
+    batches = B.assign_batches(_stage3_split(stage3_tokens_written(spark, d).select("conv_id", "steps")),
                                "conv_id", BATCH, EPOCHS, S.STAGE3.seed)
     return batches.withColumn("steps", F.coalesce(F.col("steps"), F.array().cast(batches.schema["steps"].dataType)))
 
 
 def stage3_batches(spark, d, split="train", epochs=EPOCHS):
     """Stage 3: valid records -> prompt tokens -> ids -> one split's batches, padded."""
-    toks = _stage3_toks(spark, d)
+    toks = stage3_tokens_written(spark, d)
     vocab = K.build_vocab(toks, "tokens")
     # Written: the ids and step lists only (no token strings; labels are a copy of the ids).
     enc = materialize(G.encode_stage(toks, vocab).select("conv_id", "ids", "steps"))

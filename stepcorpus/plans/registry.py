@@ -37,7 +37,7 @@ def sql_join(left: str, part: str) -> str:
 
 
 MODULES = ("prompt_queries", "token_queries", "step_queries", "validity_queries", "batch_queries",
-           "feature_queries", "scoring_queries", "stage_queries", "source_queries")
+           "feature_queries", "scoring_queries", "stage_queries", "source_queries", "image_queries")
 
 
 def load_all() -> dict[str, Query]:

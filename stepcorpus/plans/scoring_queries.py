@@ -6,12 +6,17 @@ from pyspark.sql import functions as F
 
 from stepcorpus import settings as S
 from stepcorpus.functions import text as T
+from stepcorpus.functions.arrays import explode_rows
 from stepcorpus.operators import batches as B
 from stepcorpus.operators import features as J
 from stepcorpus.operators import scoring as M
+from stepcorpus.operators import tokens as K
+from stepcorpus.plans import stages as G
 from stepcorpus.plans import views as V
+from stepcorpus.plans.batch_queries import stage3_tokens_written
 from stepcorpus.plans.oracle_views import TOKEN_RE, q, with_views
 from stepcorpus.plans.registry import query
+from stepcorpus.session import materialize
 from stepcorpus.sources.tables import table
 
 
@@ -29,12 +34,34 @@ def _head():
             J.rule_matrix(2, DIM, *r["w_cls"]), J.rule_vector(2, *r["b_cls"]))
 
 
-@query("m1_score_steps")
+def _rule_sql(fn: str, rule: tuple[float, float], place: str) -> str:
+    return f"{rule[0]} * {fn}({rule[1]} * ({place}))"
+
+
+def _head_sql(source: str) -> list[tuple[str, str]]:
+    """The head's logits (``head``: vec_id, l0, l1) of ``source`` (vec_id, embedding); erf by its series
+    2 / sqrt(pi) * exp(-t^2) * sum of 2^n t^(2n+1) / (2n+1)!!, whose terms have one sign."""
+    coefficients = [1.0]
+    for n in range(1, 60):
+        coefficients.append(coefficients[-1] * 2 / (2 * n + 1))
+    erf = f"2 / sqrt(pi()) * exp(-t * t) * list_sum(list_transform({coefficients}, lambda c, n: c * pow(t, 2 * n - 1)))"
+    return [("dense", f"""
+select vec_id, h, sum(x * ({_rule_sql('sin', HEAD_RULES['w_dense'], f'h * {DIM} + i')})) + {_rule_sql('cos', HEAD_RULES['b_dense'], 'h')} as z
+from (select vec_id, unnest(range({DIM})) as i, unnest(embedding)::double as x from {source}), (select unnest(range({DIM})) as h) group by vec_id, h"""),
+            ("gelu", f"select vec_id, h, 0.5 * z * (1 + {erf}) as g from (select *, z / sqrt(2) as t from dense)"),
+            ("normed", "select vec_id, h, (g - avg(g) over w) / sqrt(var_pop(g) over w + 1e-5) as y from gelu window w as (partition by vec_id)"),
+            ("head", "select vec_id, " + ", ".join(f"sum(y * ({_rule_sql('sin', HEAD_RULES['w_cls'], f'{k} * {DIM} + h')})) + {_rule_sql('cos', HEAD_RULES['b_cls'], str(k))} as l{k}" for k in (0, 1))
+             + " from normed group by vec_id")]
+
+
+@query("m1_score_steps", with_views(["step_features"], """
+select vec_id, label, round(l0, 6) as logit_0, round(l1, 6) as logit_1, round(1 / (1 + exp(l0 - l1)), 6) as p_correct
+from head join step_features using (vec_id)""", _head_sql("step_features")))
 def m1(spark, d):
     """Step features through dense -> GELU -> LayerNorm -> 2 logits (NumPy per Arrow batch)."""
     f = V.step_features(spark, d)
     out = M.score_steps(f, "embedding", *_head())
-    return out.select("vec_id", "label", "logit_0", "logit_1", "p_correct")
+    return out.select("vec_id", "label", *(F.round(c, 6).alias(c) for c in ("logit_0", "logit_1", "p_correct")))
 
 
 @query("m2_fit_step_verifier")
@@ -47,6 +74,20 @@ def m2(spark, d):
                        F.get(vector_to_array(F.col("probability")), 1).alias("p_correct"))
 
 
+RIDGE = 0.01  # of the certified fit: with it the optimum exists on separable data too
+
+
+@query("m2_optimality", with_views(["step_features"], f"""
+select feature::integer as feature, 0.0::double as gradient, 1 as is_curved, n, n_pos
+from (select count(*) as n, sum(label)::bigint as n_pos from step_features), (select unnest(range({DIM + 1})) as feature)"""))
+def m2_optimality(spark, d):
+    """The certificate of a regularized fit: every parameter's gradient, 0 to four places, and positive curvature."""
+    f = materialize(V.step_features(spark, d).select("embedding", "label"), "step-features")
+    model, _ = M.fit_step_verifier(f, "embedding", "label", max_iter=500, reg=RIDGE, standardization=False, tol=1e-12)
+    c = M.optimality(f, "embedding", "label", model.coefficients.toArray(), float(model.intercept), RIDGE)
+    return c.select("feature", (F.round("gradient", 4) + F.lit(0.0)).alias("gradient"), (F.col("curvature") > 0).cast("int").alias("is_curved"), "n", "n_pos")
+
+
 def _gen(spark, d):
     labels = table(spark, d, "embeddings").select(
         F.col("vec_id").alias("grp"), F.col("label").cast("bigint").alias("label"),
@@ -109,6 +150,32 @@ def m4(spark, d):
     return _ver(spark, d).select("batch_id", "n_steps", F.round("ver_loss", 6).alias("ver_loss"))
 
 
+@query("m4_ragged_batches", with_views(["stage3_batches", "stage3_ids", "stage3_steps"], f"""
+select b.epoch, b.batch_id, count(*) as n_samples, count(s.n) as n_with_steps, coalesce(sum(s.n), 0)::bigint as n_steps,
+  (sum(s.n) is not null)::integer as has_loss, round(coalesce(sum(s.s) / sum(s.n), 0.0), 6) as ver_loss, round(coalesce(avg(s.s / s.n), 0.0), 6) as sample_mean
+from stage3_batches b left join (
+  select t.conv_id, count(*) as n, sum(greatest(l0, l1) + ln(exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) - case when t.label = 1 then l1 else l0 end) as s
+  from stage3_steps t join stage3_ids i on i.conv_id = t.conv_id and i.pos = t.token_idx
+  join head h on h.vec_id = case when i.token_id in (select vec_id from embeddings) then i.token_id else -1 end group by t.conv_id) s using (conv_id)
+group by b.epoch, b.batch_id""", [("codes", f"select vec_id, embedding from embeddings union all select -1, list_transform(range({DIM}), lambda x: 0.0)"), *_head_sql("codes")]))
+def m4_ragged(spark, d):
+    """Stage-3 train batches: the ids at every sample's step positions gathered in the row, their vectors through the
+    verification head (a token without one has zeros), one loss a batch over all of its 0 to many steps."""
+    toks = stage3_tokens_written(spark, d)
+    enc = G.encode_stage(toks, K.build_vocab(toks, "tokens"))
+    at = F.transform("steps", lambda s: F.struct(F.get(F.col("ids"), s["token_idx"]).alias("token_id"), s["label"].alias("label")))
+    split = B.exact_split(enc.select("conv_id", at.alias("at")), "conv_id", S.STAGE3.val_fraction, S.STAGE3.seed).filter(F.col("split") == "train")
+    rows = materialize(B.assign_batches(split, "conv_id", S.STAGE3.batch_size, S.STAGE3.epochs, S.STAGE3.seed).select("epoch", "batch_id", "conv_id", "at"), "ragged")
+    steps = explode_rows(rows, "at", ["epoch", "batch_id", "conv_id"], value="s").select("epoch", "batch_id", "conv_id", "s.token_id", "s.label")
+    steps = steps.filter(F.col("token_id").isNotNull())  # a position beyond the sample has no state
+    found = J.lookup_embeddings(steps, table(spark, d, "embeddings"))
+    states = found.withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0).cast("float"), DIM)))
+    scored = M.score_steps(states.select("epoch", "batch_id", "conv_id", "label", "vector"), "vector", *_head())
+    out = M.ragged_verification_nll(rows, scored, ["epoch", "batch_id"], "conv_id", "logit_0", "logit_1", "label")
+    zero = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)), 6).alias(c)
+    return out.select("epoch", "batch_id", "n_samples", "n_with_steps", "n_steps", F.col("ver_loss").isNotNull().cast("int").alias("has_loss"), zero("ver_loss"), zero("sample_mean"))
+
+
 _ASSIGN_SQL = ("assigned", f"""
 select vec_id, cast((row_number() over (order by md5('{SEED}:0:' || vec_id), vec_id) - 1) // {S.STAGE3.batch_size} as bigint) as batch_id
 from step_features""")

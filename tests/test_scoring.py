@@ -122,3 +122,41 @@ def test_top_k_temperatures(spark):
         e = np.exp(np.array([2.0, 1.0, 0.5]) / temp)
         assert set(got) == {0, 1, 2}
         assert [got[i] for i in range(3)] == pytest.approx(list(e / e.sum()), rel=1e-12)
+
+
+def test_erf_of_whole_arrays():
+    import math
+    x = np.concatenate([np.linspace(-7, 7, 40_001), [0.0, -0.0, 1e-300, 5.9999, 6.0, 30.0, np.inf, -np.inf]])
+    want = np.array([math.erf(v) for v in x])
+    assert np.abs(M.erf_of(x) - want).max() < 1e-15
+    assert np.isnan(M.erf_of(np.array([np.nan]))).all()
+
+
+def test_optimality_certificate(spark):
+    rng = np.random.default_rng(5)
+    x, true = rng.normal(size=(400, 4)), np.array([1.0, -2.0, 0.5, 0.0])
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ true + 0.3)))).astype(int)
+    df = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y)], "f array<double>, y int").repartition(5)
+    for reg in (0.0, 0.05):
+        model, _ = M.fit_step_verifier(df, "f", "y", max_iter=300, reg=reg, standardization=False, tol=1e-12)
+        w, b = model.coefficients.toArray(), float(model.intercept)
+        got = M.optimality(df, "f", "y", w, b, reg).orderBy("feature").collect()
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + reg / 2 * w @ w
+        curve = np.append((p * (1 - p)) @ (x * x) / 400 + reg, (p * (1 - p)).mean())
+        assert max(abs(r.gradient) for r in got) < 1e-5
+        assert np.allclose([r.curvature for r in got], curve) and np.allclose([r.loss for r in got], loss)
+        assert {(r.n, r.n_pos) for r in got} == {(400, int(y.sum()))}
+        off = M.optimality(df, "f", "y", w + np.array([0.1, 0, 0, 0]), b, reg).orderBy("feature").collect()
+        assert abs(off[0].gradient) > 1e-3 and off[0].loss > got[0].loss
+
+
+def test_ragged_loss_is_by_step_not_by_sample(spark):
+    samples = spark.createDataFrame([(0, "a"), (0, "b"), (0, "c"), (1, "d")], "batch long, s string")
+    rows = [(0, "a", 1.0, 0.0, 1), (0, "a", 0.0, 2.0, 1), (0, "a", 0.5, 0.5, 0), (0, "b", -1.0, 1.0, 0)]
+    got = {r.batch: r for r in M.ragged_verification_nll(samples, spark.createDataFrame(rows, "batch long, s string, l0 double, l1 double, y int"), ["batch"], "s", "l0", "l1", "y").collect()}
+    nll = [float(np.logaddexp(l0, l1) - (l1 if y else l0)) for _, _, l0, l1, y in rows]
+    assert (got[0].n_samples, got[0].n_with_steps, got[0].n_steps) == (3, 2, 4)
+    assert abs(got[0].ver_loss - np.mean(nll)) < 1e-12 and abs(got[0].sample_mean - np.mean([np.mean(nll[:3]), nll[3]])) < 1e-12
+    assert abs(got[0].ver_loss - got[0].sample_mean) > 0.1
+    assert (got[1].n_samples, got[1].n_steps, got[1].ver_loss) == (1, 0, None)

@@ -94,3 +94,28 @@ def test_write_samples_roundtrip(spark, tmpdir_path):
     SRC.write_samples(df, f"{tmpdir_path}/s")
     assert sorted(r.k for r in SRC.read_samples(spark, f"{tmpdir_path}/s", "train").collect()) == [1]
     assert os.path.isdir(f"{tmpdir_path}/s/split=validation")
+
+
+def test_files_from_rows(spark, tmpdir_path):
+    from stepcorpus.sources import binary_files as BIN
+    rows = [(f"a/{i % 3}/{i}.bin", bytes([i] * i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "name string, data binary").repartition(4)
+    for _ in range(2):  # again: the same files
+        listed = BIN.write_files(df, f"{tmpdir_path}/out", "name", "data")
+        assert sorted((r["name"], r.length) for r in listed.collect()) == sorted((n, len(d)) for n, d in rows)
+    man = {r.path.removeprefix(f"{tmpdir_path}/out/"): r.length for r in SRC.image_manifest(spark, f"{tmpdir_path}/out").collect()}
+    assert man == {n: len(d) for n, d in rows}
+    assert all(open(f"{tmpdir_path}/out/{n}", "rb").read() == d for n, d in rows)
+    import pytest
+    for bad in ("/abs", "../up", None):
+        with pytest.raises(Exception, match="no file can be written"):
+            BIN.write_files(spark.createDataFrame([(bad, b"x")], "name string, data binary"), f"{tmpdir_path}/bad", "name", "data")
+
+
+def test_made_images_are_read(spark, tmpdir_path):
+    from stepcorpus.sources import binary_files as BIN
+    kinds = {"g": (2, 2, 1), "ga": (2, 1, 2), "rgb": (1, 2, 3), "rgba": (1, 1, 4)}
+    rows = [(f"{n}.png", BIN.png(w, h, c, bytes(range(10, 10 + w * h * c)))) for n, (w, h, c) in kinds.items()]
+    BIN.write_files(spark.createDataFrame(rows, "name string, data binary"), tmpdir_path, "name", "data")
+    got = {os.path.basename(r.path): (r.height, r.width, list(r.rgb)) for r in SRC.read_images(spark, tmpdir_path).collect()}
+    assert got == {"g.png": (2, 2, [v for p in range(10, 14) for v in [p] * 3]), "ga.png": (1, 2, [10, 10, 10, 12, 12, 12]), "rgb.png": (2, 1, [10, 11, 12, 13, 14, 15]), "rgba.png": (1, 1, [10, 11, 12])}
