@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepcorpus.functions.arrays import explode_rows
@@ -61,6 +61,27 @@ def scatter_features(pads: DataFrame, features: DataFrame, key: str, feat_key: s
     return pads.join(f, [key, "k"], "left")
 
 
+def scatter_features_in_batch(pads: DataFrame, features: DataFrame, samples: DataFrame, key: str, batch: str, slot: str,
+                              feat_key: str = "image_id", feat_idx: str = "patch_idx") -> DataFrame:
+    """J2 as the model does it: the features of all images of a batch, in the order of the slots, fill the pads of the
+    batch in their order, so pad n of the **batch** takes feature n even where a sample has more or fewer pads
+    than its image has features.  ``samples`` (key, batch, slot) places every sample; ``pads`` are (key, k, pos).
+    Adds ``n``, the batch-wide number of the pad, and the feature's ``feat_key`` and columns (null without one).
+
+    Per sample only its two counts are summed over the batch (at most a batch of rows); pads and features take
+    their sample's start and meet on (batch, n)."""
+    counts = (samples.select(key, batch, slot).join(pads.groupBy(key).agg(F.count(F.lit(1)).alias("_pads")), key, "left")
+              .join(features.groupBy(F.col(feat_key).alias(key)).agg(F.count(F.lit(1)).alias("_features")), key, "left"))
+    before = Window.partitionBy(batch).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)  # a row a sample of one batch
+    start = lambda c: F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))).over(before), F.lit(0))
+    starts = counts.select(key, batch, start("_pads").alias("_pad0"), start("_features").alias("_feature0"))
+    numbered = pads.join(starts, key).withColumn("n", F.col("_pad0") + F.col("k")).drop("_pad0", "_feature0")
+    own = Window.partitionBy(feat_key).orderBy(feat_idx)  # the patches of one image, as many as the encoder gives
+    f = (features.withColumn("_k", F.row_number().over(own) - 1).join(starts.withColumnRenamed(key, feat_key), feat_key)
+         .withColumn("n", F.col("_feature0") + F.col("_k")).drop("_k", "_pad0", "_feature0"))
+    return numbered.join(f, [batch, "n"], "left")
+
+
 def first_pad(tokens: Column, pad: Column) -> Column:
     """J3 (part 1): the first pad position of a row's tokens, -1 without one."""
     return F.coalesce(F.array_position(tokens, pad) - 1, F.lit(-1))

@@ -209,6 +209,15 @@ def sample_categorical(probs: DataFrame, grp: str, seed: int, item: str = "item"
                                          F.max(F.when(F.col(prob) > 0, F.col(item)))).alias(item))
 
 
+def race_categorical(probs: DataFrame, grp: str, seed: int, item: str = "item", prob: str = "prob") -> DataFrame:
+    """M8 in one partial aggregate: every item runs to ``-ln(u) / p`` with its own seeded uniform u, and the first one
+    home is drawn with probability p (an exponential race).  No order within the group is needed, so a group of
+    any size is reduced in the tasks that hold it.  Items without probability don't run; equal times go to the
+    smallest item."""
+    time = -F.log(seeded_uniform(seed, grp, item)) / F.col(prob)
+    return probs.filter(F.col(prob) > 0).groupBy(grp).agg(F.min(F.struct(time.alias("t"), F.col(item).alias("i")))["i"].alias(item))
+
+
 def truncate_at_stop(tokens: Column, eos: Column, max_new: int) -> Column:
     """M9: generated tokens up to (not including) the first EOS, at most
     ``max_new - 1`` of them."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepcorpus import settings as S
+from stepcorpus.functions import text as T
 from stepcorpus.functions.arrays import explode_rows
 from stepcorpus.operators import features as J
 from stepcorpus.operators import tokens as K
@@ -75,6 +76,41 @@ def j2(spark, d):
                       F.round(F.coalesce(J.vec_sum(F.col("embedding")), F.lit(0.0)), 6).alias("v_sum"))
 
 
+RAGGED_PADS, RAGGED_PATCHES = (3, 4), (5, 11)  # pads: 3 + conv_id % 4; patches: 5 an image without every 11th vector
+
+
+def _ragged(spark, d):
+    """``(samples, pads, patches)`` with other numbers of pads than of patches in a sample."""
+    from stepcorpus.operators import batches as B
+    n = (F.lit(RAGGED_PADS[0]) + F.col("conv_id") % RAGGED_PADS[1]).cast("int")
+    text = F.concat(F.lit(f"{S.IM_START}user\n"), F.repeat(F.lit(S.IMAGE_PAD), n), F.lit("\n"), F.col("q"))
+    rows = V.answered_pairs(spark, d).select(F.col("conv_id").alias("sample_id"), T.tokenize(text).alias("toks"))
+    samples = B.batch_assignment(rows.select("sample_id"), "sample_id", S.STAGE1.batch_size, 1, 42)
+    e = table(spark, d, "embeddings").filter(F.col("vec_id") % RAGGED_PATCHES[1] != 0)
+    patches = e.select(F.floor(F.col("vec_id") / RAGGED_PATCHES[0]).cast("bigint").alias("image_id"), (F.col("vec_id") % RAGGED_PATCHES[0]).cast("int").alias("patch_idx"), "embedding")
+    return samples, J.pad_ordinals(rows, "sample_id", "toks", F.lit(S.IMAGE_PAD)), patches
+
+
+_SIZE = S.STAGE1.batch_size
+
+
+@query("j2_scatter_batch", with_views(["answered_pairs"], f"""
+, placed as (select conv_id, cast((rk - 1) // {_SIZE} as bigint) as batch_id, rk from (select conv_id, row_number() over (order by md5('42:0:' || conv_id), conv_id) as rk from answered_pairs)),
+pads as (select p.batch_id, p.conv_id, t.pos, row_number() over (partition by p.batch_id order by p.rk, t.pos) - 1 as n
+  from placed p join (select conv_id, unnest(range(len(toks))) as pos, unnest(toks) as tok from (
+    select conv_id, regexp_extract_all({sql_text(f"{S.IM_START}user{chr(10)}")} || repeat({q(S.IMAGE_PAD)}, ({RAGGED_PADS[0]} + conv_id % {RAGGED_PADS[1]})::bigint) || chr(10) || q, {TOKEN_RE}, 0) as toks
+    from answered_pairs)) t using (conv_id) where t.tok = {q(S.IMAGE_PAD)}),
+feats as (select p.batch_id, e.vec_id, row_number() over (partition by p.batch_id order by p.rk, e.vec_id) - 1 as n
+  from placed p join embeddings e on e.vec_id // {RAGGED_PATCHES[0]} = p.conv_id where e.vec_id % {RAGGED_PATCHES[1]} <> 0)
+select pads.batch_id, pads.conv_id as sample_id, pads.pos::integer as pos, n, coalesce(vec_id // {RAGGED_PATCHES[0]}, -1) as image_id, coalesce(vec_id % {RAGGED_PATCHES[0]}, -1)::integer as patch_idx
+from pads left join feats using (batch_id, n)"""))
+def j2_batch(spark, d):
+    """Pads and patches numbered over whole batches of 16: a sample's surplus goes to the next sample's pads."""
+    samples, pads, patches = _ragged(spark, d)
+    out = J.scatter_features_in_batch(pads, patches, samples, "sample_id", "batch_id", "slot")
+    return out.select("batch_id", "sample_id", "pos", F.col("n").cast("bigint").alias("n"), F.coalesce("image_id", F.lit(-1).cast("bigint")).alias("image_id"), F.coalesce("patch_idx", F.lit(-1)).alias("patch_idx"))
+
+
 _POOLED = ("pooled", """
 select f.image_id,
   list_concat(list_concat(list_transform(f.embedding, lambda x: cast(x as double)), a.avg_d), a.max_d) as pooled

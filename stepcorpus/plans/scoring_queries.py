@@ -250,6 +250,14 @@ def m8(spark, d):
     return M.sample_categorical(p, "grp", SEED)
 
 
+@query("m8_race_sample", with_views(["scores"], f"""
+select grp, min_by(item, [case when u = 0 then 'infinity'::double else -ln(u) / prob end, item]) as item
+from (select grp, item, prob, cast(('0x' || substr(md5('{SEED}:' || grp || ':' || item), 1, 13)) as bigint) / {float(16 ** 13)!r} as u from topk) where prob > 0 group by grp""", [_TOPK_SQL]))
+def m8_race(spark, d):
+    """One item drawn per group from the top-k distribution by an exponential race: a partial aggregate."""
+    return M.race_categorical(M.top_k_softmax(V.scores(spark, d), "grp", TOP_K, TEMPERATURE), "grp", SEED)
+
+
 @query("m9_truncate_at_stop", with_views(["answered_pairs"], f"""
 select conv_id, cast(len(kept) as bigint) as n_kept, array_to_string(kept, '') as text_kept from (
   select conv_id, list_slice(toks, 1, least(coalesce(nullif(list_position(toks, {q(S.EOS_TOKEN)}), 0) - 1, len(toks)),

@@ -34,14 +34,17 @@ def stage1_samples(spark, d):
     return G.stage1_labels(enc, "ids", pad_id())
 
 
-@query("stage1_samples", with_views(["stage1_tokens"], """
+_STAGE1_LONG = """
 select l.conv_id, l.pos, v.token_id as input_id,
   case when l.pos + 1 < l.n_prompt then 0 else v2.token_id end as label
 from (select conv_id, n_prompt, unnest(range(len(tokens) - 1)) as pos,
         unnest(list_slice(tokens, 1, len(tokens) - 1)) as tok, unnest(list_slice(tokens, 2, len(tokens))) as next_tok
       from stage1_tokens) l
-join vocab v on v.token = l.tok join vocab v2 on v2.token = l.next_tok""",
-                                      [("vocab", vocab_sql("select unnest(tokens) as token from stage1_tokens"))]))
+join vocab v on v.token = l.tok join vocab v2 on v2.token = l.next_tok"""
+_STAGE1_VOCAB = ("vocab", vocab_sql("select unnest(tokens) as token from stage1_tokens"))
+
+
+@query("stage1_samples", with_views(["stage1_tokens"], _STAGE1_LONG, [_STAGE1_VOCAB]))
 def q_stage1(spark, d):
     """Stage-1 (pretraining) samples: ids and prefix-masked, shifted labels."""
     return _long(stage1_samples(spark, d), "conv_id")
@@ -55,15 +58,54 @@ def stage2_samples(spark, d, sf_conv=None):
     return G.stage2_labels(enc, "ids", pad_id())
 
 
-@query("stage2_samples", with_views(["stage2_long", "stage2_full"], """
+_STAGE2_LONG = """
 select l.conv_id, l.pos, v.token_id as input_id, v2.token_id as label
-from stage2_long l join vocab v on v.token = l.input_tok join vocab v2 on v2.token = l.label_tok""",
-                                      [("vocab", vocab_sql("select tok as token from stage2_full"))]))
+from stage2_long l join vocab v on v.token = l.input_tok join vocab v2 on v2.token = l.label_tok"""
+_STAGE2_VOCAB = ("vocab", vocab_sql("select tok as token from stage2_full"))
+
+
+@query("stage2_samples", with_views(["stage2_long", "stage2_full"], _STAGE2_LONG, [_STAGE2_VOCAB]))
 def q_stage2(spark, d):
     """Stage-2 (fine-tuning) samples: ids and assistant-span labels, shifted."""
     return _long(stage2_samples(spark, d), "conv_id")
 
 
+def id_batches(samples, stage):
+    """B3 on a stage's samples: ids and labels in batches of the stage's size, padded with the pad id to the longest
+    of the batch.  The lengths travel with the narrow assignment, so the arrays meet it in one join."""
+    written = materialize(samples.select("conv_id", "input", "labels"), "samples")
+    batches = B.assign_batches(written, "conv_id", stage.batch_size, 1, S.STAGE3.seed, length_of="input")
+    return B.pad_to_batch_max(batches, {"input": pad_id(), "labels": pad_id()}, "input", max_len="max_len")
+
+
+def _batch_long(batches):
+    z = F.arrays_zip(F.col("input").alias("i"), F.col("labels").alias("l"))
+    return (explode_rows(batches, z, ["batch_id", "slot", "conv_id"], "pos", "z")
+            .select("batch_id", "slot", "conv_id", F.col("pos").cast("bigint").alias("pos"), F.col("z.i").alias("input_id"), F.col("z.l").alias("label")))
+
+
+def _batch_sql(stage) -> str:
+    return f"""
+select p.batch_id, p.slot, p.conv_id, p.pos, coalesce(s.input_id, 0) as input_id, coalesce(s.label, 0) as label
+from (select batch_id, slot, conv_id, unnest(range(max_len)) as pos from (
+  select conv_id, cast((rk - 1) // {stage.batch_size} as bigint) as batch_id, cast((rk - 1) % {stage.batch_size} as integer) as slot,
+    max(n) over (partition by (rk - 1) // {stage.batch_size}) as max_len
+  from (select conv_id, count(*) as n, row_number() over (order by md5('{S.STAGE3.seed}:0:' || conv_id), conv_id) as rk from samples group by conv_id))) p
+left join samples s on s.conv_id = p.conv_id and s.pos = p.pos"""
+
+
+@query("b3_stage1_batches", with_views(["stage1_tokens"], _batch_sql(S.STAGE1), [_STAGE1_VOCAB, ("samples", _STAGE1_LONG)]))
+def q_stage1_batches(spark, d):
+    """Stage-1 samples as padded id batches of 16."""
+    return _batch_long(id_batches(stage1_samples(spark, d), S.STAGE1))
+
+
+@query("b3_stage2_batches", with_views(["stage2_long", "stage2_full"], _batch_sql(S.STAGE2), [_STAGE2_VOCAB, ("samples", _STAGE2_LONG)]))
+def q_stage2_batches(spark, d):
+    """Stage-2 samples as padded id batches of 4."""
+    return _batch_long(id_batches(stage2_samples(spark, d), S.STAGE2))
+
+
 def stage2_summary(spark, d):
     """Per conversation: fallback flag, input length and supervised positions."""
     s = stage2_samples(spark, d)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stepcorpus import settings as S
 from stepcorpus.functions import text as T
 from stepcorpus.functions.arrays import explode_rows
+from stepcorpus.operators import subwords as W
 from stepcorpus.operators import tokens as K
 from stepcorpus.plans import stages as G
 from stepcorpus.plans import views as V
@@ -124,3 +125,27 @@ def t6(spark, d):
     lab = K.span_mask_labels(F.col("toks"), spans, F.lit(S.PAD_TOKEN))
     return (explode_rows(arr, lab, ["sample_id"], "pos", "label_tok")
             .select("sample_id", F.col("pos").cast("bigint").alias("pos"), "label_tok"))
+
+
+def subword_ranks():
+    """The public byte-level vocabulary of the sub-word queries."""
+    import public_tokenizers
+    return W.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def _subword_ids(spark, d):
+    ranks = subword_ranks()
+    arr = materialize(V.token_arrays(spark, d), "token-arrays")
+    types = W.subword_types(arr, "toks", ranks)
+    return ranks, W.encode_subwords(arr, "toks", types, ranks, "sample_id", "ids")
+
+
+@query("t1_subword_round_trip", with_views(["token_arrays"], f"""
+select sample_id, array_to_string(toks, '') as text, len(list_filter(toks, lambda t: t = {q(S.IMAGE_PAD)})) as n_pads from token_arrays"""))
+def t1_subwords(spark, d):
+    """Samples as sub-word ids of a public vocabulary, and back: the text byte for byte, the pads one id each."""
+    ranks, enc = _subword_ids(spark, d)
+    ids = materialize(enc.select("sample_id", "ids"), "subword-ids")
+    pad = W.special_pieces(ranks)[S.IMAGE_PAD][0]
+    out = W.decode_subwords(ids, "ids", ranks, "sample_id")
+    return out.select("sample_id", "text", F.size(F.filter("ids", lambda i: i == F.lit(pad))).cast("bigint").alias("n_pads"))

@@ -98,7 +98,7 @@ def test_write_samples_roundtrip(spark, tmpdir_path):
 
 def test_files_from_rows(spark, tmpdir_path):
     from stepcorpus.sources import binary_files as BIN
-    rows = [(f"a/{i % 3}/{i}.bin", bytes([i] * i)) for i in range(40)]
+    rows = [(f"a/{i % 3}/{i}.bin", bytes([i] * (i + 1))) for i in range(40)]  # Spark lists no empty files
     df = spark.createDataFrame(rows, "name string, data binary").repartition(4)
     for _ in range(2):  # again: the same files
         listed = BIN.write_files(df, f"{tmpdir_path}/out", "name", "data")
