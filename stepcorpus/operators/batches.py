@@ -9,10 +9,12 @@ partitioned by batch, which holds at most ``batch_size`` rows).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepcorpus.functions.ranking import seeded_key, with_global_rank
+from stepcorpus.functions.ranking import seeded_key, with_global_rank, with_running_sum
 from stepcorpus.operators.tokens import attention_mask
 
 
@@ -105,3 +107,80 @@ def schedule(batches: DataFrame, accum: int, log_steps: int, save_steps: int, ev
                 F.count(F.lit(1)).alias("n_rows"), F.sum(tokens).alias("n_tokens")))
     flag = lambda every: (F.col("global_step") % F.lit(every) == 0).cast("int") if every else F.lit(0)
     return agg.withColumns({"is_log": flag(log_steps), "is_save": flag(save_steps), "is_eval": flag(eval_steps)})
+
+
+# ------------------------------------------------------- B2 by a permutation
+
+ROUNDS = 6  # of the keyed bijection
+WALK = 16  # applications at most
+_M31 = 2 ** 31
+
+
+def round_keys(seed: int, epoch: int) -> list[tuple[int, int]]:
+    """An addend and an odd factor, 28 bits each, for every round."""
+    digests = [hashlib.md5(f"{seed}:{epoch}:{r}".encode()).hexdigest() for r in range(ROUNDS)]
+    return [(int(h[:7], 16), int(h[7:14], 16) | 1) for h in digests]
+
+
+def _scrambled(half: Column, add: Column, factor: Column) -> Column:
+    x = ((half + add) % _M31 * factor) % _M31
+    x = x.bitwiseXOR(F.shiftright(x, 15)) * factor % _M31
+    return x.bitwiseXOR(F.shiftright(x, 13))
+
+
+def permuted(place: Column, n: Column, epoch: Column, epochs: int, seed: int, back: bool = False) -> Column:
+    """A keyed bijection of [0, n), one for each epoch in [0, epochs): where ``place`` (a long) goes, or with ``back``
+    where it came from.  It is computed in the row, so an epoch's order needs no sort.
+
+    The place is written as (l, r) in an a x b rectangle, a = ceil(sqrt n), b = ceil(n / a); each round adds a
+    hash of one part to the other, modulo its side, which can be undone.  A place outside [0, n), one of
+    fewer than a, is sent on (a cycle walk) until it lies inside: with n places of a x b that is rarely more than
+    once, and an error after ``WALK`` times."""
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = F.ceil(n.cast("double") / a).cast("long")
+    keys = F.get(F.array(*[F.array(*[F.struct(F.lit(r).cast("long").alias("odd"), F.lit(x).cast("long").alias("add"), F.lit(f).cast("long").alias("factor"))
+                                     for r, (x, f) in (list(enumerate(round_keys(seed, e)))[::-1] if back else enumerate(round_keys(seed, e)))]) for e in range(epochs)]), epoch.cast("int"))
+    sign = -1 if back else 1
+
+    def one_round(s: Column, k: Column) -> Column:
+        odd = k["odd"] % 2 == 1
+        step = _scrambled(F.when(odd, s["l"]).otherwise(s["r"]), k["add"], k["factor"]) * sign
+        return F.struct(F.when(odd, s["l"]).otherwise(F.pmod(s["l"] + step, a)).alias("l"), F.when(odd, F.pmod(s["r"] + step, b)).otherwise(s["r"]).alias("r"))
+
+    def once(x: Column) -> Column:
+        start = F.struct(F.floor(x / b).cast("long").alias("l"), (x % b).alias("r"))
+        return F.aggregate(keys, start, one_round, lambda s: s["l"] * b + s["r"])
+
+    walked = F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), place.cast("long"), lambda x, i: F.when((i > 0) & (x < n), x).otherwise(once(x)))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("the walk did not end")))
+
+
+def permuted_batches(df: DataFrame, key: str, batch_size: int, epochs: int = 1, seed: int = 42) -> DataFrame:
+    """B2 without a sort an epoch: ``key, epoch, batch_id, slot``.  Keys are ranked once; each epoch's order is the keyed
+    bijection of the ranks.  ``batch_ranks`` gives the ranks of any batch without the others, for a resumed run."""
+    ranked = with_global_rank(df.select(key), [F.col(key)], "_rank", total_col="_n")
+    each = ranked.select(key, (F.col("_rank") - 1).cast("long").alias("_rank"), F.col("_n").cast("long").alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))).alias("epoch"))
+    place = each.withColumn("_place", permuted(F.col("_rank"), F.col("_n"), F.col("epoch"), epochs, seed))
+    return place.select(key, "epoch", F.floor(F.col("_place") / batch_size).cast("long").alias("batch_id"), (F.col("_place") % batch_size).cast("int").alias("slot"))
+
+
+def batch_ranks(spark: SparkSession, n: int, epoch: int, batch_id: int, batch_size: int, seed: int = 42) -> DataFrame:
+    """``slot, rank`` (from 0, in the order of the keys) of one batch of ``permuted_batches`` over n keys."""
+    first = batch_id * batch_size
+    places = spark.range(first, max(first, min(n, first + batch_size)))
+    rank = permuted(F.col("id"), F.lit(n).cast("long"), F.lit(epoch), epoch + 1, seed, back=True)
+    return places.select((F.col("id") % batch_size).cast("int").alias("slot"), rank.alias("rank"))
+
+
+# ------------------------------------------------------- S5 by token counts
+
+def token_shards(df: DataFrame, key: str, n_tokens: str, shard_tokens: int, seed: int = 42) -> DataFrame:
+    """``key, shard, before``: samples in a seeded order cut into total // ``shard_tokens`` shards (at least one) of equal
+    token counts; a sample belongs to the shard in which its first token falls, so a shard's count differs from
+    the mean by less than its longest sample.  ``before`` is the number of tokens before it.  A running sum over
+    range partitions finds the bounds; nulls count as no tokens."""
+    narrow = df.select(key, F.coalesce(F.col(n_tokens), F.lit(0)).cast("long").alias("_t")).withColumn("_h", seeded_key(seed, key))
+    placed = with_running_sum(narrow, [F.col("_h"), F.col(key)], "_t", "before", "_total")
+    shards = F.greatest(F.floor(F.col("_total") / shard_tokens), F.lit(1))
+    shard = F.floor(F.col("before").cast("double") * shards / F.greatest(F.col("_total"), F.lit(1)))
+    return placed.select(key, F.least(shard, shards - 1).cast("long").alias("shard"), F.col("before").cast("long").alias("before"))

@@ -42,6 +42,30 @@ def b2(spark, d):
     return B.assign_batches(docs, "doc_id", BATCH, EPOCHS, S.STAGE3.seed).select("doc_id", "epoch", "batch_id", "slot")
 
 
+def _scrambled_sql(half: str) -> str:
+    x = f"((({half}) + k[2]) % {2 ** 31} * k[3]) % {2 ** 31}"
+    y = f"(xor({x}, ({x}) >> 15) * k[3] % {2 ** 31})"
+    return f"xor({y}, {y} >> 13)"
+
+
+def _permuted_sql(x: str, epoch: int) -> str:
+    """One application of the bijection to ``x`` in a table with the sides a and b."""
+    keys = ", ".join(f"[{r}, {add}, {factor}]" for r, (add, factor) in enumerate(B.round_keys(S.STAGE3.seed, epoch)))
+    return (f"list_transform([list_reduce([[({x}) // b, ({x}) % b, 0], {keys}], lambda s, k: case when k[1] % 2 = 1 then [s[1], (s[2] + {_scrambled_sql('s[1]')}) % b, 0] "
+            f"else [(s[1] + {_scrambled_sql('s[2]')}) % a, s[2], 0] end)], lambda p: p[1] * b + p[2])[1]")
+
+
+@query("b2_permuted_batches", f"""
+with recursive r as (select doc_id, row_number() over (order by doc_id) - 1 as rank, count(*) over () as n from documents),
+s as (select *, ceil(sqrt(n))::bigint as a, ceil(n / ceil(sqrt(n)))::bigint as b from r),
+w as (select doc_id, epoch, n, a, b, case epoch {' '.join(f"when {e} then {_permuted_sql('rank', e)}" for e in range(EPOCHS))} end as place from s, (select unnest(range({EPOCHS})) as epoch)
+  union all select doc_id, epoch, n, a, b, case epoch {' '.join(f"when {e} then {_permuted_sql('place', e)}" for e in range(EPOCHS))} end from w where place >= n)
+select doc_id, epoch, (place // {BATCH})::bigint as batch_id, (place % {BATCH})::integer as slot from w where place < n""")
+def b2_permuted(spark, d):
+    """Batches of 4 in an order computed in the row: one rank of the documents, a keyed bijection an epoch."""
+    return B.permuted_batches(table(spark, d, "documents").select("doc_id"), "doc_id", BATCH, EPOCHS, S.STAGE3.seed)
+
+
 @query("b3_pad_batch", with_views(["tokens"], f"""
 , {_SEGMENTS.strip()},
 full_ as (select s.sample_id, s.pos, s.tok,

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepcorpus.functions import text as T_
 from stepcorpus.functions.arrays import explode_rows
 from stepcorpus.plans import views as V
-from stepcorpus.plans.oracle_views import with_views
+from stepcorpus.plans.oracle_views import TOKEN_RE, with_views
 from stepcorpus.plans.registry import REGISTRY, query
 from stepcorpus.session import scratch_dir
 from stepcorpus.sources import files as SRC
@@ -123,3 +124,20 @@ def s5(spark, d):
     path = scratch_dir(spark, "stage3-samples")
     SRC.write_samples(stage3_sample_rows(spark, d), path, ("split",))
     return stage3_long(SRC.read_samples(spark, path))
+
+
+SHARD_TOKENS = 20_000
+
+
+@query("s5_balanced_shards", f"""
+with t as (select doc_id, len(regexp_extract_all(coalesce(text, ''), {TOKEN_RE}, 0))::bigint as n_tokens from documents),
+b as (select *, coalesce(sum(n_tokens) over (order by md5('42:' || doc_id), doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as before, sum(n_tokens) over () as total from t),
+s as (select *, greatest(total // {SHARD_TOKENS}, 1) as shards from b)
+select least(floor(before::double * shards / greatest(total, 1)), shards - 1)::bigint as shard, count(*) as n_rows, sum(n_tokens)::bigint as n_tokens, min(before) as first_token,
+  sum(('0x' || substr(md5(doc_id || ':' || n_tokens), 1, 8))::bigint)::bigint as checksum
+from s group by 1""")
+def s5_balanced(spark, d):
+    """Documents written as shards of equal token counts; the manifest as read back from the files."""
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", "text", T_.token_count(F.coalesce("text", F.lit(""))).cast("long").alias("n_tokens"))
+    return SRC.write_balanced_shards(rows, scratch_dir(spark, "shards"), "doc_id", "n_tokens", SHARD_TOKENS)

@@ -212,3 +212,22 @@ def write_samples(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("sp
 def read_samples(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df if split is None else df.filter(F.col("split") == split)
+
+
+def write_balanced_shards(df: DataFrame, path: str, key: str, n_tokens: str, shard_tokens: int, seed: int = 42) -> DataFrame:
+    """S5 for many trainers: samples as Parquet in one folder a shard, of equal token counts
+    (``batches.token_shards``), in their seeded order.  Returns what ``shard_manifest`` finds in the files."""
+    from stepcorpus.operators.batches import token_shards
+    placed = df.join(token_shards(df, key, n_tokens, shard_tokens, seed), key)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed.repartition(n, "shard").sortWithinPartitions("shard", "before").write.mode("overwrite").partitionBy("shard").parquet(path)
+    return shard_manifest(df.sparkSession, path, key, n_tokens)
+
+
+def shard_manifest(spark: SparkSession, path: str, key: str, n_tokens: str) -> DataFrame:
+    """shard, n_rows, n_tokens, first_token, checksum (the sum of 32 bits of every row's md5 of key and count) of
+    written shards, as read from their files."""
+    rows = spark.read.parquet(path)
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col(n_tokens).cast("string"))), 1, 8), 16, 10).cast("long")
+    return rows.groupBy(F.col("shard").cast("long").alias("shard")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(n_tokens).cast("long").alias("n_tokens"), F.min("before").alias("first_token"), F.sum(digest).alias("checksum"))
