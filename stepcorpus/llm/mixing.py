@@ -88,7 +88,7 @@ def mix(docs: DataFrame, domain: Column | None = None, share: float = SHARE, max
     quotas = materialize(budgets(leaves, float(int(share * total)), max_epochs, weights).filter("tokens > 0")
                          .select(*LEVELS, F.expr("quota div tokens").alias("full"), (F.col("quota") % F.col("tokens")).alias("rest")), "quotas")
     keyed = materialize(rows.join(quotas, list(LEVELS)).withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full"), F.col("doc_id")))), "mix-keyed")
-    placed = running_starts(keyed, LEVELS, ["key", "doc_id"], "n_tokens")
+    placed = running_starts(keyed, LEVELS, ["key", "doc_id", "n_tokens"], "n_tokens")
     taken = F.when(F.col("start") < F.col("rest"), F.least("n_tokens", F.col("rest") - F.col("start")))
     epochs = F.concat(F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("full") - 1), lambda e: F.struct(e.alias("epoch"), F.col("n_tokens").alias("taken"))))
                       .otherwise(F.array().cast("array<struct<epoch:bigint,taken:bigint>>")),
@@ -98,9 +98,17 @@ def mix(docs: DataFrame, domain: Column | None = None, share: float = SHARE, max
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The whole rows of ``docs`` that the mix takes, once for each epoch; rows that share a doc_id are taken together."""
-    picked = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("epoch").alias("_epoch")).distinct()
-    return docs.join(picked, docs["doc_id"].eqNullSafe(picked["_id"])).drop("_id", "_epoch")
+    """The rows of ``docs`` that the mix takes, once for each epoch, so that a leaf's words are its quota: the last
+    document of a leaf's prefix is cut after its ``taken`` words (and ``n_chars``, where there is one, follows).
+    Rows that share a doc_id are taken together, each of at most the words that any of them gives."""
+    picked = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("epoch").alias("_epoch")).agg(F.max("taken").alias("_taken"), F.max(F.col("taken") < F.col("n_tokens")).alias("_cut"))
+    rows = docs.join(picked, docs["doc_id"].eqNullSafe(picked["_id"]))
+    whole = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # a word and what stands before it
+    text = F.when(F.col("_cut"), F.array_join(F.slice(whole, 1, F.col("_taken").cast("int")), "")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
 
 
 def _level_sql(depth: int) -> str:
@@ -127,7 +135,7 @@ s0 as (select *, (tokens * {MAX_EPOCHS})::double cap, least(floor({SHARE} * (sel
 {''.join(_level_sql(d) for d in range(3))}
 q as (select domain, lang, source, (floor(round(share, 3))::bigint // tokens) as whole, floor(round(share, 3))::bigint % tokens as rest from s3 where tokens > 0),
 k as (select r.*, whole, rest, md5(concat_ws(':', '{SEED}', whole, doc_id)) as seeded from r join q using (domain, lang, source)),
-o as (select *, coalesce(sum(n_tokens) over (partition by domain, lang, source order by seeded, doc_id rows between unbounded preceding and 1 preceding), 0) as start from k)
+o as (select *, coalesce(sum(n_tokens) over (partition by domain, lang, source order by seeded, doc_id, n_tokens rows between unbounded preceding and 1 preceding), 0) as start from k)
 select doc_id, domain, lang, source, e as epoch, n_tokens, n_tokens as taken from o, unnest(generate_series(0, whole - 1)) u(e)
 union all select doc_id, domain, lang, source, whole as epoch, n_tokens, least(n_tokens, rest - start)::bigint as taken from o where start < rest
 """

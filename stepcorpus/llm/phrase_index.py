@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepcorpus.llm.arrowtext import as_bytes, spans_of
-from stepcorpus.session import materialize
+from stepcorpus.session import broadcast_if_small, materialize
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
@@ -264,9 +264,13 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose text is contaminated."""
-    bad = digest(contamination(docs, benchmark, **options)).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """``docs`` without the rows whose text is contaminated.  A text is judged once, under its digest, so rows that
+    share a doc_id are judged apart and rows of one text alike."""
+    digest_of = F.unhex(F.md5("text"))
+    texts = docs.select(digest_of.alias("doc_id"), "text")
+    bad = digest(contamination(texts, benchmark, **options)).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    bad, _ = broadcast_if_small(materialize(bad, "contaminated"))  # beyond the checked size a shuffle join
+    return docs.join(bad, digest_of == F.col("_bad"), "left_anti")
 
 
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

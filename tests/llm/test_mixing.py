@@ -69,3 +69,20 @@ def test_edge_rows(spark):
     assert M.mix(docs.limit(0)).collect() == []
     out = M.mix(docs, share=1.0).collect()
     assert sum(r.taken for r in out) == 4 and {r.domain for r in out} == {""}
+
+
+def test_taken_rows_hold_the_quotas_to_the_word(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice(["", " ", "\n\t"]) + f"w{j}" + " " for j in range(rng.randrange(0, 30))), rng.choice(["en", "de", None]), f"s{i % 3}", 0) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    text = {r[0]: r[1] for r in rows}
+    for share, epochs in ((0.6, 1), (1.7, 3)):
+        want = defaultdict(list)
+        for r in M.mix(docs, share=share, max_epochs=epochs).collect():
+            want[r.doc_id].append(r.taken)
+        got = defaultdict(list)
+        for r in M.take(docs, share=share, max_epochs=epochs).collect():
+            got[r.doc_id].append(len(r.text.split()))
+            assert text[r.doc_id].startswith(r.text) and r.n_chars == (0 if r.text == text[r.doc_id] else len(r.text))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+        assert any(n < len(text[k].split()) for k, v in got.items() for n in v)

@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline as C  # noqa: E402
-from stepcorpus.llm import language_mixture, near_dups, phrase_index  # noqa: E402
+from stepcorpus.llm import language_mixture, mixing, near_dups, phrase_index  # noqa: E402
 from stepcorpus.llm.queries import QUERIES, SQL  # noqa: E402
 from stepcorpus.sources.tables import table  # noqa: E402
 
@@ -56,7 +56,9 @@ def test_pipeline_stage_by_stage(spark):
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     assert ids(kept[2][1]) == sorted(r[0] for r in phrase_index.brute_force(rows(kept[2][0]), items) if not r[5])
     n = lambda df: sum(len((r.text or "").split()) for r in df.collect())
-    assert 0.8 * n(kept[3][0]) <= n(kept[3][1]) < n(kept[3][0]) and set(ids(kept[3][1])) <= set(ids(kept[3][0]))
+    quotas = mixing.mix(kept[3][0], share=C.MIX_SHARE, max_epochs=1)
+    assert n(kept[3][1]) == sum(r.taken for r in quotas.collect()) <= 0.8 * n(kept[3][0]) and set(ids(kept[3][1])) <= set(ids(kept[3][0]))
+    assert n(kept[3][1]) > 0.8 * n(kept[3][0]) - kept[3][0].select("source", "lang").distinct().count() - 1
     last = C.STAGES[-1][1](spark, docs, SF).collect()
     assert sorted(r.doc_id for r in last) == ids(docs)
     assert sorted(tuple(r) for r in C.run(spark, SF).collect()) == sorted(tuple(r) for r in last)
