@@ -10,6 +10,9 @@ restarted query resumes exactly where it stopped.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,19 @@ from stepcorpus.session import scratch_dir
 from stepcorpus.sources.files import QUARANTINE_CHARS, STEP_RECORD_SCHEMA, checked_lines
 
 
+def _with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with a key: the file, the split that holds the line and its place there.  A split is read by one task
+    in file order, so a batch that runs again gives the same keys."""
+    last, place = None, 0
+    for batch in batches:
+        files, blocks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        keys = []
+        for split in zip(files, blocks):
+            last, place = split, place + 1 if split == last else 0
+            keys.append(f"{split[0]}:{split[1]}:{place}")
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.string())], ["value", "_file", "_line"])
+
+
 def step_record_stream(spark: SparkSession, src_dir: str, manifest: DataFrame, base: str,
                        schema: T.StructType = STEP_RECORD_SCHEMA,
                        max_files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -27,14 +43,15 @@ def step_record_stream(spark: SparkSession, src_dir: str, manifest: DataFrame, b
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.load(src_dir).withColumn("_file", F.col("_metadata.file_path"))
+    lines = reader.load(src_dir).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    raw = lines.mapInArrow(_with_places, "value string, _file string, _line string")
     checked = checked_lines(raw, schema)
     quarantine = checked.filter(F.col("reason").isNotNull()).select(
         "_file", F.col("value").alias("line"), F.substring("value", 1, QUARANTINE_CHARS).alias("head"), "reason")
     parsed = checked.filter(F.col("reason").isNull()).select(
-        *[F.col("_r")[f.name].alias(f.name) for f in schema.fields], "instruction_present", "_file")
-    if "conv_id" not in schema.names:  # records without an id get a content hash as key
-        parsed = parsed.withColumn("conv_id", F.xxhash64("_file", "image_url", "instruction"))
+        *[F.col("_r")[f.name].alias(f.name) for f in schema.fields], "instruction_present", "_file", "_line")
+    if "conv_id" not in schema.names:  # equal lines are records of their own
+        parsed = parsed.withColumnRenamed("_line", "conv_id")
     samples = G.stage3_tokens(G.stage3_valid(parsed, manifest, base))
     return samples, quarantine
 

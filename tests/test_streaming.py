@@ -42,3 +42,22 @@ def test_ingest_resumes_from_checkpoint(spark, tmpdir_path):
     assert run() == 1
     drop("b.jsonl", "MathV-360k/x.png")
     assert run() == 2  # the first file is not processed again
+
+
+def test_equal_lines_are_samples_of_their_own(spark, tmpdir_path):
+    """Equal lines, in one file and in two, have keys of their own, and the samples encode."""
+    import os
+    from stepcorpus.operators import tokens as K
+    src = f"{tmpdir_path}/in"
+    os.makedirs(src)
+    line = json.dumps({"image_url": "x.png", "instruction": "Step 1: a и <pos>"}) + "\n"
+    for name in ("a", "b"):
+        with open(f"{src}/{name}.jsonl", "w", encoding="utf-8") as f:
+            f.write(line * 2)
+    manifest = spark.createDataFrame([("B/data_images/x.png",)], "path string")
+    for q in start_ingest(spark, src, f"{tmpdir_path}/out", manifest, "B", checkpoint=f"{tmpdir_path}/ckpt"):
+        q.awaitTermination(120)
+    samples = spark.read.parquet(f"{tmpdir_path}/out/samples")
+    assert samples.count() == 4 and samples.select("conv_id").distinct().count() == 4
+    ids = [r.ids for r in K.encode(samples, "tokens", K.build_vocab(samples, "tokens"), "conv_id", "ids").collect()]
+    assert len(ids) == 4 and len(set(map(tuple, ids))) == 1 and len(ids[0]) > 5
