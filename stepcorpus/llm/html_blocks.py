@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -65,13 +66,13 @@ WORD = re.compile(r"[^\W\d_]+")
 class Block:
     text: str
     links: int  # characters inside links
-    inside: tuple["Wrapper", ...]  # the boilerplate elements around it
+    inside: "Wrapper | None"  # the innermost boilerplate element around it
     article: int  # number of the outermost article or main element around it, 0: none
     label: bool | None = field(default=None)
 
     @property
     def bad(self) -> bool:
-        return not all(w.released for w in self.inside)
+        return self.inside is not None and self.inside.shut
 
     @property
     def linked(self) -> bool:
@@ -83,8 +84,13 @@ class Wrapper:
     """A boilerplate element, by its tag or marks."""
 
     beside: bool  # names a thing beside the text
+    parent: "Wrapper | None"  # the boilerplate element around it
+    depth: int  # of such elements
     article: bool = False  # is, or holds, an article or main element
     released: bool = False  # found to be a mere wrapper
+    shut: bool = True  # it, or one around it, isn't released
+    weight: int = 0  # of the blocks in it, and how many have any
+    weighty: int = 0
 
 
 def mark_of(word: str) -> set[str]:
@@ -114,12 +120,18 @@ def marked(tag: str, attrs: str) -> tuple[set[str], bool]:
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, with where they stand."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[Wrapper, ...], bool, int]] = []  # (tag, boilerplate, skipped, article), each with what is above it
+    stack: list[tuple[str, Wrapper | None, bool, int]] = []  # (tag, boilerplate, skipped, article), each with what is above it
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     links, depth_a, at, articles = 0, 0, 0, 0
 
-    def state() -> tuple[tuple[Wrapper, ...], bool, int]:
-        return stack[-1][1:] if stack else ((), False, 0)
+    def state() -> tuple[Wrapper | None, bool, int]:
+        return stack[-1][1:] if stack else (None, False, 0)
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_tags[tag] -= 1
+        return tag
 
     def close() -> None:
         nonlocal links
@@ -149,18 +161,18 @@ def blocks_of(page: str) -> list[Block]:
         if m["end"]:
             if tag in BLOCKS:
                 close()
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
+            if open_tags[tag]:
+                while pop() != tag:
                     pass
             continue
         if tag in BLOCKS:
             close()
             shut = CLOSES.get(tag, {"p"})
             while stack and stack[-1][0] in shut:
-                stack.pop()
+                pop()
         elif tag == "br":
             parts.append(" ")
-        if tag in VOID or m["attrs"].rstrip().endswith("/"):
+        if tag in VOID:  # no other element closes itself
             continue
         inside, skipped, article = state()
         marks, hidden = marked(tag, m["attrs"]) if m["attrs"].strip() else (set(), False)
@@ -168,14 +180,16 @@ def blocks_of(page: str) -> list[Block]:
             if marks and tag not in BLOCKS:
                 close()
             if marks or tag in BOILERPLATE or tag == "header" and not article:
-                inside = (*inside, Wrapper(not BESIDE.isdisjoint(marks) or tag in BESIDE_TAGS))
+                inside = Wrapper(not BESIDE.isdisjoint(marks) or tag in BESIDE_TAGS, inside, inside.depth + 1 if inside else 0)
             if tag in ("article", "main"):
-                for w in inside:
-                    w.article = True
+                w = inside
+                while w and not w.article:
+                    w.article, w = True, w.parent
                 if not article:
                     articles += 1
                     article = articles
             stack.append((tag, inside, skipped or hidden or tag in SKIPPED, article))
+            open_tags[tag] += 1
     add(page[at:])
     close()
     return out
@@ -189,21 +203,44 @@ def dense(b: Block) -> bool:
     return bool(words) and sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words)
 
 
+def wrappers_of(blocks: list[Block]) -> list[Wrapper]:
+    """Every boilerplate element around a block, outer ones first."""
+    found: dict[Wrapper, None] = {}
+    for b in blocks:
+        w = b.inside
+        while w is not None and w not in found:
+            found[w], w = None, w.parent
+    return sorted(found, key=lambda w: w.depth)
+
+
+def settle(wrappers: list[Wrapper]) -> None:
+    for w in wrappers:
+        w.shut = not w.released or w.parent is not None and w.parent.shut
+
+
 def release(blocks: list[Block], weight: list[int], long: bool) -> None:
     """Mark the boilerplate elements that are mere wrappers.  ``weight``: characters of dense text of each block; ``long``: of long blocks at least."""
-    held: dict[Wrapper, list[int]] = {}
+    wrappers = wrappers_of(blocks)
     for b, w in zip(blocks, weight):
-        for x in b.inside if w else ():
-            held.setdefault(x, []).append(w)
+        if w and b.inside:
+            b.inside.weight += w
+            b.inside.weighty += 1
+    for x in reversed(wrappers):
+        if x.parent:
+            x.parent.weight += x.weight
+            x.parent.weighty += x.weighty
+    held = [x for x in wrappers if x.weighty]
     total, free = sum(weight), sum(w for b, w in zip(blocks, weight) if not b.inside)
     alone = not any(not b.inside and not b.linked for b in blocks)
-    for x, ws in held.items():
+    for x in held:
         if not x.beside:
-            most = long and 2 * sum(ws) > total and (len(ws) > 1 or alone)
-            x.released = most or x.article and (sum(ws) > free or 2 * sum(ws) > total)
+            most = long and 2 * x.weight > total and (x.weighty > 1 or alone)
+            x.released = most or x.article and (x.weight > free or 2 * x.weight > total)
+    settle(wrappers)
     if long and all(b.bad or b.linked for b in blocks):  # nothing is left
-        for x, ws in held.items():
-            x.released |= 2 * sum(ws) > total and (len(ws) > 1 or x.article)
+        for x in held:
+            x.released |= 2 * x.weight > total and (x.weighty > 1 or x.article)
+        settle(wrappers)
 
 
 def decide(blocks: list[Block]) -> list[Block]:

@@ -89,3 +89,20 @@ def test_long_blocks_of_few_stop_words_follow_their_neighbours():
     page = f"{links}<p>{LONG}</p><pre>{code}</pre><table><tr><td>{rows}</td></tr></table><p>{code}</p>{links}"
     assert H.main_text(page) == "\n\n".join([LONG, code, rows, code])
     assert H.main_text(f"<p>{LONG}</p>{links}<p>{rows}</p>{links}") == LONG
+
+
+def test_deep_pages_take_linear_time():
+    import time
+    pages = ["<nav>" * 60_000 + f"<p>{LONG}</p>", "<div>" * 25_000 + f"<p>{LONG}</p>" + "</span>" * 25_000, "<nav><p>x</p>" * 30_000 + f"<article><p>{LONG}</p></article>",
+             "".join(f"<div class=ad><p>{LONG}</p>" for _ in range(3000)), f"<article><p>{LONG}</p></article>" + "<div class=comment><article>" * 9000]
+    texts = []
+    for page in pages:
+        began = time.process_time()
+        texts.append(H.main_text(page))
+        assert time.process_time() - began < 8 and len(page) > 100_000
+    assert texts[1] == LONG and texts[4] == LONG
+
+
+def test_an_unquoted_value_that_ends_in_a_slash_closes_nothing():
+    assert H.main_text(f"<article><div data-u=http://a/><p>{LONG}</p></div><p>{OTHER}</p></article>") == f"{LONG}\n\n{OTHER}"
+    assert H.main_text(f"<article><p>{LONG}</p></article><aside data-u=http://a/><p>{OTHER}</p></aside>") == LONG
