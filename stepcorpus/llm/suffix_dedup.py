@@ -322,7 +322,8 @@ def removal_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, key, ranges): of each document with repeated strings, the byte ranges to remove (they may overlap)."""
     found = anchors(docs, length)
     contexts = materialize(found.groupBy("kmer", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "pos")).alias("ref"), F.first("before").alias("before"), F.first("after").alias("after")), "contexts")
-    several = contexts.groupBy("kmer").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # a table of its own, so that the join can split an anchor that thousands of contexts share
+    several = materialize(contexts.groupBy("kmer").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "several")
     wanted = materialize(contexts.join(several, "kmer").select("ref.*", "kmer", "ctx", (F.col("m") > HOT).alias("hot")), "wanted")
     n_wanted, any_hot = wanted.agg(F.count(F.lit(1)), F.max("hot")).first()
     reach = contexts.filter("n > 1").select("ctx", F.col("before").alias("l"), F.col("after").alias("r"))
