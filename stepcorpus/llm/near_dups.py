@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from stepcorpus.llm.arrowtext import as_bytes, mix64, slices, word_hashes, words
 from stepcorpus.llm.components import components
-from stepcorpus.session import materialize
+from stepcorpus.session import broadcast_if_small, materialize
 
 WORDS = 5  # of a shingle
 PERCENT = 80
@@ -45,6 +45,8 @@ TREES, BRANCHES, DEPTH = 4, 2, 5
 SMALL = 4096  # members that one task compares
 BLOCK = 512  # members in a block of a node that stays large
 STARS = 3  # representatives of a large node
+COMPARED = 1 << 18  # hashes of one set's partners compared at once
+ROWS = 256  # of a batch turned into Python objects at once
 AGREE = 34  # of the coordinates; below it a pair of similarity 0.8 falls with probability 1e-6
 
 _FACTORS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -96,7 +98,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 h, first = shingle_hashes(data, at, size)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([np.unique(h[first[i]:first[i + 1]]).tobytes() for i in range(hi - lo)], pa.binary())], ["doc_id", "set"])
 
-    return materialize(as_bytes(docs.join(ids, "doc_id", "left_semi"), "doc_id").mapInArrow(task, "doc_id long, set binary"), "shingle-sets")
+    wanted, _ = broadcast_if_small(materialize(ids, "wanted"))  # beyond the checked size a shuffle join
+    return materialize(as_bytes(docs.join(wanted, "doc_id", "left_semi"), "doc_id").mapInArrow(task, "doc_id long, set binary"), "shingle-sets")
 
 
 def _place(key: np.ndarray, doc: np.ndarray, sketch: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,14 +167,24 @@ class _Node:
             js = self.candidates(i, comp, percent)
             if not len(js):
                 continue
-            mine, theirs = self.sets[i], np.concatenate([self.sets[j] for j in js])
-            hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
-            size = np.array([len(self.sets[j]) for j in js])
-            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
-            for j in js[100 * both >= percent * (len(mine) + size - both)]:
-                if comp[j] != comp[i]:
-                    out.append((int(self.doc[i]), int(self.doc[j])))
-                    comp[comp == comp[j]] = comp[i]
+            mine, sizes = self.sets[i], np.array([len(self.sets[j]) for j in js])
+            ends = np.cumsum(sizes)
+            lo = 0
+            while lo < len(js):  # partners of about COMPARED hashes, one at least
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + COMPARED, side="right")))
+                part, size = js[lo:hi], sizes[lo:hi]
+                lo = hi
+                apart = comp[part] != comp[i]  # not joined by a link since
+                part, size = part[apart], size[apart]
+                if not len(part):
+                    continue
+                theirs = np.concatenate([self.sets[j] for j in part])
+                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+                for j in part[100 * both >= percent * (len(mine) + size - both)]:
+                    if comp[j] != comp[i]:
+                        out.append((int(self.doc[i]), int(self.doc[j])))
+                        comp[comp == comp[j]] = comp[i]
         return out
 
 
@@ -179,12 +192,13 @@ def _nodes_of(batches):
     """(node, _Node) one after the other, from rows sorted by node."""
     last, rows = None, []
     for b in batches:
-        for node, *row in zip(*(c.to_pylist() for c in b.columns)):
-            if node != last and rows:
-                yield last, _Node(rows)
-                rows = []
-            last = node
-            rows.append(row)
+        for lo in range(0, b.num_rows, ROWS):
+            for node, *row in zip(*(c.to_pylist() for c in b.slice(lo, ROWS).columns)):
+                if node != last and rows:
+                    yield last, _Node(rows)
+                    rows = []
+                last = node
+                rows.append(row)
     if rows:
         yield last, _Node(rows)
 
