@@ -133,6 +133,8 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metrics_log(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation records: the ``view`` events stand for evaluations (a user is a run, an event a step, its value
+    the loss); events of other types are other kinds of log lines and no part of this log."""
     ev = table(spark, d, "events")
     return (ev.filter(F.col("event_type") == "view")
             .select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"),
