@@ -39,7 +39,8 @@ EVERY = 50  # queries: ids divisible by it
 SCALE = 256.0
 SHARD_ROWS = 32_768  # candidates of a tile; with BLOCK_ROWS the bytes that a task holds
 BLOCK_ROWS = 16_384  # queries of a tile
-PIECE = (512, 4096)  # queries and candidates multiplied at once
+PIECE = (512, 4096)  # queries and candidates multiplied at once, fewer of vectors
+PIECE_BYTES = 16 << 20  # whose matrix would be larger than this
 FAN = 32
 EXACT = 2 ** 53  # whole numbers up to this are exact in float64
 LONG = 2 ** 63
@@ -106,12 +107,13 @@ def _tile(k: int):
             width = max(_width(queries, "vector"), _width(shard, "vector"))
             q_row, q_id = queries.column("row").to_numpy(), queries.column("vec_id").to_numpy()
             c_row, c_id = shard.column("row").to_numpy(), shard.column("vec_id").to_numpy()
-            for a in range(0, len(q_row), PIECE[0]):
-                q = _matrix(queries.column("vector").slice(a, PIECE[0]), width)
-                rows_q = q_row[a:a + PIECE[0]]
-                for b in range(0, len(c_row), PIECE[1]):
-                    c = _matrix(shard.column("vector").slice(b, PIECE[1]), width)
-                    rows_c = c_row[b:b + PIECE[1]]
+            n_q, n_c = (min(n, max(1, PIECE_BYTES // (8 * max(width, 1)))) for n in PIECE)
+            for a in range(0, len(q_row), n_q):
+                q = _matrix(queries.column("vector").slice(a, n_q), width)
+                rows_q = q_row[a:a + n_q]
+                for b in range(0, len(c_row), n_c):
+                    c = _matrix(shard.column("vector").slice(b, n_c), width)
+                    rows_c = c_row[b:b + n_c]
                     own = rows_q[:, None] == rows_c[None, :]
                     top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(width, 1)
                     if (top + 1) * len(c) < EXACT:
@@ -122,7 +124,7 @@ def _tile(k: int):
                         hits = list(_best_exact(q, c, own, k))
                         i, j = (np.array([h[n] for h in hits], dtype=np.int64) for n in (0, 1))
                         s = np.array([h[2] for h in hits], dtype=np.int64)
-                    out.append((rows_q[i], q_id[a:a + PIECE[0]][i], c_id[b:b + PIECE[1]][j], rows_c[j], s))
+                    out.append((rows_q[i], q_id[a:a + n_q][i], c_id[b:b + n_c][j], rows_c[j], s))
         cols = [np.concatenate([o[n] for o in out]) if out else np.zeros(0, np.int64) for n in range(5)]
         qr, qi, ci, cr, s = cols
         return pa.table({"query_row": qr, "query_id": qi, "shard": np.full(len(qr), number, np.int64), "vec_id": ci, "row": cr, "score": s})
