@@ -35,8 +35,12 @@ from pyspark.sql import types as T
 from stepcorpus.session import broadcast_if_small, materialize
 
 CLOSE = "}"
-QUOTE, ESCAPE, COMMA = 0x22, 0x5C, 0x2C
-_OPENS, _CLOSES = (0x7B, 0x5B), (0x7D, 0x5D)
+QUOTE, ESCAPE, OPEN, END = 0x22, 0x5C, 0x7B, 0x7D
+SLICE_BYTES = 1 << 20  # of text looked at once; a longer piece stands alone
+#: How far each byte moves the nesting depth outside of strings.
+_MOVES = np.zeros(256, np.int8)
+_MOVES[[0x7B, 0x5B]] = 1
+_MOVES[[0x7D, 0x5D]] = -1
 _BLANK = b" \t\r\n"
 _MARK = b"\xef\xbb\xbf"  # a byte order mark
 
@@ -62,26 +66,24 @@ def _real_quotes(data: np.ndarray) -> np.ndarray:
 
 def _inside(data: np.ndarray) -> np.ndarray:
     """Whether each byte lies in a string, if the text starts outside one (quotes count as either)."""
-    flips = np.zeros(len(data), np.int8)
-    flips[_real_quotes(data)] = 1
-    return np.bitwise_and(np.cumsum(flips), 1).astype(bool)
-
-
-def _moves(data: np.ndarray) -> np.ndarray:
-    """+1 at an opening bracket or brace, -1 at a closing one."""
-    return np.isin(data, _OPENS).astype(np.int64) - np.isin(data, _CLOSES)
+    flips = np.zeros(len(data), bool)
+    flips[_real_quotes(data)] = True
+    return np.logical_xor.accumulate(flips)
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, bytes]]:
-    """(file, block, first row, text) of each run of pieces of one range, a brace after every piece."""
+    """(file, block, first row, text) of runs of pieces of one range, a brace after every piece, each of about
+    ``SLICE_BYTES``."""
     files, blocks = batch.column("file").to_pylist(), batch.column("block").to_numpy()
-    pieces = batch.column("piece").to_pylist()
+    pieces = batch.column("piece")
     lo = 0
     while lo < len(files):
-        hi = lo + 1
-        while hi < len(files) and blocks[hi] == blocks[lo] and files[hi] == files[lo]:
+        text, hi, size = [], lo, 0
+        while hi < len(files) and blocks[hi] == blocks[lo] and files[hi] == files[lo] and size < SLICE_BYTES:
+            text.append(pieces[hi].as_py())
+            size += len(text[-1]) + 1
             hi += 1
-        yield files[lo], int(blocks[lo]), lo, b"}".join(pieces[lo:hi]) + b"}"
+        yield files[lo], int(blocks[lo]), lo, b"}".join(text) + b"}"
         lo = hi
 
 
@@ -93,8 +95,8 @@ def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, block, _, text in _runs(batch):
             data = np.frombuffer(text, np.uint8)
-            within, moves = _inside(data), _moves(data)
-            outside, inside = int(moves[~within].sum()), int(moves[within].sum())
+            within, moves = _inside(data), _MOVES[data]
+            outside, inside = (int(moves[x].sum(dtype=np.int64)) for x in (~within, within))
             flips = bool(within[-1]) if len(within) else False
             if held is None or held[:2] != [file, block]:
                 if held is not None:
@@ -137,18 +139,20 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 depth, within, base = (columns[n][row].as_py() for n in ("start_depth", "start_inside", "base"))
             data = np.frombuffer(text, np.uint8)
             inside = _inside(data) ^ within
-            depths = depth + np.cumsum(np.where(inside, 0, _moves(data)))
-            begins = np.flatnonzero((data == _OPENS[0]) & ~inside & (depths == base + 1)).tolist()
-            ends = np.flatnonzero((data == _CLOSES[0]) & ~inside & (depths == base)) + 1
-            at = 0
+            places = np.flatnonzero((_MOVES[data] != 0) & ~inside)
+            kinds, depths = data[places], depth + np.cumsum(_MOVES[data[places]], dtype=np.int64)
+            begins = places[(kinds == OPEN) & (depths == base + 1)].tolist()
+            ends = places[(kinds == END) & (depths == base)] + 1
+            at = begun_at = 0
             for end in [*ends.tolist(), None]:
-                while begins and (end is None or begins[0] < end):
-                    rest, at, begun = [], begins.pop(0), True
+                while begun_at < len(begins) and (end is None or begins[begun_at] < end):
+                    rest, at, begun = [], begins[begun_at], True
+                    begun_at += 1
                 rest.append(text[at:end])
                 if end is not None:
                     out.append((*key, 1 if begun else 0, b"".join(rest)))
                     rest, at, begun, ended = [], end, False, True
-            depth, within = int(depths[-1]), bool(inside[-1])
+            depth, within = int(depths[-1]) if len(depths) else depth, bool(inside[-1])
         yield _fragments(out)
         out = []
     if key is not None:
