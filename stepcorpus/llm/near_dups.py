@@ -347,6 +347,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
 def deduplicate(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group."""
     gone = near_duplicates(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone, _ = broadcast_if_small(materialize(gone, "gone"))  # beyond the checked size a shuffle join
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
