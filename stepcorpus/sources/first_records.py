@@ -39,6 +39,8 @@ def needed_files(files: list[str], counts: Callable[[list[str]], dict[str, int]]
     """``(files up to the one with record n, records before the last of them)``; ``counts`` counts a batch."""
     before, at, batch, last = 0, 0, 1, 0
     while at < len(files):
+        if at == len(files) - 1:  # whatever it holds, it is the last one needed
+            return files, before
         group = files[at:at + batch]
         found = counts(group)
         if unknown := set(found) - set(group):
