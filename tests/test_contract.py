@@ -11,7 +11,7 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert {n for n in set(q) - set(o) if not n.startswith("op") and n != "pipeline"} == {"m1_score_steps", "m2_fit_step_verifier"}
+    assert {n for n in set(q) - set(o) if not n.startswith("op") and n != "pipeline"} == {"m2_fit_step_verifier"}
 
 
 @pytest.mark.parametrize("name", ["stage2_summary", "t9_locate_steps", "b1_exact_split", "m6_top_k_softmax",
