@@ -8,14 +8,21 @@ tokens) and numbering them (a range-partitioned global rank).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StructField, StructType
 
 from stepcorpus import settings as S
 from stepcorpus.functions import text as T
 from stepcorpus.functions.arrays import explode_rows
 from stepcorpus.functions.ranking import with_global_rank
-from stepcorpus.session import BROADCAST_MAX_ROWS, broadcast_if_small, materialize
+from stepcorpus.session import BROADCAST_MAX_ROWS, materialize
 
 
 # ----------------------------------------------------------------- T1 / T2
@@ -57,57 +64,109 @@ def build_vocab(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return materialize(specials.unionByName(words))
 
 
-HEAD_IDS = 65_536  # most frequent vocabulary rows, broadcast where the whole vocabulary is too large
+HEAD_IDS = 65_536  # most frequent vocabulary rows, which every task holds
 HEAD_CHARS = 64  # of a token in that head, which bounds its bytes
 
 
-def _join_lookup(exploded: DataFrame, vocab: DataFrame, src: str, dst: str) -> DataFrame:
-    """``exploded`` (with ``src``) left-joined to ``vocab[src] -> vocab[dst]``.  Of a
-    vocabulary too large for a broadcast, the head is one: ids are in order of
-    frequency, so the first ``HEAD_IDS`` hold the hot keys, and only the
-    positions of the others are shuffled."""
-    lookup, whole = broadcast_if_small(vocab.select(src, dst), BROADCAST_MAX_ROWS)
-    if whole:
-        return exploded.join(lookup, src, "left")
-    in_head = (F.col("token_id") < HEAD_IDS) & (F.length("token") <= HEAD_CHARS)
-    head = F.broadcast(lookup.filter(in_head))
-    near = exploded.join(head, src)
-    far = exploded.join(head.select(src), src, "left_anti").join(lookup.filter(~in_head), src, "left")
-    return near.unionByName(far)
+def _head(vocab: DataFrame, src: str, dst: str) -> tuple[pa.Table, DataFrame, bool]:
+    """``(head, rest, whole)``: the first ``HEAD_IDS`` rows (ids are in order of
+    frequency, so they hold the hot keys), the others, and whether there are none."""
+    short = F.length("token") <= HEAD_CHARS if "token" in vocab.columns else F.lit(True)
+    in_head = (F.col("token_id") < HEAD_IDS) & short & F.col(src).isNotNull() & F.col(dst).isNotNull()
+    lookup = vocab.withColumn("_head", F.coalesce(in_head, F.lit(False)))
+    head = lookup.filter("_head").select(src, dst).toArrow()  # bounded by the two constants
+    n = vocab.count()
+    return head, lookup.filter(~F.col("_head")).select(src, dst), n == len(head) and n <= BROADCAST_MAX_ROWS
+
+
+def _flat(rows: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """All elements of the lists, and where each list starts (and the end); a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    return rows.flatten(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def _resolvers(spark: SparkSession, head: pa.Table, src: str, dst: str, src_type: DataType, kind: DataType, key: str, hot: dict):
+    """Three functions of columns: an array's elements as the head and ``hot`` have them (else null),
+    its other elements with their positions, and the first array with the nulls replaced by found ones."""
+    to = to_arrow_type(kind)
+    plain = lambda x: bytes(x) if isinstance(x, bytearray) else x
+    keys = pa.array([plain(x) for x in hot], to_arrow_type(src_type))
+    others = head.filter(pc.invert(pc.is_in(head[src], keys))).combine_chunks()
+    shared = spark.sparkContext.broadcast((
+        pa.concat_arrays([keys, *others[src].cast(keys.type).chunks]),
+        pa.concat_arrays([pa.array([plain(x) for x in hot.values()], to), *others[dst].cast(to).chunks])))
+
+    @F.arrow_udf(ArrayType(kind))
+    def near(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keys, values = shared.value
+        for rows in batches:
+            flat, at = _flat(rows)
+            yield pa.ListArray.from_arrays(at, values.take(pc.index_in(flat, keys)))
+
+    far_type = StructType([StructField("pos", IntegerType()), StructField(src, src_type)])
+
+    @F.arrow_udf(ArrayType(far_type))
+    def far(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keys, _ = shared.value
+        for rows in batches:
+            flat, at = _flat(rows)
+            open_ = np.flatnonzero(pc.is_null(pc.index_in(flat, keys)).to_numpy(zero_copy_only=False))
+            row = np.searchsorted(at, open_, side="right") - 1
+            cells = pa.StructArray.from_arrays([pa.array(open_ - at[row], pa.int32()), flat.take(pa.array(open_))], ["pos", src])
+            yield pa.ListArray.from_arrays(np.searchsorted(open_, at).astype(np.int32), cells)
+
+    @F.arrow_udf(ArrayType(kind))
+    def filled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for rows, found in batches:
+            flat, at = _flat(rows)
+            cells, cell_at = _flat(found)
+            nulls = np.concatenate([[0], np.cumsum(pc.is_null(flat).to_numpy(zero_copy_only=False))])
+            if (np.diff(nulls[at]) != np.diff(cell_at)).any():
+                raise ValueError(f"{key} is not unique")
+            where = np.arange(len(flat))
+            to_fill = cells.field("pos").to_numpy(zero_copy_only=False) + np.repeat(at[:-1], np.diff(cell_at))
+            where[to_fill] = len(flat) + np.arange(len(cells))
+            yield pa.ListArray.from_arrays(at, pa.concat_arrays([flat, cells.field(dst).cast(flat.type)]).take(pa.array(where)))
+
+    return near, far, filled
+
+
+def _check_unique(df: DataFrame, array: str, key: str, hot: dict) -> None:
+    """Raises where a repeated or null key has elements to look up; only such keys' arrays are read."""
+    again = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).select(F.col(key).alias("_again"))
+    if again.isEmpty():
+        return
+    asked = F.exists(array, lambda x: ~F.coalesce(x.isin(*[F.lit(h) for h in hot]) if hot else F.lit(False), F.lit(False)))
+    if not df.join(again, df[key].eqNullSafe(F.col("_again")), "left_semi").filter(asked).isEmpty():
+        raise ValueError(f"{key} is not unique")
 
 
 def _look_up(df: DataFrame, array: str, src: str, dst: str, vocab: DataFrame, key: str, hot: dict) -> DataFrame:
     """``df`` with ``_got``: the looked-up elements of ``array`` in order.
 
-    Elements in ``hot`` (the image pads, most positions of a sample) are
-    resolved in the row; only the others become rows and meet the vocabulary.
+    Elements in ``hot`` (the image pads, most positions of a sample) and in the
+    vocabulary's head are resolved in the row; only the others become rows and
+    meet the rest of the vocabulary in a join, whatever its size.
     ``key`` must be unique: a row that gets another one's positions is an error."""
-    kind = vocab.schema[dst].dataType
-    known = [F.lit(x) for x in hot]
-    at = F.transform(array, lambda x, i: F.struct(i.alias("pos"), x.cast(vocab.schema[src].dataType).alias(src)))
-    is_hot = lambda s: F.coalesce(s[src].isin(known), F.lit(False)) if known else F.lit(False)
-
-    def resolved(s: Column) -> Column:
-        value = F.lit(None)
-        for x, y in hot.items():
-            value = F.when(s[src] == F.lit(x), F.lit(y)).otherwise(value)
-        return F.struct(s["pos"].alias("pos"), value.cast(kind).alias(dst))
-
-    others = explode_rows(df, F.filter(at, lambda s: ~is_hot(s)), [key], value="s").select(key, "s.*")
-    found = (_join_lookup(others, vocab, src, dst)
-             .groupBy(key).agg(F.collect_list(F.struct("pos", dst)).alias("_found")))
+    src_type, kind = vocab.schema[src].dataType, vocab.schema[dst].dataType
+    _check_unique(df, array, key, hot)
+    head, rest, whole = _head(vocab, src, dst)
+    near, far, filled = _resolvers(df.sparkSession, head, src, dst, src_type, kind, key, hot)
+    elements = F.col(array).cast(ArrayType(src_type))
+    got = df.withColumn("_got", near(elements))
+    if whole:
+        return got
+    others = explode_rows(df.select(key, far(elements).alias("_far")), "_far", [key], value="s").select(key, "s.*")
+    found = others.join(rest, src, "left").groupBy(key).agg(F.collect_list(F.struct("pos", dst)).alias("_found"))
     none = F.array().cast(found.schema["_found"].dataType)
-    got = F.array_sort(F.concat(F.transform(F.filter(at, is_hot), resolved), F.coalesce("_found", none)))
-    out = df.join(found, key, "left").withColumn("_got", got).drop("_found")
-    whole = F.when(F.size("_got") != F.size(array), F.raise_error(F.lit(f"{key} is not unique"))).otherwise(F.col("_got"))
-    return out.withColumn("_got", F.transform(whole, lambda s: s[dst]))
+    return got.join(found, key, "left").withColumn("_got", filled("_got", F.coalesce("_found", none))).drop("_found")
 
 
 def encode(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str = "input_ids",
            hot: dict[str, int] | None = None) -> DataFrame:
     """Token strings -> ids, keeping order, for rows with a unique ``key``.
-    ``hot`` tokens with known ids (default: the special tokens) are never
-    exploded; the others meet the vocabulary in a join (``_join_lookup``)."""
+    ``hot`` tokens with known ids (default: the special tokens) and frequent ones
+    are never exploded; the others meet the vocabulary in a join (``_look_up``)."""
     hot = special_ids() if hot is None else hot
     ids = _look_up(df, tokens, "token", "token_id", vocab, key, hot)
     return ids.withColumn(out, F.coalesce("_got", F.array().cast("array<bigint>"))).drop("_got")

@@ -75,6 +75,37 @@ def test_encode_reports_a_repeated_key(spark):
         K.encode(df, "tok", K.build_vocab(df, "tok"), "k", "ids").collect()
 
 
+def test_frequent_tokens_are_looked_up_in_the_row(spark, monkeypatch):
+    """Neither rows nor a join for the vocabulary's head; only other elements become rows, and their places are filled."""
+    texts = ["a a a b b c <|im_end|>", "", None, "d a\u0000e", "几何 a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").withColumn("tok", T.tokenize(F.col("t")))
+    vocab = K.build_vocab(df, "tok")
+    enc = K.encode(df, "tok", vocab, "k", "ids")
+    for out in (enc, K.decode(enc, "ids", vocab, "k", "back")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Generate", "Exchange", "Join"))
+    want = {r.k: r.ids for r in enc.collect()}
+    monkeypatch.setattr(K, "HEAD_IDS", 6)
+    head, rest, whole = K._head(vocab, "token", "token_id")
+    assert not whole and len(head) == 6 and rest.count() == vocab.count() - 6
+    near, far, _ = K._resolvers(spark, head, "token", "token_id", vocab.schema["token"].dataType, vocab.schema["token_id"].dataType, "k", {})
+    got = {r.k: r for r in df.select("k", "tok", near("tok").alias("n"), far("tok").alias("f")).collect()}
+    known = set(head["token"].to_pylist())
+    for r in got.values():
+        assert [(x.pos, x.token) for x in r.f] == [(i, t) for i, t in enumerate(r.tok or []) if t not in known]
+        assert r.n == [i if t in known else None for t, i in zip(r.tok or [], want[r.k])]
+    assert {r.k: r.ids for r in K.encode(df, "tok", vocab, "k", "ids").collect()} == want
+
+
+def test_a_repeated_or_null_key_without_elements_is_no_error(spark):
+    df = spark.createDataFrame([(1, []), (1, ["<|im_end|>"]), (2, ["a"])], "k long, tok array<string>")
+    vocab = K.build_vocab(df, "tok")
+    assert sorted((r.k, r.ids) for r in K.encode(df, "tok", vocab, "k", "ids").collect()) == [(1, []), (1, [2]), (2, [4])]
+    for key in ("1", "cast(null as long)"):
+        with pytest.raises(Exception, match="k is not unique"):
+            K.encode(df.unionAll(df.selectExpr(f"{key} as k", "array('a') as tok")), "tok", vocab, "k", "ids").collect()
+
+
 def test_vocabulary_of_long_tokens_is_not_broadcast(spark):
     df = spark.createDataFrame([("x" * 100, 1), ("y", 2)], "token string, token_id long")
     assert broadcast_if_small(df)[1] and not broadcast_if_small(df, max_bytes=120)[1] and not broadcast_if_small(df, max_rows=1)[1]
