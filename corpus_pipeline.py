@@ -10,39 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stepcorpus.llm import language_mixture, mixing, near_dups, pfor, phrase_index
 from stepcorpus.llm.queries import END_ID, TOKENIZER
-from stepcorpus.session import materialize, ship_package
+from stepcorpus.session import bound_batches, materialize, ship_package
 from stepcorpus.sources.tables import table
 
 MIX_SHARE = 0.8  # of the tokens that reach the mix, each document once at most
 
 
+def _prepare(spark: SparkSession) -> None:
+    """All stages run in the same executors, so each bounds what its tasks hand to Python."""
+    ship_package(spark)
+    bound_batches(spark)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language go."""
-    ship_package(spark)
+    _prepare(spark)
     return language_mixture.accepted(docs)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 80 % of its five-word shingles stays."""
-    ship_package(spark)
+    _prepare(spark)
     return near_dups.deduplicate(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts of which a twentieth or more is benchmark phrases go."""
-    ship_package(spark)
+    _prepare(spark)
     return phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by their target weights."""
-    ship_package(spark)
+    _prepare(spark)
     return mixing.take(docs, share=MIX_SHARE, max_epochs=1)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, as read back from them."""
-    ship_package(spark)
+    _prepare(spark)
     return pfor.token_files(docs, TOKENIZER, END_ID)
 
 

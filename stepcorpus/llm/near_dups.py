@@ -46,6 +46,7 @@ SMALL = 4096  # members that one task compares
 BLOCK = 512  # members in a block of a node that stays large
 STARS = 3  # representatives of a large node
 COMPARED = 1 << 18  # hashes of one set's partners compared at once
+PIECE = 1 << 18  # bytes of text hashed at once, each of which takes about a hundred meanwhile
 ROWS = 256  # of a batch turned into Python objects at once
 AGREE = 34  # of the coordinates; below it a pair of similarity 0.8 falls with probability 1e-6
 
@@ -74,7 +75,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, digest, sketch): set size, digest of the whole set, minwise values."""
     def task(batches):
         for b in batches:
-            for lo, hi, data, at in slices(b):
+            for lo, hi, data, at in slices(b, limit=PIECE):
                 h, first = shingle_hashes(data, at, size)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
@@ -94,7 +95,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(doc_id, set) of the documents in ``ids``: sorted distinct hashes of the whole text."""
     def task(batches):
         for b in batches:
-            for lo, hi, data, at in slices(b):
+            for lo, hi, data, at in slices(b, limit=PIECE):
                 h, first = shingle_hashes(data, at, size)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([np.unique(h[first[i]:first[i + 1]]).tobytes() for i in range(hi - lo)], pa.binary())], ["doc_id", "set"])
 

@@ -52,6 +52,13 @@ def test_large_nodes_branch(spark, monkeypatch):
     test_large_groups_and_shared_passages(spark)
 
 
+def test_pieces_hold_whole_texts(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    want = result(docs, 4)
+    monkeypatch.setattr(N, "PIECE", 100)
+    assert result(docs, 4) == want
+
+
 def test_edge_rows(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "A b", 0), (4, "a\tB\n", 0), (5, "a b c", 0), (None, "a b", 0), (None, None, 0), (6, "x " * 40000, 0), (7, "X  x x x x", 0), (4, "a b", 0), (8, " \n", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_shingles int")
