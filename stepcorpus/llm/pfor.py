@@ -21,7 +21,10 @@ ordered by their ids; null doc_ids come first; an empty table gives no file.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepcorpus.llm.arrowtext import as_bytes
+from stepcorpus.llm.arrowtext import as_bytes, slices
 from stepcorpus.session import materialize, scratch_dir
 
 MAGIC, VERSION = b"PFOR", 1
 BLOCK = 32_768  # ids in a block
 PERCENTILE = 95  # of a block's values fit the packed width
-CACHE = 600_000  # entries in each of a worker's two word caches
+CACHE = 300_000  # entries in each of the two halves of a worker's cache of runs
 NULL_ID = -(1 << 63)  # stands for a null doc_id in the files
 
 
@@ -174,71 +177,111 @@ NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Rep
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
                                                        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+PLAIN = "!-~¡-ɏ"  # characters whose letters and digits the library and Python tell alike
+
+
+def plain_split() -> str:
+    """``SPLIT`` for texts of the plain range in lower case, its classes listed for ``re``."""
+    low = sorted({x for i in (*range(0x21, 0x7F), *range(0xA1, 0x250)) for c in (chr(i), chr(i).lower()) for x in c})
+    letters, digits = ("".join(c for c in low if unicodedata.category(c)[0] == kind) for kind in "LN")
+    return SPLIT.replace(r"[\p{N}]", f"[{digits}]").replace(r"\p{L}", letters).replace(r"\p{N}", digits)
 
 
 def follows(settings: dict) -> bool:
     """Whether a tokenizer file has the settings that ``Encoder`` follows; special tokens have to show by ``<|``."""
-    return (settings["normalizer"] == NORMALIZER and settings["pre_tokenizer"] == PRE_TOKENIZER and settings["model"]["type"] == "BPE" and not settings["model"].get("dropout")
+    return (settings["normalizer"] == NORMALIZER and settings["pre_tokenizer"] == PRE_TOKENIZER and settings["model"]["type"] == "BPE" and not settings["model"].get("dropout") and bool(settings["model"].get("end_of_word_suffix"))
             and all(t["content"].startswith("<|") and not (t["single_word"] or t["normalized"]) and not any(c.isspace() for c in t["content"]) for t in settings["added_tokens"]))
 
 
 class Encoder:
-    """Ids of a text by the tokenizers library, one run without ASCII white space at a time.
+    """Ids of texts by the tokenizers library, one run without ASCII white space at a time.
 
     Where the file has the settings above, it drops white space and merges
     within a run only, so a text's ids are those of its runs; with any other
-    settings, whole texts go to the library.  Runs and their word pieces are
-    cached; a run outside the plain Latin range, or one that may hold a
+    settings, whole texts go to the library.  Runs are cached, and all runs
+    of some texts that aren't go to the library's merges at once, cut into
+    word pieces; a run outside the plain Latin range, or one that may hold a
     special token, goes to the library as it is.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one of many
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()  # documents are encoded whole
         self.tokenizer.no_padding()
+        self.merges = Tokenizer(self.tokenizer.model)  # word pieces between spaces to ids, and nothing else
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.follows = follows(json.loads(self.tokenizer.to_str()))
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.pieces = regex.compile(SPLIT)
-        self.odd = regex.compile(r"[^!-~¡-ɏ]")
+        self.pieces = re.compile(plain_split() + r"|\n")
+        self.odd = re.compile(f"[^\\n{PLAIN}]")
         # byte -> the letter that stands for it in the vocabulary: printable ones stand for themselves, the rest follow from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
         assert set(letters.values()) == set(pre_tokenizers.ByteLevel.alphabet())
         self.table = {i: letters[i] for i in range(256)}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        end = self.tokenizer.model.end_of_word_suffix
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if end and t.endswith(end)]] = True
         self.runs: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def word(self, w: str) -> bytes:
-        got = self.words.get(w)
-        if got is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(self.table))], self.dtype).tobytes()
-            self.words[w] = got
-        return got
-
-    def run(self, r: bytes) -> bytes:
-        text = r.decode()
+        self.older: dict[bytes, bytes] = {}  # those before the last ``CACHE``
+
+    def fresh(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of runs that aren't cached: the pieces of all of them merged in one call."""
+        out: dict[bytes, bytes] = {}
+        text = b"\n".join(runs).decode()
         if self.odd.search(text) or "<|" in text:
-            got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        else:
-            got = b"".join(map(self.word, self.pieces.findall(text.lower())))
-        if len(r) <= 64:
-            if len(self.runs) >= CACHE:
-                self.runs.clear()
-            self.runs[r] = got
-        return got
+            for r in runs:
+                if self.odd.search(t := r.decode()) or "<|" in t:
+                    out[r] = self.library(t)
+            runs = [r for r in runs if r not in out]
+            text = b"\n".join(runs).decode()
+        if not runs:
+            return out
+        cut = self.pieces.findall(text.lower())  # of a run one after the other, a line's end between two runs
+        words = dict.fromkeys(cut)
+        words.pop("\n", None)
+        words |= zip(words, self.words(list(words)))
+        words["\n"] = b""
+        ids = list(map(words.get, cut))
+        lo = 0
+        for r, hi in zip(runs, [*(i for i, w in enumerate(cut) if w == "\n"), len(cut)]):
+            out[r] = ids[lo] if hi == lo + 1 else b"".join(ids[lo:hi])
+            lo = hi + 1
+        return out
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of word pieces, merged in one call; a piece's last id, and no other, ends a word."""
+        words = [w if w.isascii() else w.encode().decode("latin-1").translate(self.table) for w in words]
+        ids = np.array(self.merges.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = (np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize
+        if len(ends) != len(words):  # a vocabulary without some bytes
+            return [np.array([t.id for t in self.tokenizer.model.tokenize(w)], self.dtype).tobytes() for w in words]
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends)]
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        if not self.follows:
+            return [self.library(t.decode()) for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        found = [list(map(self.runs.get, runs)) for runs in split]
+        missing = {r for runs, got in zip(split, found) if None in got for r, g in zip(runs, got) if g is None}
+        new = {r: g for r in missing if (g := self.older.get(r)) is not None}
+        new |= self.fresh([r for r in missing if r not in new])
+        out = [b"".join([new[r] if g is None else g for r, g in zip(runs, got)] if None in got else got) for runs, got in zip(split, found)]
+        for r, g in new.items():
+            if len(r) <= 64:
+                if len(self.runs) >= CACHE:
+                    self.older, self.runs = self.runs, {}
+                self.runs[r] = g
+        return out
 
     def encode(self, text: bytes) -> bytes:
-        if not self.follows:
-            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-        runs = (text if b"<|" in text else text.lower()).split()
-        got = list(map(self.runs.get, runs))
-        if None in got:
-            got = [self.run(r) if g is None else g for r, g in zip(runs, got)]
-        return b"".join(got)
+        return self.encode_all([text])[0]
 
 
 def encoder(path: str) -> Encoder:
@@ -259,9 +302,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int] = ())
         for b in batches:
             keys = b.column(0)
             shard = np.searchsorted(cut, keys.fill_null(NULL_ID).to_numpy(zero_copy_only=False), side="right")
-            for lo in range(0, b.num_rows, 512):
-                hi = min(lo + 512, b.num_rows)
-                ids = [enc.encode(t or b"") + end for t in b.column(1).slice(lo, hi - lo).to_pylist()]
+            for lo, hi, _, _ in slices(b):
+                ids = [x + end for x in enc.encode_all([t or b"" for t in b.column(1).slice(lo, hi - lo).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.array(shard[lo:hi], pa.int32()), pa.array(ids, pa.binary()),
                                                   pa.array([enc.dtype.itemsize] * (hi - lo), pa.int32())], ["doc_id", "shard", "ids", "wide"])
 

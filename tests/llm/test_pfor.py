@@ -108,3 +108,17 @@ def test_other_tokenizer_files_equal_the_library(tmp_path):
     e = pfor.Encoder(f"{tmp_path}/cut.json")
     assert e.follows and pfor.encoder(PATH).follows
     assert e.encode(TEXTS[-1].encode()) == pfor.encoder(PATH).encode(TEXTS[-1].encode())
+
+
+def test_new_runs_of_some_texts_are_merged_in_one_call_and_the_cache_is_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(pfor, "CACHE", 50)
+    t, e = Tokenizer.from_file(PATH), pfor.Encoder(PATH)
+    calls, words = [], e.words
+    monkeypatch.setattr(e, "words", lambda w: calls.append(len(w)) or words(w))
+    texts = [" ".join(f"run{i % 7}x,{'éa' * (i % 3)} it's {i}... <|x {'ab' * (i % 40)}" for i in range(lo, lo + 60)) for lo in range(0, 600, 60)]
+    for part in (texts[:4], texts[4:], texts[:4], ["", " "], [t for t in TEXTS if t]):
+        calls.clear()
+        got = [np.frombuffer(x, e.dtype).tolist() for x in e.encode_all([x.encode() for x in part])]
+        assert got == [t.encode(x, add_special_tokens=False).ids for x in part]
+        assert len(calls) <= 1 and len(e.runs) <= 50 and len(e.older) <= 50
