@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ MAGIC, VERSION = b"PFOR", 1
 BLOCK = 32_768  # ids in a block
 PERCENTILE = 95  # of a block's values fit the packed width
 CACHE = 300_000  # entries in each of the two halves of a worker's cache of runs
+PIECE = 2 << 20  # bytes of text encoded at once; a longer single text stands alone
 NULL_ID = -(1 << 63)  # stands for a null doc_id in the files
 
 
@@ -198,10 +200,11 @@ class Encoder:
 
     Where the file has the settings above, it drops white space and merges
     within a run only, so a text's ids are those of its runs; with any other
-    settings, whole texts go to the library.  Runs are cached, and all runs
-    of some texts that aren't go to the library's merges at once, cut into
-    word pieces; a run outside the plain Latin range, or one that may hold a
-    special token, goes to the library as it is.
+    settings, whole texts go to the library.  Arrow cuts a column of texts
+    into runs and tells which are distinct, so only these are looked up.
+    Runs are cached, and those that aren't go to the library's merges, cut
+    into word pieces, each distinct piece once; a run outside the plain Latin
+    range, or one that may hold a special token, goes to the library as it is.
     """
 
     def __init__(self, path: str):
@@ -210,8 +213,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()  # documents are encoded whole
         self.tokenizer.no_padding()
-        self.merges = Tokenizer(self.tokenizer.model)  # word pieces between spaces to ids, and nothing else
-        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.merges = self.tokenizer.model  # a word piece to ids, and nothing else
         self.follows = follows(json.loads(self.tokenizer.to_str()))
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.pieces = re.compile(plain_split() + r"|\n")
@@ -221,9 +223,6 @@ class Encoder:
         letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
         assert set(letters.values()) == set(pre_tokenizers.ByteLevel.alphabet())
         self.table = {i: letters[i] for i in range(256)}
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        end = self.tokenizer.model.end_of_word_suffix
-        self.last[[i for t, i in self.tokenizer.get_vocab().items() if end and t.endswith(end)]] = True
         self.runs: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # those before the last ``CACHE``
 
@@ -252,33 +251,50 @@ class Encoder:
         return out
 
     def words(self, words: list[str]) -> list[bytes]:
-        """Ids of word pieces, merged in one call; a piece's last id, and no other, ends a word."""
-        words = [w if w.isascii() else w.encode().decode("latin-1").translate(self.table) for w in words]
-        ids = np.array(self.merges.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
-        ends = (np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize
-        if len(ends) != len(words):  # a vocabulary without some bytes
-            return [np.array([t.id for t in self.tokenizer.model.tokenize(w)], self.dtype).tobytes() for w in words]
-        raw, ends = ids.tobytes(), ends.tolist()
-        return [raw[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends)]
+        """Ids of word pieces.  One by one: a text of them all would have each of its characters aligned with the input."""
+        merge, flat, ends = self.merges.tokenize, [], [0]
+        for w in words:
+            flat += [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(self.table))]
+            ends.append(len(flat) * self.dtype.itemsize)
+        raw = np.array(flat, self.dtype).tobytes()
+        return [raw[lo:hi] for lo, hi in zip(ends, ends[1:])]
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        if not self.follows:
-            return [self.library(t.decode()) for t in texts]
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        found = [list(map(self.runs.get, runs)) for runs in split]
-        missing = {r for runs, got in zip(split, found) if None in got for r, g in zip(runs, got) if g is None}
+    def ids_of(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of distinct runs."""
+        found = list(map(self.runs.get, runs))
+        missing = [r for r, g in zip(runs, found) if g is None]
         new = {r: g for r in missing if (g := self.older.get(r)) is not None}
         new |= self.fresh([r for r in missing if r not in new])
-        out = [b"".join([new[r] if g is None else g for r, g in zip(runs, got)] if None in got else got) for runs, got in zip(split, found)]
         for r, g in new.items():
             if len(r) <= 64:
                 if len(self.runs) >= CACHE:
                     self.older, self.runs = self.runs, {}
                 self.runs[r] = g
-        return out
+        return [new[r] if g is None else g for r, g in zip(runs, found)] if missing else found
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """Ids of each text of a binary column (null: empty) and ``end``."""
+        if not self.follows:
+            return pa.array([self.library((t or b"").decode()) + end for t in texts.to_pylist()], pa.binary())
+        texts = texts.fill_null(b"").cast(pa.string())
+        special = pc.match_substring(texts, "<|")
+        low = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(pc.if_else(special, texts, low) if pc.any(special).as_py() else low)
+        coded = split.flatten().dictionary_encode()
+        runs = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.binary())), b"\n")[0].as_py().split(b"\n") if len(coded.dictionary) else []
+        # each text's runs and, behind them, the end
+        upto = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
+        at = np.insert(np.asarray(coded.indices), upto, len(runs))
+        ids = pa.array([*self.ids_of(runs), end], pa.binary()).take(pa.array(at))
+        _, offsets, data = ids.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[np.concatenate([[0], upto + np.arange(1, len(upto) + 1)])]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), data])
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.binary())).to_pylist()
 
     def encode(self, text: bytes) -> bytes:
         return self.encode_all([text])[0]
@@ -302,9 +318,9 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int] = ())
         for b in batches:
             keys = b.column(0)
             shard = np.searchsorted(cut, keys.fill_null(NULL_ID).to_numpy(zero_copy_only=False), side="right")
-            for lo, hi, _, _ in slices(b):
-                ids = [x + end for x in enc.encode_all([t or b"" for t in b.column(1).slice(lo, hi - lo).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.array(shard[lo:hi], pa.int32()), pa.array(ids, pa.binary()),
+            for lo, hi, _, _ in slices(b, limit=PIECE):
+                ids = enc.encode_column(b.column(1).slice(lo, hi - lo), end)
+                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.array(shard[lo:hi], pa.int32()), ids,
                                                   pa.array([enc.dtype.itemsize] * (hi - lo), pa.int32())], ["doc_id", "shard", "ids", "wide"])
 
     return as_bytes(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(task, "doc_id long, shard int, ids binary, wide int")

@@ -122,3 +122,19 @@ def test_new_runs_of_some_texts_are_merged_in_one_call_and_the_cache_is_bounded(
         got = [np.frombuffer(x, e.dtype).tolist() for x in e.encode_all([x.encode() for x in part])]
         assert got == [t.encode(x, add_special_tokens=False).ids for x in part]
         assert len(calls) <= 1 and len(e.runs) <= 50 and len(e.older) <= 50
+
+
+def test_a_column_is_cut_into_runs_at_once_and_each_distinct_run_looked_up_once(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    t, e = Tokenizer.from_file(PATH), pfor.Encoder(PATH)
+    asked, ids_of = [], e.ids_of
+    monkeypatch.setattr(e, "ids_of", lambda runs: asked.append(list(runs)) or ids_of(runs))
+    texts = [*TEXTS, "  Edge\x0bof\x0c it\x1call ", None, "", "b", "A<|endoftext|>a", *TEXTS]
+    whole = pa.array([x and x.encode() for x in texts], pa.binary())
+    for column in (whole, whole.cast(pa.large_binary()), whole.slice(3, 9), whole.slice(0, 0)):
+        asked.clear()
+        got = [np.frombuffer(x, e.dtype).tolist() for x in e.encode_column(column, np.array([2], e.dtype).tobytes()).to_pylist()]
+        assert got == [t.encode((x or b"").decode(), add_special_tokens=False).ids + [2] for x in column.to_pylist()]
+        assert all(len(runs) == len(set(runs)) for runs in asked) and len(asked) <= 1
+    assert e.encode_all([]) == []
