@@ -77,3 +77,35 @@ def test_edge_rows(spark):
     assert S.remove_repeats(docs.limit(0)).collect() == []
     kept = {r.doc_id: bytes(r.kept) for r in S.remove_repeats(docs, texts=True).collect()}
     assert kept[4] == b"y" * 400 and kept[6] == b""
+
+
+def test_tasks_hold_bounded_pieces(spark, monkeypatch):
+    """Texts come to Python in bounded batches, anchors are sought in small pieces and runs are written by bytes."""
+    from stepcorpus.session import BATCH_BYTES
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = [(i, t) for i, t in enumerate(made(random.Random(5), 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    try:
+        spark.conf.set(key, "1g")
+        S.remove_repeats(docs.limit(0))
+        assert int(spark.conf.get(key)) == BATCH_BYTES
+        monkeypatch.setattr(S, "RUN_BYTES", 2000)  # many runs a task
+        assert result(docs, length=100) == literal(rows, 100)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_memory_of_anchors_does_not_follow_the_batch():
+    import tracemalloc
+    import pyarrow as pa
+    texts = [bytes(x) for x in np.random.default_rng(3).integers(97, 123, (1500, 4000)).astype(np.uint8)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    S.prefix_hash(np.zeros(S.PIECE, np.uint8))  # the powers are kept
+    tracemalloc.start()
+    try:
+        for _, _, data, at in S.slices(batch, "text", S.PIECE):
+            S.anchors_of(data, at)
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
