@@ -42,7 +42,7 @@ MAGIC, VERSION = b"PFOR", 1
 BLOCK = 32_768  # ids in a block
 PERCENTILE = 95  # of a block's values fit the packed width
 CACHE = 300_000  # entries in each of the two halves of a worker's cache of runs
-PIECE = 2 << 20  # bytes of text encoded at once; a longer single text stands alone
+PIECE = 1 << 20  # bytes of text encoded at once; a longer single text stands alone
 NULL_ID = -(1 << 63)  # stands for a null doc_id in the files
 
 
